@@ -28,19 +28,31 @@ from .common import small_slices
 
 # Fixed values of the tokenizer format: the pattern that cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, CACHED, CACHED_WORDS = 96, 400_000, 700_000
+SHORT, CACHED, CACHED_WORDS = 96, 250_000, 120_000
 _NONE = 1 << 60
-#: Where white space stands alone between two other characters, no word reaches over it.
-_PLAIN_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Where a single space or line break stands between other characters, or a comma or full stop after a letter or digit,
+#: no word reaches over the place before it. Texts with anything else of that kind are cut by the pattern alone.
+_OTHERWISE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[^\\w\\s][.,]|_[.,]")
 
 
-def stretches(text: str) -> list[str]:
-    """A text cut where no word reaches over: each stretch but the first stands for itself after a space, or as it is
-    if it begins with a line break."""
-    if text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE_SPACE.search(text):
-        return _PLAIN_SPACE.split(text)
-    return text.replace("\n", " \n").split(" ")
+#: The same for ASCII in a few searches: letters and digits become a, other marks and odd white space x.
+_SHAPE = bytes(c if c in b" \n" else 46 if c in b".," else 97 if chr(c).isalnum() else 120 for c in range(128)).ljust(256, b"x")
+_BREAKS = (b"  ", b"\n\n", b" \n", b"\n ", b" .", b"\n.", b"x.")
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def stretches(text: str) -> list[str] | None:
+    """A text cut where no word reaches over, None where that can't be told simply. The first stretch is as it is;
+    others follow a space, but for those that begin with a line break, comma or full stop."""
+    if text[0] in " \n.," or text[-1] in " \n":
+        return None
+    if text.isascii():
+        shape = text.encode().translate(_SHAPE)
+        if any(x in shape for x in _BREAKS) or any(x in text for x in _ODD):
+            return None
+    elif any(x in text for x in ("  ", "\n\n", " \n", "\n ", " ,", " .", "\n,", "\n.")) or text[-1].isspace() or text[0].isspace() or _OTHERWISE.search(text):
+        return None
+    return text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
 
 
 def byte_letters() -> list[str]:
@@ -54,25 +66,27 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        letters = byte_letters()
-        back = {c: b for b, c in enumerate(letters)}
-        vocabulary = file["model"]["vocab"]
-        as_bytes = lambda token: bytes(back[c] for c in token)
-        self.ids = {as_bytes(t): i for t, i in vocabulary.items() if all(c in back for c in t)}
-        self.ranks = {}
-        for rank, pair in enumerate(file["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((as_bytes(a), as_bytes(b)), rank)
+        self.token: dict[int, bytes] = {}
+        self.load(file["model"])
         self.special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
-        self.tokens = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for token, i in self.ids.items():
-            self.tokens[i] = token
-        for text, i in self.special.items():
-            self.tokens[i] = text.encode()
+        self.token |= {i: t.encode() for t, i in self.special.items()}
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.words: dict[str, bytes] = {}  # ids of words, and of stretches between plain spaces
+        #: Ids of words as the pattern cuts them, and of words of letters after a space.
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def load(self, model: dict) -> None:
+        """Ids of parts, their bytes by id, and ranks of pairs."""
+        back = {c: b for b, c in enumerate(byte_letters())}
+        as_bytes = lambda token: bytes(back[c] for c in token)
+        self.ids = {as_bytes(t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
+        self.token = {i: t for t, i in self.ids.items()}
+        self.ranks = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            self.ranks.setdefault((as_bytes(a), as_bytes(b)), rank)
 
     def parts(self, word: bytes) -> list[bytes]:
         """The parts of a word after all merges."""
@@ -115,8 +129,12 @@ class Codec:
             i = end[i]
         return out
 
+    def ids_of(self, word: str) -> bytes:
+        """Ids of one word as the pattern cuts them."""
+        return self.pack([self.ids[p] for p in self.parts(word.encode())])
+
     def _word(self, word: str) -> bytes:
-        found = self.pack([self.ids[p] for p in self.parts(word.encode())])
+        found = self.ids_of(word)
         if len(word) <= SHORT:
             if len(self.words) >= CACHED_WORDS:
                 self.words.clear()
@@ -128,11 +146,18 @@ class Codec:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, text: str) -> bytes:
-        """Ids of a stretch as stretches() gives them, as little-endian 32-bit numbers."""
-        found = self._words(text if text[:1] == "\n" else " " + text)
-        if len(text) <= SHORT:
-            if len(self.known) >= CACHED:
-                self.known.clear()
+        """Ids of a stretch as stretches() gives them, as little-endian 32-bit numbers. Only words of letters are
+        remembered; two generations of them, so that frequent ones outlive a full table."""
+        if text.isalpha():
+            if (found := self.older.get(text)) is None:
+                found = self.ids_of(" " + text)
+            if len(text) <= SHORT:
+                if len(self.known) >= CACHED:
+                    self.older, self.known = self.known, {}
+                self.known[text] = found
+            return found
+        found = self._words(text if text[0] in "\n,." else " " + text)
+        if len(text) <= 4:
             self.known[text] = found
         return found
 
@@ -141,7 +166,9 @@ class Codec:
         return b"".join([x if (x := get(w)) is not None else self._word(w) for w in self.pattern.findall(text)])
 
     def _plain(self, text: str) -> bytes:
-        get, make, pieces = self.known.get, self._stretch, stretches(text)
+        if (pieces := stretches(text)) is None:
+            return self._words(text)
+        get, make = self.known.get, self._stretch
         return self._words(pieces[0]) + b"".join([p if (p := get(x)) is not None else make(x) for x in pieces[1:]])
 
     def encode(self, text: str | None) -> bytes:
@@ -154,8 +181,8 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+        token = self.token
+        return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 @functools.cache

@@ -32,7 +32,7 @@ SEQUENCE, FILE_TOKENS, PIECE_ROWS = 2048, 1_000_000, 2_000
 
 
 class LibraryCodec(Codec):
-    """Words are encoded by the tokenizers library; the file's own words and stretches are remembered."""
+    """Words are encoded by the tokenizers library and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,13 +42,11 @@ class LibraryCodec(Codec):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def _word(self, word: str) -> bytes:
-        found = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 96:
-            if len(self.words) >= 700_000:
-                self.words.clear()
-            self.words[word] = found
-        return found
+    def load(self, model: dict) -> None:
+        """The library has them."""
+
+    def ids_of(self, word: str) -> bytes:
+        return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
 
 @functools.cache
@@ -146,27 +144,28 @@ def _write(length: int, file_tokens: int):
 def write_token_files(docs: DataFrame, path: str, end: int = 0, length: int = SEQUENCE, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """docs(doc_id, text) -> the table of files (part, piece, tokens, data), ordered by (part, piece)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    parts = max(1, min(-(-rows // PIECE_ROWS), -(-chars // 2_000_000), 20_000))
+    parts = max(1, min(-(-docs.count() // PIECE_ROWS), 20_000))
     # Cuts lie at quantiles of doc_id; a null counts as lower than all.
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
     coded = docs.mapInArrow(_encode(path, end, np.array(cuts, np.int64)), "doc_id long, part long, ids binary")
     coded = coded.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "ids")
-    files = written(coded.mapInArrow(_write(length, file_tokens), "part long, piece int, tokens long, data binary"), "token-files")
+    files = written(coded.mapInArrow(_write(length, file_tokens), "part long, piece int, tokens long, data binary"), "token-files", "zstd")
     release(docs.sparkSession)
     return files
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_slices(batches, 1):
-        file, base = TokenFile(batch.column("data")[0].as_py()), batch.column("base")[0].as_py()
+        file = TokenFile(batch.column("data")[0].as_py())
         ids = [file.document(k) for k in range(len(file.starts))]
-        yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(file.starts + base), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        part, piece = (pa.repeat(batch.column(c)[0], len(ids)) for c in ("part", "piece"))
+        yield pa.RecordBatch.from_arrays([part, piece, pa.array(file.doc_ids, pa.int64()), pa.array(file.starts), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], names=["part", "piece", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """The table of files -> doc_id, start, n_tokens, ids_crc32, read from the files' bytes."""
     before = W.orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
     bases = files.select("part", "piece", "tokens").withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    return files.join(bases.drop("tokens"), ["part", "piece"]).select("data", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "piece", "data").mapInArrow(_read, "part long, piece int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.join(bases.drop("tokens"), ["part", "piece"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
