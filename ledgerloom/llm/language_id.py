@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 HIDDEN, LONGEST, REMEMBERED = 16, 48, 900_000
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
@@ -217,7 +219,8 @@ def held_out(folds: int = 4, fold: int = 2):
 def train(docs: DataFrame, sample_rows: int = 3000, sample_chars: int = 1500, words_per_language: int = 6000) -> Network | None:
     """Learns from docs(doc_id, text, lang) outside the held-out fold. The same rows give the same network."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang").orderBy("h", "doc_id", "text", "lang").limit(sample_rows).collect()
+    chosen = smallest_hashes(rows.select("doc_id", "lang"), sample_rows).select("doc_id", "lang").distinct()
+    rows = rows.select("doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").collect()
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None

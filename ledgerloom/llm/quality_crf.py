@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices
+from .common import small_slices, smallest_hashes
 
 OWN = 15
 FEATURES = 3 * OWN + 3
@@ -161,8 +161,8 @@ def held_out(folds: int = 5):
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_lines: int = 40, sample_chars: int = 4000) -> Field | None:
     """Learns labels.quality from documents outside the held-out fold."""
-    chosen = labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
-    chosen = chosen.distinct().orderBy("h", "doc_id", "quality").limit(sample_rows)
+    chosen = labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    chosen = smallest_hashes(chosen.distinct(), sample_rows)
     rows = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("h", "quality", "text").collect()
     known = np.array([int(r.quality) for r in rows])
     if len(set(known.tolist())) < 2:
