@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words remembered by a worker before its cache is emptied.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

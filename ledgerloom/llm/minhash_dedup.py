@@ -7,11 +7,12 @@ Jaccard similarity of at least `similarity` percent.
 2. Inverted lists of retained values: of every class only the rarest half of its values is listed. Classes that share
    half of their sketches (at 0.85 fewer share so little than one pair in ten million) always meet in such a list, while
    values that very many documents hold (a common passage) stay out of it.
-3. In a list, union-sketch estimates choose pairs. Each class first meets the smallest class of the list and its
-   neighbour in sketch order. Pairs are confirmed on whole sets; links are merged to components. Then classes that are
-   still apart in a list meet their most similar partners, 4, 32, 256 ... of them, until no pair with a sufficient
-   estimate is left between two components. So a group of thousands of near copies needs about as many confirmations
-   as members, and no partner is ever left out.
+3. In a list, pairs are judged by wider sketches (WIDE values): where both are whole sets the answer is exact, else a
+   union-sketch estimate 4.5 standard deviations below the limit or more sends the pair to a test on whole sets. Each class
+   first meets the smallest class of the list and its neighbour in sketch order; links are merged to components. Then
+   classes that are still apart meet their most similar partners, 4, 32, 256 ... of them, until no pair that could be a
+   link is left between two components. So a group of thousands of near copies needs few tests per member, and no
+   partner is ever left out.
 
 Nulls, empty texts: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is one shingle.
 Repeated doc_id: rows with equal sets share a class; differing texts under one doc_id count as one document when
@@ -31,9 +32,8 @@ from pyspark.sql import functions as F
 from .common import fingerprint, gram_hashes, groups, hash_words, mixed, release, small_slices, written
 from .components import connected
 
-K = 48
-#: Shared part of a union sketch below which a pair is no candidate; at 0.85 that is 6.6 standard deviations off.
-LEAST_SHARED = 0.5
+#: Values of a sketch for the lists, and of the wide sketch by which pairs in a list are judged.
+K, WIDE = 48, 512
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -69,95 +69,106 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), lengths)), pa.array(np.repeat(np.array(lengths, np.int32), lengths)), pa.array(np.concatenate(data))], names=["doc_id", "size", "value"])
 
 
-def _matrix(sketches: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches as rows; missing places get values that no other row has in common."""
-    sizes = np.array([len(x) // 8 for x in sketches])
-    out = np.empty((len(sketches), k), np.uint64)
-    for i, x in enumerate(sketches):
-        out[i, : sizes[i]] = np.frombuffer(x, np.uint64)
-        out[i, sizes[i] :] = np.uint64(2**64 - 1)
-    return out, sizes
-
-
-def union_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Similarity by the k smallest values of each pair's union: the share that both sketches hold."""
-    k = a.shape[1]
-    out = np.empty(len(a))
-    for i in range(0, len(a), 4096):
-        both = np.sort(np.concatenate([a[i : i + 4096], b[i : i + 4096]], axis=1), axis=1)
-        again = np.zeros(both.shape, bool)
-        again[:, 1:] = both[:, 1:] == both[:, :-1]
-        real = both != np.uint64(2**64 - 1)
-        rank = np.cumsum(~again & real, axis=1)
-        shared = (again & real & (rank <= k)).sum(axis=1)
-        union = np.minimum(k, rank[:, -1])
-        out[i : i + 4096] = shared / np.maximum(union, 1)
-    return out
-
-
-def _pairs_of(doc: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes], k: int, ratio: float, top: int) -> tuple[list, bool]:
-    """Pairs of one list to be confirmed (top 0: the first round), and whether some class had more partners than top."""
-    if (comp == comp[0]).all():
-        return [], False
-    rows, _ = _matrix(sketches, k)
-    if not top:
-        order = np.lexsort((doc, *rows.T[:4][::-1]))
-        left = np.concatenate([np.zeros(len(doc) - 1, int), order[:-1]])
-        right = np.concatenate([np.arange(1, len(doc)), order[1:]])
-        return [(left, right)], False
-    found, more = [], False
-    names, sizes = np.unique(comp, return_counts=True)
-    main = names[sizes.argmax()]
-    flat, places = np.unique(rows, return_inverse=True)
-    places = places.reshape(rows.shape)
-    order = np.argsort(places, axis=None, kind="stable")
-    holders, starts = order // k, np.searchsorted(places.ravel()[order], np.arange(len(flat) + 1))
-    pad = len(flat) - 1 if flat[-1] == np.uint64(2**64 - 1) else -1
-    for i in np.flatnonzero(comp != main):
-        lists = [holders[starts[p] : starts[p + 1]] for p in places[i] if p != pad]
-        shared = np.bincount(np.concatenate(lists), minlength=len(doc)) if lists else np.zeros(len(doc), int)
-        fit = (shared * 2 >= LEAST_SHARED * len(lists)) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
-        fit[i] = False
-        j = np.flatnonzero(fit)
-        if not len(j):
-            continue
-        estimate = union_estimate(np.broadcast_to(rows[i], (len(j), k)), rows[j], n[i], n[j])
-        j, estimate = j[estimate >= LEAST_SHARED], estimate[estimate >= LEAST_SHARED]
-        j = j[np.lexsort((doc[j], -estimate))]
-        more |= bool((comp[j[top:]] != comp[i]).any())
-        j = j[:top]
-        j = j[comp[j] != comp[i]]
-        found.append((np.full(len(j), i), j))
-    return found, more
-
-
-def _round(k: int, ratio: float, top: int):
-    """Rows of lists sorted by value -> pairs (a < b); a row (-1, -1) says that partners are left for a later round."""
+def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
+    """Similarity by the k smallest values of the union of two sketches: the share that both hold."""
+    both = np.sort(np.concatenate([a, b]))
+    again = np.r_[False, both[1:] == both[:-1]]
+    rank = np.cumsum(~again)
+    return float((again & (rank <= k)).sum() / max(1, min(k, rank[-1] if len(rank) else 1)))
+
+
+class Postings:
+    """value -> the rows that hold it, over the rows of one list."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        flat = np.concatenate(rows)
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        order = np.argsort(flat, kind="stable")
+        self.values, self.owner, self.rows = flat[order], owner[order], len(rows)
+
+    def shared(self, values: np.ndarray) -> np.ndarray:
+        """For every row, how many of these values it holds."""
+        low, high = np.searchsorted(self.values, values), np.searchsorted(self.values, values, "right")
+        parts = [self.owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if y > x]
+        return np.bincount(np.concatenate(parts), minlength=self.rows) if parts else np.zeros(self.rows, np.int64)
+
+
+class InvertedList:
+    """The classes that hold one value: their sizes, components, other listed values and wide sketches."""
+
+    def __init__(self, value: int, table: pa.Table, wide: int, similarity: int):
+        self.value, self.wide, self.similarity = value, wide, similarity
+        self.doc, self.n, self.comp = (table.column(x).to_numpy() for x in ("doc_id", "n_shingles", "comp"))
+        self.held = [np.array(x, np.int64) for x in table.column("held").to_pylist()]
+        self.sketch = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        self.floor = similarity / 100 - 4.5 * (similarity / 100 * (1 - similarity / 100) / wide) ** 0.5
+
+    def near(self, i: int, j: np.ndarray, inter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of row i and rows j: which to keep, an estimate of their similarity, and which are links for sure because
+        both sketches are whole sets."""
+        if inter is None:
+            hit = np.isin(np.concatenate([self.sketch[x] for x in j]), self.sketch[i])
+            inter = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum([len(self.sketch[x]) for x in j])[:-1]])
+        else:
+            inter = inter[j]
+        whole = (self.n[j] <= self.wide) & (self.n[i] <= self.wide)
+        union = np.where(whole, self.n[j] + self.n[i] - inter, self.wide)
+        estimate = inter / np.maximum(union, 1)
+        keep = np.where(whole, 100 * inter >= self.similarity * union, estimate >= self.floor)
+        for x in np.flatnonzero(keep & ~whole).tolist():
+            estimate[x] = union_estimate(self.sketch[i], self.sketch[j[x]], self.wide)
+            keep[x] = estimate[x] >= self.floor
+        return keep, estimate, whole
+
+    def fits(self, i: int) -> np.ndarray:
+        """Rows whose size alone allows a link with row i."""
+        return 100 * np.minimum(self.n, self.n[i]) >= self.similarity * np.maximum(self.n, self.n[i])
+
+    def first(self) -> Iterator[tuple[int, int, bool]]:
+        """Every class with the smallest class of the list and with its neighbour in sketch order."""
+        order = sorted(range(len(self.doc)), key=lambda x: (self.sketch[x][:4].tolist(), self.doc[x]))
+        for i, j in [*((0, x) for x in range(1, len(order))), *zip(order[:-1], order[1:], strict=True)]:
+            if self.comp[i] != self.comp[j] and self.fits(i)[j]:
+                keep, _, whole = self.near(i, np.array([j]))
+                if keep[0]:
+                    yield i, j, bool(whole[0])
+
+    def later(self, top: int) -> Iterator[tuple[int, int, bool] | None]:
+        """For classes outside the list's largest component, the `top` most similar ones of other components that they
+        meet in no list before this one; None if there are more."""
+        names, counts = np.unique(self.comp, return_counts=True)
+        main, met, wide = names[counts.argmax()], Postings(self.held), None
+        for i in np.flatnonzero(self.comp != main).tolist():
+            fit = self.fits(i) & (self.comp != self.comp[i])
+            if not fit.any():
+                continue
+            fit &= met.shared(self.held[i][self.held[i] < self.value]) == 0
+            j = np.flatnonzero(fit)
+            if not len(j):
+                continue
+            if len(j) > 32:
+                wide = wide or Postings(self.sketch)
+            keep, estimate, whole = self.near(i, j, wide.shared(self.sketch[i]) if len(j) > 32 else None)
+            j, estimate, whole = j[keep], estimate[keep], whole[keep]
+            order = np.lexsort((self.doc[j], -estimate))
+            if len(order) > top:
+                yield None
+            for x in order[:top].tolist():
+                yield i, int(j[x]), bool(whole[x])
+
+
+def _round(wide: int, similarity: int, top: int):
+    """Rows sorted by value -> pairs (a < b), sure ones marked; (-1, -1) says that partners are left for later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for _, parts in groups(batches, "value"):
-            group = pa.Table.from_batches(parts)
-            doc, n, comp = (group.column(x).to_numpy() for x in ("doc_id", "n_shingles", "comp"))
-            if len(doc) < 2:
+        for value, parts in groups(batches, "value"):
+            at = InvertedList(value, pa.Table.from_batches(parts), wide, similarity)
+            if (at.comp == at.comp[0]).all():
                 continue
-            sketches = group.column("sketch").to_pylist()
-            found, more = _pairs_of(doc, n, comp, sketches, k, ratio, top)
-            out = {(-1, -1)} if more else set()
-            for i, j in found:
-                keep = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j]))
-                i, j = i[keep], j[keep]
-                if not top and len(i):
-                    rows, _ = _matrix(sketches, k)
-                    keep = union_estimate(rows[i], rows[j], n[i], n[j]) >= LEAST_SHARED
-                    i, j = i[keep], j[keep]
-                out |= set(zip(np.minimum(doc[i], doc[j]).tolist(), np.maximum(doc[i], doc[j]).tolist(), strict=True))
-            out -= seen
-            if len(seen) < 500_000:
-                seen |= out
+            out = {(-1, -1, False) if x is None else (*sorted((int(at.doc[x[0]]), int(at.doc[x[1]]))), x[2]) for x in (at.later(top) if top else at.first())}
             if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b, sure = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure)], names=["a", "b", "sure"])
 
     return run
 
@@ -165,7 +176,8 @@ def _round(k: int, ratio: float, top: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(x, width).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "values"])
+            sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "held", "n_shingles", "values"])
 
     return run
 
@@ -183,11 +195,11 @@ def _confirm(similarity: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: int = K) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: int = K, wide: int = WIDE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each input row."""
-    if k < 8 or not 80 <= similarity <= 100:
-        raise ValueError("k of at least 8 and a similarity of 80 to 100 percent are supported")
-    spark, ratio = docs.sparkSession, similarity / 100
+    if k < 8 or wide < k or not 80 <= similarity <= 100:
+        raise ValueError("k of at least 8, no wider than the wide sketch, and a similarity of 80 to 100 percent are supported")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(docs.mapInArrow(_sketches(width, k), "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary"), "sketches")
     full = table.filter("n_shingles > 0 and doc_id is not null")
@@ -205,34 +217,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: in
     # Lists with the same members are one list.
     members = listed.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).filter("c > 1")
     lists = members.groupBy("c", "h").agg(F.min("value").alias("value")).select("value")
-    rows = listed.join(lists, "value").join(reps, "doc_id").select("value", "doc_id", "n_shingles", "sketch")
-    rows = written(rows, "lists")
-    release(spark)
-    wanted = rows.select("doc_id").distinct()
-    sets = written(docs.join(wanted, "doc_id").mapInArrow(_sets(width), "doc_id long, values binary").distinct(), "sets")
+    thin = written(listed.join(lists, "value").select("value", "doc_id"), "lists")
+    held = thin.groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("held"))
+    sets = written(docs.join(held, "doc_id").mapInArrow(_sets(width), "doc_id long, held array<long>, n_shingles long, values binary"), "sets")
     release(spark)
+    one_each = sets.dropDuplicates(["doc_id"])  # repeated ids: all texts of an id take part as one in the lists
+    sketch = one_each.select("doc_id", "held", "n_shingles", F.substring("values", 1, 8 * wide).alias("sketch"))
 
-    comps, seen, top = wanted.select("doc_id", F.col("doc_id").alias("comp")), None, 0
-    comps = written(comps, "comps")
+    comps, seen, top = written(held.select("doc_id", F.col("doc_id").alias("comp")), "comps"), None, 0
     while True:
-        at = rows.join(comps, "doc_id")
+        at = thin.join(comps, "doc_id")
         if top:
             apart = at.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("value")
             at = at.join(apart, "value", "left_semi")
-        at = at.select("value", "doc_id", "n_shingles", "comp", "sketch").repartition("value").sortWithinPartitions("value", "doc_id")
-        found = at.mapInArrow(_round(k, ratio, top), "a long, b long").distinct()
+        at = at.join(sketch, "doc_id").select("value", "doc_id", "n_shingles", "comp", "held", "sketch").repartition("value").sortWithinPartitions("value", "doc_id")
+        found = at.mapInArrow(_round(wide, similarity, top), "a long, b long, sure boolean").distinct()
         found = written(found if seen is None else found.join(seen, ["a", "b"], "left_anti"), "pairs")
-        more, pairs = bool(found.filter("a < 0").limit(1).count()), found.filter("a >= 0 or b >= 0")
+        del at
+        release(spark)
+        more, pairs = bool(found.filter("a < 0 and b < 0").limit(1).count()), found.filter("a >= 0 or b >= 0")
         if pairs.limit(1).count():
-            one = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("one"))
-            two = sets.select(F.col("doc_id").alias("b"), F.col("values").alias("two"))
-            links = written(pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm(similarity), "a long, b long").distinct(), "links")
-            seen = pairs if seen is None else seen.union(pairs)
+            links, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b")
+            if unsure.limit(1).count():
+                one = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("one")).distinct()
+                two = one.select(F.col("a").alias("b"), F.col("one").alias("two"))
+                links = links.union(unsure.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm(similarity), "a long, b long"))
+                seen = unsure if seen is None else seen.union(unsure)
             edges = links.join(comps.select(F.col("doc_id").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("doc_id").alias("b"), F.col("comp").alias("y")), "b")
             edges = written(edges.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
             if edges.limit(1).count():
                 labels = connected(edges)
                 comps = written(comps.join(labels, comps.comp == labels.node, "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "comps")
+            del links, unsure
             release(spark)
         elif top and not more:
             break
