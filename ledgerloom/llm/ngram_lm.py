@@ -23,17 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, hash_words, mixed, release, written
+from .common import MULTIPLIER, mixed, release, written
 
 END = b""
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 PRIOR = 4.0
 #: Quantisation of log10 probabilities: 65,536 equal steps down to this value.
 LOWEST = -24.0
-SHARD_CHUNKS = 4
+SHARD_CHUNKS = 8
 
 
 def quantise(logs: np.ndarray) -> np.ndarray:
@@ -114,6 +115,22 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def pack_keys(keys: np.ndarray, shards: int) -> bytes:
+    """Ascending keys of one shard: steps between key // shards, in as few bytes each as all of them need."""
+    parts = keys // np.uint64(shards)
+    steps = np.diff(parts, prepend=np.uint64(0))
+    size = next(b for b in (6, 7, 8) if b == 8 or not len(steps) or steps.max() < 1 << 8 * b)
+    return bytes([size]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    """key // shards of packed keys: as good as the keys within one shard."""
+    flat = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, : data[0]] = flat
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
 class Chunk:
     """Tokens of a chunk as local numbers; the end token is number 0."""
 
@@ -129,7 +146,7 @@ class Chunk:
         self.tokens, self.before = np.array(flat[1:], np.int64), np.array(flat[:-1], np.int64)
         self.held_out = np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == 0 for x in doc_ids])
         self.owner = np.repeat(np.arange(len(texts)), self.lengths)
-        self.hashes = hash_words(list(number))
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
         self.words = len(number)
         train = ~self.held_out[self.owner]
         self.counts = np.bincount(self.tokens[train], minlength=self.words)
@@ -160,7 +177,7 @@ def _ask(shards: int, folds: int):
                 chunk = Chunk(row["doc_ids"], row["texts"], folds)
                 for s, level, places in chunk.asked(shards):
                     keys, counts = ((chunk.hashes, chunk.counts), (chunk.pair_hashes, chunk.pair_counts))[level - 1]
-                    one = [s], [row["chunk"]], [level], [keys[places].tobytes()], [zlib.compress(counts[places].astype(np.uint32).tobytes(), 1)]
+                    one = [s], [row["chunk"]], [level], [pack_keys(keys[places], shards)], [zlib.compress(counts[places].astype(np.uint32).tobytes(), 1)]
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(one, schema, strict=True)], schema=schema)
 
     return run
@@ -168,7 +185,7 @@ def _ask(shards: int, folds: int):
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """All questions to a shard on one level -> totals for each chunk, and sums over the shard's own keys."""
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
     new = np.r_[True, flat[order][1:] != flat[order][:-1]]
@@ -224,8 +241,9 @@ def lm_scores(docs: DataFrame, folds: int = 10, prior: float = PRIOR) -> DataFra
     asked = packed.mapInArrow(_ask(shards, folds), "shard int, chunk long, level int, keys binary, counts binary")
     answers = asked.groupBy("shard", "level").applyInArrow(_answer, "shard int, level int, chunk long, totals binary, n long, v long")
     answers = written(answers, "answers")
-    release(spark)
+    del asked
     n, v = answers.filter("level = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    release(spark, 2)
     back = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "level", "totals")).alias("answers"))
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.join(back, "chunk").mapInArrow(_score(shards, folds, prior, n, v), fields)
