@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices
+from .common import hold_caches, small_slices
 
 # Fixed values of the tokenizer format: the pattern that cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, CACHED, CACHED_WORDS = 96, 250_000, 120_000
+SHORT, CACHED, CACHED_WORDS = 96, 200_000, 100_000
 _NONE = 1 << 60
 #: Where a single space or line break stands between other characters, or a comma or full stop after a letter or digit,
 #: no word reaches over the place before it. Texts with anything else of that kind are cut by the pattern alone.
@@ -129,6 +129,10 @@ class Codec:
             i = end[i]
         return out
 
+    def forget(self) -> None:
+        for x in (self.words, self.known, self.older):
+            x.clear()
+
     def ids_of(self, word: str) -> bytes:
         """Ids of one word as the pattern cuts them."""
         return self.pack([self.ids[p] for p in self.parts(word.encode())])
@@ -193,6 +197,7 @@ def codec(path: str) -> Codec:
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
+        hold_caches("bpe", bpe.forget)
         for batch in small_slices(batches, 64):
             ids = [bpe.encode(x) for x in batch.column("text").to_pylist()]
             texts = [bpe.decode(x) for x in ids]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,11 +37,24 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of jobs whose results are already written."""
+def release(spark: SparkSession, wait_s: float = 0) -> None:
+    """Lets Spark delete shuffle files of jobs whose results are already written; it does so in the background."""
     gc.collect()
     with contextlib.suppress(Exception):
         spark.sparkContext._jvm.System.gc()
+        time.sleep(wait_s)
+
+
+_HOLDER: list = [None, None]
+
+
+def hold_caches(owner: str, clear: Callable[[], None]) -> None:
+    """Called by an operator in a worker before it fills its caches: those of the operator before it are emptied, as
+    workers live on from stage to stage."""
+    if _HOLDER[0] != owner:
+        if _HOLDER[1]:
+            _HOLDER[1]()
+        _HOLDER[:] = owner, clear
 
 
 def smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
@@ -71,6 +85,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    hold_caches("words", _HASHES.clear)
     return np.array(list(map(_HASHES.__getitem__, words)), dtype=np.uint64)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, gram_hashes, small_slices
+from .common import CACHE_WORDS, gram_hashes, hold_caches, small_slices
 
 LEAST, COVERAGE, BLOCK_CHARS = 5, 0.5, 16_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -120,6 +120,7 @@ def covered(item: np.ndarray, text: np.ndarray, least: int) -> int:
 
 def _contained(items: list[tuple[int, str]], least: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_caches("plain words", _PLAIN.clear)
         hashed = [(i, plain_hashes(t)) for i, t in items]
         hashed = [(i, h) for i, h in hashed if len(h) >= least]
         grams = [gram_hashes(h, least) for _, h in hashed]

@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest_hashes
+from .common import hold_caches, smallest_hashes
 
-HIDDEN, LONGEST, REMEMBERED = 16, 48, 900_000
+HIDDEN, LONGEST, REMEMBERED = 16, 48, 500_000
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
 
@@ -199,6 +199,7 @@ def language_of(network: Network | None):
         if network is None:
             return pd.DataFrame({"lang_pred": ["und"] * n, "score": [0.0] * n})
         key = b"".join(p.tobytes() for p in network.parameters)
+        hold_caches("language", _LABELLERS.clear)
         if key not in _LABELLERS:
             _LABELLERS.clear()
             _LABELLERS[key] = Labeller(network)

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Codec
-from .common import release, small_slices, written
+from .common import hold_caches, release, small_slices, written
 
 SEQUENCE, FILE_TOKENS, PIECE_ROWS = 2048, 1_000_000, 2_000
 
@@ -58,6 +58,7 @@ def _encode(path: str, end: int, cuts: np.ndarray):
     """doc_id, text -> doc_id, the range it lies in, ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, tail = library_codec(path), np.array([end], "<u4").tobytes()
+        hold_caches("token files", codec.forget)
         for batch in small_slices(batches, 64):
             ids = [codec.encode(x) + tail for x in batch.column("text").to_pylist()]
             part = [0 if x is None else int(np.searchsorted(cuts, x, "right")) for x in batch.column("doc_id").to_pylist()]
