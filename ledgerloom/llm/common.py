@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -54,6 +55,8 @@ def hold_caches(owner: str, clear: Callable[[], None]) -> None:
     if _HOLDER[0] != owner:
         if _HOLDER[1]:
             _HOLDER[1]()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
         _HOLDER[:] = owner, clear
 
 

@@ -15,12 +15,15 @@ table, no language). Rows are handled one by one, so repeated or null doc_ids an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hold_caches, smallest_hashes
+from .common import hold_caches, small_slices, smallest_hashes
 
 HIDDEN, LONGEST, REMEMBERED = 16, 48, 500_000
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
@@ -36,8 +39,8 @@ class Direction:
     def __init__(self, w: np.ndarray, u: np.ndarray):
         self.w, self.u = w, u
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """x, mask: words x steps -> states, words x steps x H. Keeps what backward() needs."""
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> np.ndarray:
+        """x, mask: words x steps -> states, words x steps x H. keep: what backward() needs stays."""
         n, steps = x.shape
         k = self.u.shape[0]
         h, out, self.kept = np.zeros((n, k), np.float32), np.empty((n, steps, k), np.float32), []
@@ -47,7 +50,8 @@ class Direction:
             z, r, c = gates[:, :k], gates[:, k:], b[:, 2 * k :]
             new = np.tanh(a[:, 2 * k :] + r * c)
             m = mask[:, t : t + 1]
-            self.kept.append((h, z, r, c, new, m))
+            if keep:
+                self.kept.append((h, z, r, c, new, m))
             h = h + m * z * (new - h)
             out[:, t] = h
         return out
@@ -91,19 +95,19 @@ class Network:
         at = np.maximum(mask.sum(axis=1)[:, None] - 1 - np.arange(mask.shape[1]), 0)
         return np.take_along_axis(values, at[:, :, None], axis=1)
 
-    def labels(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def labels(self, words: list[bytes], keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Distribution over languages at every place (words x steps x languages), and which places are real."""
         wf, uf, wb, ub, wo, bo = self.parameters
         x, back, mask = self.padded(words)
         real = mask.astype(np.float32)
         self.ahead, self.behind = Direction(wf, uf), Direction(wb, ub)
-        self.states = np.concatenate([self.ahead.forward(x, real), self.turned(self.behind.forward(back, real), mask)], axis=2)
+        self.states = np.concatenate([self.ahead.forward(x, real, keep), self.turned(self.behind.forward(back, real, keep), mask)], axis=2)
         logits = self.states @ wo + bo
         p = np.exp(logits - logits.max(axis=2, keepdims=True))
         return p / p.sum(axis=2, keepdims=True), mask
 
     def gradients(self, words: list[bytes], target: np.ndarray) -> list[np.ndarray]:
-        p, mask = self.labels(words)
+        p, mask = self.labels(words, keep=True)
         x, back, _ = self.padded(words)
         d = p.copy()
         d[np.arange(len(words)), :, target] -= 1
@@ -136,8 +140,8 @@ class Network:
         """For each word the sum of its places' distributions, then the number of places."""
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for i in range(0, len(words), 4096):
-            at = order[i : i + 4096]
+        for i in range(0, len(words), 2048):
+            at = order[i : i + 2048]
             p, mask = self.labels([words[j] for j in at])
             out[at, :-1], out[at, -1] = (p * mask[:, :, None]).sum(axis=1), mask.sum(axis=1)
         return out
@@ -190,27 +194,23 @@ class Labeller:
 _LABELLERS: dict[bytes, Labeller] = {}
 
 
-def language_of(network: Network | None):
-    """A column function: text -> struct(lang_pred, score)."""
-
-    @F.pandas_udf("lang_pred string, score double")
-    def language(texts: pd.Series) -> pd.DataFrame:
-        n = len(texts)
-        if network is None:
-            return pd.DataFrame({"lang_pred": ["und"] * n, "score": [0.0] * n})
-        key = b"".join(p.tobytes() for p in network.parameters)
+def _predict(network: Network | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_caches("language", _LABELLERS.clear)
-        if key not in _LABELLERS:
+        key = b"".join(p.tobytes() for p in network.parameters) if network else b""
+        if network and key not in _LABELLERS:
             _LABELLERS.clear()
             _LABELLERS[key] = Labeller(network)
-        values = texts.tolist()
-        sums = np.concatenate([np.zeros((0, len(network.languages) + 1)), *(_LABELLERS[key].documents(values[i : i + 128]) for i in range(0, n, 128))])
-        share = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-        known = sums[:, -1] > 0
-        langs = [network.languages[b] if k else "und" for b, k in zip(share.argmax(axis=1).tolist(), known.tolist(), strict=True)]
-        return pd.DataFrame({"lang_pred": langs, "score": np.where(known, np.minimum(share.max(axis=1), 1.0), 0.0)})
+        for batch in small_slices(batches, 128):
+            langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            if network:
+                sums = _LABELLERS[key].documents(batch.column("text").to_pylist())
+                share, known = sums[:, :-1] / np.maximum(sums[:, -1:], 1), sums[:, -1] > 0
+                langs = [network.languages[x] if k else "und" for x, k in zip(share.argmax(axis=1).tolist(), known.tolist(), strict=True)]
+                scores = np.where(known, np.minimum(share.max(axis=1), 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return language
+    return run
 
 
 def held_out(folds: int = 4, fold: int = 2):
@@ -237,5 +237,5 @@ def train(docs: DataFrame, sample_rows: int = 3000, sample_chars: int = 1500, wo
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """docs(doc_id, text, ...) -> the same rows and lang_pred, score."""
-    language = language_of(network)
-    return docs.withColumn("_language", language(F.col("text").cast("string"))).select(*(docs[c] for c in docs.columns if c not in ("lang_pred", "score")), "_language.lang_pred", "_language.score")
+    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(_predict(network), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
