@@ -27,3 +27,25 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
         frontier = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
         seen = seen.unionByName(frontier)
     return seen
+
+
+def reach_via(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """node, depth, via: as reach(), with the smallest of the nodes from which it was first reached."""
+    seen = starts.select("node").distinct().withColumns({"depth": F.lit(0), "via": F.lit(None).cast("string")})
+    frontier = seen
+    for level in range(1, depth + 1):
+        steps = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
+        frontier = steps.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), "via")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """node, level, cycle: every path from starts(node) of up to `depth` steps; one that meets itself ends as a cycle."""
+    front = starts.select("node", F.array("node").alias("path"), F.lit(0).alias("level"), F.lit(False).alias("cycle"))
+    out = front
+    for level in range(1, depth + 1):
+        step = front.filter("not cycle").join(edges, F.col("node") == F.col("src")).withColumn("cycle", F.array_contains("path", F.col("dst")))
+        front = step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit(level).alias("level"), "cycle")
+        out = out.unionByName(front)
+    return out.drop("path")

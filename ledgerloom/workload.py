@@ -24,7 +24,7 @@ def query(*tables: str, sql: str | None = None) -> Callable[[Callable[..., DataF
 
 
 def _load() -> None:
-    from .plans import graph, relational, retrieval, session  # noqa: F401
+    from .plans import delivery, graph, history, paths, ranking, relational, retrieval, session  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
