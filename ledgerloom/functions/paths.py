@@ -51,3 +51,10 @@ def aliased(path: Column, aliases: dict[str, str]) -> Column:
 def line_of(text: Column, offset: Column) -> Column:
     """Number of the line that holds a place (from 1)."""
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n", -1))
+
+
+def normalised(path: Column) -> Column:
+    """The path without empty, `.` and `..` steps."""
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, s: F.when(s.isin("", "."), done).when(s == "..", up(done)).otherwise(F.concat(done, F.array(s)))
+    return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")

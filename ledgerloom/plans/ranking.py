@@ -39,13 +39,13 @@ def select_with_line(embeddings: DataFrame) -> DataFrame:
     return line.unionByName(few).unionByName(low).select("id", "s")
 
 
-@query("embeddings", sql=f"WITH v AS ({_COS}), b AS (SELECT max(greatest(s, 0)) AS best FROM v) SELECT id, round(CASE WHEN label < 5 THEN CAST(0.35 AS DOUBLE) + CAST(0.03 AS DOUBLE) * least(greatest(label - 1, 0), 5) ELSE CAST(0.25 AS DOUBLE) END + CASE WHEN best > 0 THEN CAST(0.5 AS DOUBLE) * greatest(s, 0) / best ELSE 0 END, 6) AS score FROM v, b")
+@query("embeddings", sql=f"WITH v AS ({_COS}), b AS (SELECT max(greatest(s, 0)) AS best FROM v) SELECT id, round(CASE WHEN label < 5 THEN CAST(0.35 AS DOUBLE) + CAST(0.03 AS DOUBLE) * least(greatest(label - 1, 0), 5) ELSE CAST(0.25 AS DOUBLE) END + CASE WHEN best > 0 THEN CAST(0.5 AS DOUBLE) * greatest(s, 0) / best ELSE 0 END, 7) AS score FROM v, b")
 def relevance_score(embeddings: DataFrame) -> DataFrame:
     rows = _cosines(embeddings)
     best = rows.agg(F.max(F.greatest("s", F.lit(0.0))).alias("best"))
     place = F.when(F.col("label") < 5, 0.35 + 0.03 * F.least(F.greatest(F.col("label") - 1, F.lit(0)), F.lit(5))).otherwise(0.25)
     lexical = F.when(F.col("best") > 0, 0.5 * F.greatest("s", F.lit(0.0)) / F.col("best")).otherwise(0.0)
-    return rows.crossJoin(F.broadcast(best)).select("id", F.round(place + lexical, 6).alias("score"))
+    return rows.crossJoin(F.broadcast(best)).select("id", F.round(place + lexical, 7).alias("score"))
 
 
 @query("part", sql=f"WITH t AS (SELECT p_partkey AS id, {_NAME} AS tokens FROM part), s AS (SELECT count(*) AS n, sum(len(tokens)) / greatest(1, count(*)) AS avg FROM t), tf AS (SELECT id, len(tokens) AS len, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM t) WHERE term IN ('red', 'bolt') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY 1")

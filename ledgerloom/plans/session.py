@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import session
+from ..streaming import turns
 from ..workload import query
 
 _E = "event_type"
@@ -82,3 +83,9 @@ def retention_erase(events: DataFrame) -> DataFrame:
 def stream_session_gap(events: DataFrame) -> DataFrame:
     gaps = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return gaps.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+@query("events", stream=True, sql="WITH t AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn_no FROM events), g AS (SELECT user_id, CAST(turn_no AS BIGINT) AS turn_no, count(*) FILTER (event_type = 'view') AS injected, count(*) FILTER (event_type = 'purchase') AS edits FROM t WHERE turn_no > 0 GROUP BY ALL) SELECT * FROM g QUALIFY lead(turn_no) OVER (PARTITION BY user_id ORDER BY turn_no) IS NOT NULL")
+def stream_turns(events: DataFrame) -> DataFrame:
+    """The settled turns that a stream of the same events gives."""
+    return turns.drained(turns.settled_turns(events), "turns")
