@@ -131,3 +131,20 @@ def anchor_rule(orders: DataFrame, customer: DataFrame) -> DataFrame:
 @query("conversations", "documents", sql="SELECT conv_id, turn, role, source FROM conversations JOIN documents ON doc_id = conv_id")
 def citation_role_join(conversations: DataFrame, documents: DataFrame) -> DataFrame:
     return conversations.join(documents.select(F.col("doc_id").alias("conv_id"), "source"), "conv_id").select("conv_id", "turn", "role", "source")
+
+
+@query("conversations", sql="WITH q AS (SELECT conv_id, turn + 1 AS turn, substr(text, 1, 8) AS quote FROM conversations UNION ALL SELECT conv_id, turn, substr(text, 3, 40) FROM conversations) SELECT q.conv_id, q.turn, quote, length(quote) BETWEEN 6 AND 1200 AND contains(c.text, quote) AS grounded FROM q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn = q.turn WHERE quote IS NOT NULL")
+def grounding_check(conversations: DataFrame) -> DataFrame:
+    """Whether a quote stands in the event it cites: here those of the event itself and of the one before."""
+    own = conversations.select("conv_id", "turn", F.substring("text", 3, 40).alias("quote"))
+    quotes = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.substring("text", 1, 8).alias("quote")).unionByName(own).filter("quote is not null")
+    events = conversations.select("conv_id", "turn", "text")
+    return quotes.join(events, ["conv_id", "turn"]).select("conv_id", "turn", "quote", (F.length("quote").between(6, 1200) & F.col("text").contains(F.col("quote"))).alias("grounded"))
+
+
+@query("conversations", sql="WITH c AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, turn, regexp_extract(text, '^[^.]*', 0) AS said FROM c WHERE role = 'user' AND before = 'assistant' AND length(regexp_extract(text, '^[^.]*', 0)) >= 6")
+def explanation_capture(conversations: DataFrame) -> DataFrame:
+    """The first sentence of what a user answers becomes a constraint, if it says something."""
+    said = F.regexp_extract("text", "^[^.]*", 0)
+    rows = conversations.withColumn("before", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn")))
+    return rows.filter("role = 'user' and before = 'assistant'").select("conv_id", "turn", said.alias("said")).filter("length(said) >= 6")

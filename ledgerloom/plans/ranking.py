@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -66,3 +67,39 @@ def reuse_targets(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     hits = 10 * (F.col("p_name").contains("red").cast("long") + F.col("p_name").contains("bolt").cast("long"))
     rows = part.join(calls, "p_partkey").select("p_partkey", "p_name", "calls", hits.alias("hits"))
     return rows.orderBy(F.desc(F.col("calls") + F.col("hits")), "p_partkey").limit(3)
+
+
+@query("documents", sql=f"WITH h AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE term IN ('tion', 'the', 'with') GROUP BY ALL) SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS hits FROM h GROUP BY 1 ORDER BY terms DESC, hits DESC, doc_id LIMIT 200")
+def fulltext_set(documents: DataFrame) -> DataFrame:
+    """Documents with any of the words, those with more of them first; 200 at most, as the search gives."""
+    found = documents.select("doc_id", F.filter(text.tokens(F.col("text")), lambda w: w.isin("tion", "the", "with")).alias("w")).filter(F.size("w") > 0)
+    rows = found.select("doc_id", F.size(F.array_distinct("w")).cast("long").alias("terms"), F.size("w").cast("long").alias("hits"))
+    return rows.orderBy(F.desc("terms"), F.desc("hits"), "doc_id").limit(200)
+
+
+@query("part", sql=f"WITH t AS (SELECT p_partkey, p_type, unnest(list_distinct({_NAME})) AS term FROM part), n AS (SELECT count(*) AS n FROM part), d AS (SELECT term, count(*) AS df FROM t WHERE term IN ('red', 'bolt', 'ring') GROUP BY 1) SELECT p_partkey, round(sum(ln(1 + n / df)) + CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END, 6) AS score FROM t JOIN d USING (term), n GROUP BY p_partkey, p_type ORDER BY score DESC, p_partkey LIMIT 20")
+def navigation_rank(part: DataFrame) -> DataFrame:
+    """Rare words of the question weigh more; a place in the path adds one."""
+    words = F.filter(F.array_distinct(text.identifier_parts(F.col("p_name"))), lambda w: w.isin("red", "bolt", "ring"))
+    hits = part.select("p_partkey", "p_type", F.explode(words).alias("term"))
+    df, n = hits.groupBy("term").agg(F.count("*").alias("df")), part.agg(F.count("*").alias("n"))
+    rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("p_partkey", "p_type").agg(F.sum(F.log(1 + F.col("n") / F.col("df"))).alias("s"))
+    score = F.round(F.col("s") + F.when(F.col("p_type") == "SMALL", 1).otherwise(0), 6)
+    return rows.select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
+
+
+@query("embeddings", sql=f"WITH v AS ({_COS}), b AS (SELECT id, label, s FROM v WHERE id <> 0 ORDER BY s DESC, id LIMIT 1), r AS (SELECT max(v.s) AS rival FROM v, b WHERE v.id <> 0 AND v.label <> b.label) SELECT id, s, s >= 0.40 AND s - coalesce(rival, 0) >= 0.05 AS taken FROM b, r")
+def translate_words(embeddings: DataFrame) -> DataFrame:
+    """The best word for an unknown one, taken if near enough and ahead of the best of another stem (here: label)."""
+    rows = _cosines(embeddings).filter("id <> 0")
+    by_stem = rows.groupBy("label").agg(F.max_by(F.struct("s", "id"), F.struct("s", -F.col("id"))).alias("best"))
+    two = by_stem.orderBy(F.desc("best.s"), "best.id").limit(2).agg(F.max_by("best", F.struct("best.s", -F.col("best.id"))).alias("b"), F.min("best.s").alias("low"), F.count("*").alias("n"))
+    rival = F.when(F.col("n") > 1, F.col("low")).otherwise(0.0)
+    return two.filter("n > 0").select("b.id", "b.s", ((F.col("b.s") >= 0.40) & (F.col("b.s") - rival >= 0.05)).alias("taken"))
+
+
+@query("nation", sql="SELECT n_nationkey, row_number() OVER (ORDER BY n_name, n_nationkey) AS place FROM nation")
+def collation_order(nation: DataFrame) -> DataFrame:
+    """Places in the order of the Unicode collation; equal to binary order for names in capitals."""
+    place = F.row_number().over(W.orderBy(F.collate("n_name", "UNICODE"), "n_nationkey"))
+    return nation.select("n_nationkey", place.cast("long").alias("place"))
