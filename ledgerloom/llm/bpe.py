@@ -37,7 +37,7 @@ _OTHERWISE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028
 
 #: The same for ASCII in a few searches: letters and digits become a, other marks and odd white space x.
 _SHAPE = bytes(c if c in b" \n" else 46 if c in b".," else 97 if chr(c).isalnum() else 120 for c in range(128)).ljust(256, b"x")
-_BREAKS = (b"  ", b"\n\n", b" \n", b"\n ", b" .", b"\n.", b"x.")
+_BREAKS = (b"  ", b"\n\n", b" \n", b"\n ", b" .", b"\n.", b"x.", b"..")
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 

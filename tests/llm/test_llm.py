@@ -184,9 +184,12 @@ def test_bpe_equals_library(docs, texts):
     library, own = Tokenizer.from_file(PATH), bpe.codec(PATH)
     r = random.Random(1)
     odd = ["".join(r.choices([*" \n\t'sdtlre.,!?é漢😀1２\xa0\x1c\x85", "  ", "<|endoftext|>"], k=25)) for _ in range(500)]
+    odd += ["".join(r.choices([*" \n\t'sdtAB.,-_0", "  ", "word"], k=12)) for _ in range(3000)]  # ASCII alone is cut by other rules
+    by_library = token_files.library_codec(PATH)
     for t in [*odd, *(x or "" for x in texts), "ab" * 400]:
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ids
+        assert by_library.encode(t) == own.encode(t)
         assert own.decode(own.encode(t)) == library.decode(ids, skip_special_tokens=False)
     assert bpe.round_trip(docs, PATH).count() == len(texts)
 
