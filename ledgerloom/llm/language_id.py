@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import hold_caches, small_slices, smallest_hashes
 
-HIDDEN, LONGEST, REMEMBERED = 16, 48, 500_000
+HIDDEN, LONGEST, REMEMBERED = 16, 48, 250_000
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
 
