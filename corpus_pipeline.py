@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontaminate, language_id, minhash_dedup, substring_dedup
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import release, written
 from ledgerloom.llm.queries import tokenizer_path
 
 
@@ -24,11 +24,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that start in an earlier document; a document with no words left goes."""
-    cut = substring_dedup.repeated_passages(docs, text=True).filter("n_removed > 0").select("doc_id", "kept_text")
-    left = docs.join(cut, "doc_id", "left").filter("kept_text is null or kept_text <> ''")
-    left = left.withColumn("text", F.coalesce("kept_text", "text"))
+    release(spark, 1)
+    cut = substring_dedup.CUT
+    left = substring_dedup.without_passages(docs).filter(f"not {cut} or text <> ''")
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        left = left.withColumn("n_chars", F.when(F.col(cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
 
 

@@ -25,12 +25,15 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fingerprint, gram_hashes, hash_words, release, small_slices, words_of, written
 
 ANCHOR = 8
 #: Words of stretches in one tree.
 TREE_WORDS = 400_000
+#: Column that without_passages() adds.
+CUT = "__words_removed"
 
 
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -158,32 +161,50 @@ def _trees(window: int, limit: int):
     return run
 
 
-def _kept(window: int):
+def _left(text: str | None, ranges: list[dict], window: int) -> tuple[int, int, bytes]:
+    """Words of a text, how many of them the ranges of windows cover, and the others joined by one space."""
+    words = words_of(text)
+    gone = np.zeros(len(words) + 1, np.int32)
+    for r in ranges:
+        gone[r["first"]] += 1
+        gone[min(len(words), r["first"] + r["windows"] + window - 1)] -= 1
+    gone = np.cumsum(gone[:-1]) > 0
+    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+
+
+def _digests(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, 128):
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], []]
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                words = words_of(text)
-                gone = np.zeros(len(words) + 1, np.int32)
-                for r in ranges:
-                    gone[r["first"]] += 1
-                    gone[min(len(words), r["first"] + r["windows"] + window - 1)] -= 1
-                gone = np.cumsum(gone[:-1]) > 0
-                left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                for col, x in zip(cols, (len(words), int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode()), strict=True):
+                n, removed, left = _left(text, ranges, window)
+                for col, x in zip(cols, (n, removed, hashlib.sha256(left).hexdigest()), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+def _cut(window: int):
+    """Rows with their text and, last, the ranges to remove -> rows with the kept text and whether anything went."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_slices(batches, 128):
+            at, ranges = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1)
+            columns, hit = batch.columns[:-1], ranges.is_valid()
+            if ranges.null_count < batch.num_rows:
+                pairs = zip(columns[at].to_pylist(), ranges.to_pylist(), strict=True)
+                columns[at] = pa.array([_left(t, r, window)[2].decode() if r else t for t, r in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, hit], names=[*batch.schema.names[:-1], CUT])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, tree_words: int = TREE_WORDS, text: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256; with text=True also kept_text, which is the text
-    as it was where nothing went, else the kept words joined by one space."""
+def _repeats(docs: DataFrame, window: int, tree_words: int) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> a profile of each row; and doc_id, ranges of windows to remove."""
     if window < ANCHOR + 1:
         raise ValueError(f"a window needs at least {ANCHOR + 1} words")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = written(docs.mapInArrow(_profile(window), "doc_id long, n_words long, fp1 long, fp2 long, all_sha256 string, runs array<long>"), "profile")
     long = profile.filter(f"n_words >= {window} and doc_id is not null")
     firsts = written(long.groupBy("fp1", "fp2", "n_words").agg(F.min("doc_id").alias("rep"), F.first("runs").alias("runs")), "firsts")
@@ -194,15 +215,32 @@ def repeated_passages(docs: DataFrame, window: int = 50, tree_words: int = TREE_
     sent = docs.join(wanted, "doc_id").mapInArrow(_stretches(window), "run long, doc_id long, first int, windows int, words binary")
     sent = sent.repartition("run").sortWithinPartitions("run", "doc_id", "first")
     ranges = written(sent.mapInArrow(_trees(window, tree_words), "doc_id long, first int, windows int").distinct(), "ranges")
+    del sent
     release(spark)
     copies = long.join(firsts.drop("runs"), ["fp1", "fp2", "n_words"]).filter("rep < doc_id").select("doc_id", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("windows"))
-    gone = ranges.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
-    cut = docs.join(gone, "doc_id").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    if text:
-        same = docs.join(gone, "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
-        return cut.select("doc_id", "n_removed", "kept_text").unionByName(same)
+    return profile, ranges.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
+
+
+def _typed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+
+
+def repeated_passages(docs: DataFrame, window: int = 50, tree_words: int = TREE_WORDS) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
+    docs = _typed(docs).select("doc_id", "text")
+    profile, gone = _repeats(docs, window, tree_words)
+    cut = docs.join(gone, "doc_id").mapInArrow(_digests(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     same = profile.join(gone, "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("all_sha256").alias("kept_sha256"))
-    return cut.drop("kept_text").unionByName(same)
+    return cut.unionByName(same)
+
+
+def without_passages(docs: DataFrame, window: int = 50, tree_words: int = TREE_WORDS) -> DataFrame:
+    """docs(doc_id, text, ...) -> the same rows with the kept words, joined by one space, as text where words went, and
+    the column CUT, which says where. Texts move once, with their row."""
+    docs = _typed(docs)
+    _, gone = _repeats(docs.select("doc_id", "text"), window, tree_words)
+    rows = docs.join(gone.withColumnRenamed("ranges", CUT), "doc_id", "left").select(*docs.columns, CUT)
+    return rows.mapInArrow(_cut(window), T.StructType([*docs.schema.fields, T.StructField(CUT, T.BooleanType())]))
 
 
 #: The same rows in SQL; it writes every window out, so it suits small tables.
