@@ -34,7 +34,7 @@ def query(*tables: str, sql: str | None = None, stream: bool = False) -> Callabl
 
 
 def _load() -> None:
-    from .plans import delivery, graph, history, paths, ranking, relational, retrieval, session  # noqa: F401
+    from .plans import delivery, graph, history, paths, ranking, relational, retrieval, selection, session  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
