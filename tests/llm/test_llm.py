@@ -90,6 +90,15 @@ def test_repeated_passages_equal_brute_force(docs, texts, tree_words):
     assert got == want
 
 
+def test_without_passages_keeps_rows_and_columns(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), "a few words"
+    rows = [(1, long, "x"), (2, f"before {long} after", "y"), (3, long, "z"), (4, None, None), (5, "", "x"), (None, long, "n"), (6, short, "x"), (7, short, "x")]
+    got = substring_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string, ranges string"))
+    assert got.columns == ["doc_id", "text", "ranges", substring_dedup.CUT]
+    want = [(1, long, "x", False), (2, "before after", "y", True), (3, "", "z", True), (4, None, None, False), (5, "", "x", False), (None, long, "n", False), (6, short, "x", False), (7, short, "x", False)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_lm_base_score_counts_and_model(docs, texts):
     train, count = [], Counter()
     toks = lambda t: [w.encode().lower() for w in words_of(t)] + [None]
