@@ -45,8 +45,19 @@ def resolve_target(part: DataFrame, supplier: DataFrame) -> DataFrame:
 
 @query("lineitem", sql="WITH s AS (SELECT l_suppkey AS k, list(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1), n AS (SELECT l_suppkey AS k, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1), i AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(DISTINCT a.l_partkey) AS c FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey <= 10) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey <= 10) b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM i JOIN n x ON x.k = a JOIN n y ON y.k = b")
 def shape_jaccard(lineitem: DataFrame) -> DataFrame:
-    """The ten observed shapes are a stated query set; they meet through shared parts, not in all pairs."""
-    rows = lineitem.filter("l_suppkey <= 10").select(F.col("l_suppkey").alias("k"), "l_partkey").distinct()
+    """Pairs among the suppliers up to 10 alone, as the SQL has it; shape_jaccard_all compares all suppliers."""
+    return _jaccard(lineitem.filter("l_suppkey <= 10"))
+
+
+@query("lineitem", sql="WITH r AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem), n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), i AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM r x JOIN r y ON x.p = y.p AND x.k < y.k GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM i JOIN n x ON x.k = a JOIN n y ON y.k = b")
+def shape_jaccard_all(lineitem: DataFrame) -> DataFrame:
+    """Every pair of suppliers with a common part."""
+    return _jaccard(lineitem)
+
+
+def _jaccard(lineitem: DataFrame) -> DataFrame:
+    """Suppliers meet through shared parts, not in all pairs."""
+    rows = lineitem.select(F.col("l_suppkey").alias("k"), "l_partkey").distinct()
     sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
     a, b = (rows.select(F.col("k").alias(x), "l_partkey") for x in ("a", "b"))
     shared = a.join(b, "l_partkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))

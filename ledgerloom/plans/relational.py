@@ -94,6 +94,13 @@ def insert_or_ignore(documents: DataFrame) -> DataFrame:
     return store.insert_or_ignore(rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 2 = 0"), "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
+@query("documents", sql="WITH t AS (SELECT doc_id, source, lang FROM documents WHERE doc_id % 3 <> 0) SELECT source, lang, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT DISTINCT doc_id, source, lang FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND doc_id NOT IN (SELECT doc_id FROM t)) GROUP BY ALL")
+def insert_or_ignore_all(documents: DataFrame) -> DataFrame:
+    """As insert_or_ignore, of two overlapping parts that together hold every document."""
+    rows = documents.select("doc_id", "source", "lang")
+    return store.insert_or_ignore(rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 2 = 0 or doc_id % 3 = 0"), "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
 @query("orders", "customer", sql="(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def set_operations(orders: DataFrame, customer: DataFrame) -> DataFrame:
     keys = lambda status: orders.filter(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"))
