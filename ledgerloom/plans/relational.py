@@ -179,3 +179,43 @@ def redact_projection(conversations: DataFrame) -> DataFrame:
 def scrub_secrets(documents: DataFrame) -> DataFrame:
     out = F.regexp_replace("text", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "[email]")
     return documents.select("doc_id", F.regexp_replace(out, "[0-9]{12,19}", "[number]").alias("scrubbed"))
+
+
+#: Patterns are spelled so that Java and RE2 read them as JavaScript does: its white space, letters' case in ASCII alone.
+_GAP = r"\x09-\x0D \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: RE2's boundary of a word is JavaScript's, Java 17's is not: there it is spelled out.
+_WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join([_any_case("password"), f"{_any_case('api')}[_-]?{_any_case('key')}", f"{_any_case('access')}[_-]?{_any_case('token')}", _any_case("authorization")])
+_SECRETS = [
+    (r"-----BEGIN [^-]*PRIVATE KEY-----[\s\S]*?(?:-----END [^-]*PRIVATE KEY-----|\z)", "[REDACTED PRIVATE KEY]"),
+    (r"\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9_]{16,})\b", "[REDACTED TOKEN]"),
+    (rf"\b{_any_case('bearer')}[{_GAP}]+[A-Za-z0-9._~+/-]+=*", "Bearer [REDACTED]"),
+    (rf"""\b({_NAMES})\b["']?[{_GAP}]*[:=][{_GAP}]*["']?[^{_GAP},"'}}]+""", r"\1=[REDACTED]"),
+]
+_KEPT = 12_000
+
+
+def _redacted_sql() -> str:
+    out, quoted = "text", lambda x: "'" + x.replace("'", "''") + "'"
+    for pattern, put in _SECRETS:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(put)}, 'g')"
+    return out
+
+
+@query("documents", "conversations", sql=f"WITH t AS (SELECT 'document' AS kind, doc_id AS id, CAST(NULL AS BIGINT) AS turn, text FROM documents UNION ALL SELECT 'conversation', conv_id, turn, text FROM conversations), c AS (SELECT *, {_redacted_sql()} AS cleaned FROM t) SELECT kind, id, turn, substr(cleaned, 1, {_KEPT}) AS text, length(cleaned) > {_KEPT} AS truncated, cleaned <> text AS redacted FROM c")
+def redact_secrets(documents: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Private keys, tokens, bearer values and assigned passwords replaced in both tables, then the text cut. Characters
+    are code points; of a null text, text and flags are null."""
+    rows = documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("turn"), "text")
+    rows = rows.unionByName(conversations.select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))
+    out = F.col("text")
+    for pattern, put in _SECRETS:
+        out = F.regexp_replace(out, pattern.replace(r"\b", _WORD_EDGE), put.replace(r"\1", "$1"))
+    rows = rows.withColumn("cleaned", out)
+    return rows.select("kind", "id", "turn", F.substring("cleaned", 1, _KEPT).alias("text"), (F.length("cleaned") > _KEPT).alias("truncated"), (F.col("cleaned") != F.col("text")).alias("redacted"))

@@ -1,5 +1,7 @@
 """Queries that look at the whole table where an older one of the same kind takes a part of it."""
 
+import duckdb
+
 from ledgerloom import workload
 from ledgerloom.plans import history
 
@@ -23,3 +25,33 @@ def test_relations_grow_with_the_orders(spark):
     ends = history.order_relations(orders)
     assert ends.select("src").distinct().count() == 1000
     assert ends.count() == 500 + 1000 - 1
+
+
+SECRETS = {
+    "a -----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- b": "a [REDACTED PRIVATE KEY] b",
+    "a -----BEGIN PRIVATE KEY-----\nnever ended\n": "a [REDACTED PRIVATE KEY]",
+    "sk-abcdefghijklmnop-- ghp_0123456789abcdef, xsk-abcdefghijklmnop sk-short": "[REDACTED TOKEN]-- [REDACTED TOKEN], xsk-abcdefghijklmnop sk-short",
+    "\u00e9sk-abcdefghijklmnop\u00e9": "\u00e9[REDACTED TOKEN]\u00e9",
+    "bEaReR\u00a0ab.c~d== Bearer": "Bearer [REDACTED] Bearer",
+    '{"Password": "x y", api-key=\'q\', ACCESS_TOKEN : t}': '{"Password=[REDACTED] y", api-key=[REDACTED]\', ACCESS_TOKEN=[REDACTED]}',
+    "Authorization: Bearer abc, passwords: kept, pa\u017f\u017fword=kept": "Authorization=[REDACTED] [REDACTED], passwords: kept, pa\u017f\u017fword=kept",
+    "password=[REDACTED]": "password=[REDACTED]",
+    "x" * 12_000: "x" * 12_000,
+    "y" * 11_990 + " password=secret": "y" * 11_990 + " password=",
+}
+
+
+def test_secrets_go_from_both_tables(spark, tmp_path):
+    texts = [*SECRETS, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [tuple(r) for r in workload.queries()["redact_secrets"](spark, str(tmp_path)).collect()]
+    for kind in ("document", "conversation"):
+        by_id = {r[1]: r[3:] for r in got if r[0] == kind}
+        for i, (text, want) in enumerate(SECRETS.items()):
+            assert by_id[i] == (want, text.startswith("y"), text.startswith("y") or text != want)
+        assert by_id[len(SECRETS)] == (None, None, None)
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(repr, got)) == sorted(map(repr, con.execute(workload.oracle_sql()["redact_secrets"]).fetchall()))
