@@ -2,7 +2,7 @@
 
 write_png/read_png handle 8-bit grey images of any size; the reader checks the signature, every chunk's CRC-32 and the
 length of the samples, and undoes all five filters with numpy. `perceptual_hash` takes the low frequencies of a cosine
-transform of the image, averaged to 32 x 32.
+transform of the image, averaged to 32 x 32, each axis by itself; rows are repeated where there are fewer than 32.
 
 Null texts count as empty; an empty payload becomes one row of 64 zero samples. Equal texts give equal values. Rows are
 handled one by one, so repeated or null doc_ids and further columns don't matter.
@@ -97,13 +97,19 @@ def read_png(data: bytes) -> np.ndarray:
     return _unfilter(raw[:, 0], raw[:, 1:])
 
 
+def _averaged(values: np.ndarray, axis: int) -> np.ndarray:
+    """One axis brought to SIDE places: each the mean of its share of the values, which are repeated where there are fewer."""
+    n = values.shape[axis]
+    at = np.arange(SIDE) * n // SIDE
+    if n < SIDE:
+        return values.take(at, axis)
+    sizes = np.diff(np.r_[at, n])
+    return np.add.reduceat(values, at, axis=axis) / (sizes if axis else sizes[:, None])
+
+
 def perceptual_hash(samples: np.ndarray) -> str:
     """64 bits as hexadecimal: which low-frequency cosine coefficients lie above their median."""
-    height, width = samples.shape
-    ys, xs = (np.arange(SIDE) * n // SIDE for n in (height, width))
-    sums = np.add.reduceat(np.add.reduceat(samples.astype(np.float64), xs, axis=1), ys, axis=0) if min(height, width) >= SIDE else samples[np.ix_(ys, xs)].astype(np.float64)
-    if min(height, width) >= SIDE:
-        sums /= np.outer(np.diff(np.r_[ys, height]), np.diff(np.r_[xs, width]))
+    sums = _averaged(_averaged(samples.astype(np.float64), 1), 0)
     low = np.rint(_COSINES @ sums @ _COSINES.T * 1e6)
     return np.packbits(low.ravel() > np.median(low)).tobytes().hex()
 
