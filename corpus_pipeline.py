@@ -17,8 +17,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies."""
-    others = minhash_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    """The smallest document of each group of near copies, linked from a similarity of 0.8 on."""
+    others = minhash_dedup.near_duplicates(docs, similarity=80).filter(~F.col("kept")).select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
