@@ -9,7 +9,7 @@ A window is `window` consecutive words. Every word covered by a window that also
    it has enough words. A group too large for one tree is read in ascending doc_id; only stretches in which a window
    occurs first stay for the next tree, so memory follows distinct content and not the number of copies.
 4. A tree is held as ranks of suffix prefixes of 1, 2, 4 ... words (prefix doubling), words numbered exactly. Suffixes
-   with one rank at depth `window` hang below one internal node of that depth: a repeat of at least `window` words.
+   with one rank at depth `window` are one class: a repeat of at least `window` words. No nodes of other depths are built: this is the only depth read.
 
 Null or empty texts have no words and stay. Rows that repeat a doc_id are each judged against smaller doc_ids only.
 A row with a null doc_id is compared with nothing and keeps its words. Further columns are ignored.
