@@ -158,17 +158,17 @@ class InvertedList:
 
 
 def _round(wide: int, similarity: int, top: int):
-    """Rows sorted by value -> pairs (a < b), sure ones marked; (-1, -1) says that partners are left for later."""
+    """Rows sorted by value -> pairs (a < b), sure ones marked; a row with `more` is no pair and says that partners are left for later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value, parts in groups(batches, "value"):
             at = InvertedList(value, pa.Table.from_batches(parts), wide, similarity)
             if (at.comp == at.comp[0]).all():
                 continue
-            out = {(-1, -1, False) if x is None else (*sorted((int(at.doc[x[0]]), int(at.doc[x[1]]))), x[2]) for x in (at.later(top) if top else at.first())}
+            out = {(0, 0, False, True) if x is None else (*sorted((int(at.doc[x[0]]), int(at.doc[x[1]]))), x[2], False) for x in (at.later(top) if top else at.first())}
             if out:
-                a, b, sure = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure)], names=["a", "b", "sure"])
+                a, b, sure, more = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure), pa.array(more)], names=["a", "b", "sure", "more"])
 
     return run
 
@@ -231,13 +231,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: in
             apart = at.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("value")
             at = at.join(apart, "value", "left_semi")
         at = at.join(sketch, "doc_id").select("value", "doc_id", "n_shingles", "comp", "held", "sketch").repartition("value").sortWithinPartitions("value", "doc_id")
-        found = at.mapInArrow(_round(wide, similarity, top), "a long, b long, sure boolean").distinct()
-        found = written(found if seen is None else found.join(seen, ["a", "b"], "left_anti"), "pairs")
+        found = at.mapInArrow(_round(wide, similarity, top), "a long, b long, sure boolean, more boolean").distinct()
+        found = written(found if seen is None else found.join(seen, ["a", "b", "more"], "left_anti"), "pairs")
         del at
         release(spark)
-        more, pairs = bool(found.filter("a < 0 and b < 0").limit(1).count()), found.filter("a >= 0 or b >= 0")
+        more, pairs = bool(found.filter("more").limit(1).count()), found.filter("not more")
         if pairs.limit(1).count():
-            links, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b")
+            links, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b", "more")
             if unsure.limit(1).count():
                 one = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("one")).distinct()
                 two = one.select(F.col("a").alias("b"), F.col("one").alias("two"))
