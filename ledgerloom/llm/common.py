@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +21,46 @@ CACHE_WORDS = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Spark deletes the shuffle files of an execution when it ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, one machine alone (master
+    local[...], as in tests) gets a temporary one; a cluster gets an error, as its machines share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors. The shuffle files of
+    its job are deleted with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, wait_s: float = 0) -> None:
-    """Lets Spark delete shuffle files of jobs whose results are already written; it does so in the background."""
-    gc.collect()
-    with contextlib.suppress(Exception):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait_s)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 _HOLDER: list = [None, None]
@@ -130,27 +147,34 @@ def by_batch(f: Callable[[dict], dict], schema: pa.Schema) -> Callable[[Iterator
     return run
 
 
-def small_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that long texts don't pile up as Python objects."""
+def small_slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows and bytes of a column (or one row), so that long texts don't
+    pile up as Python objects."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        at, n = batch.schema.get_field_index(column), batch.num_rows
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)) if at >= 0 else np.zeros(n, np.int64)
+        i = 0
+        while i < n:
+            j = min(i + rows, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right"))))
+            yield batch.slice(i, j - i)
+            i = j
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Runs of equal keys in batches sorted by key, in pieces as they come: (key, slices); a key may come as several
-    slices but never interleaved."""
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of equal keys in batches sorted by them: (keys, slices of batches)."""
     last, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        columns = [batch.column(k).to_numpy() for k in keys]
+        changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cuts = [0, *changes.tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and keys[a] != last:
+            now = tuple(c[a] for c in columns)
+            if held and now != last:
                 yield last, held
                 held = []
-            last = keys[a]
+            last = now
             held.append(batch.slice(a, b - a))
     if held:
         yield last, held

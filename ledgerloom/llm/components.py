@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,11 @@ def connected(edges: DataFrame) -> DataFrame:
         lowered = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         after = lowered.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("label"), (F.least("low", F.coalesce("far", "low")) < F.col("label")).alias("moved"))
-        after = written(after, "labels")
+        before, after = labels, written(after, "labels")
+        discard(before)
         if not after.filter("moved").limit(1).count():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+            break
+        labels = after
+    labels = after.select("node", "label")
+    labels.written_to = after.written_to
+    return labels

@@ -3,21 +3,23 @@
 One hash function orders all shingles; a document keeps its k smallest values. Documents are linked if their sets have
 Jaccard similarity of at least `similarity` percent.
 
-1. Equal sets become one class (the smallest doc_id stands for it), so copies never meet each other again.
+1. Equal sets become one class, so copies never meet each other again. All that follows is about classes.
 2. Inverted lists of retained values: of every class only the rarest half of its values is listed. Classes that share
    half of their sketches (at 0.85 fewer share so little than one pair in ten million) always meet in such a list, while
-   values that very many documents hold (a common passage) stay out of it.
-3. In a list, pairs are judged by wider sketches (WIDE values): where both are whole sets the answer is exact, else a
-   union-sketch estimate 4.5 standard deviations below the limit or more sends the pair to a test on whole sets. Each class
-   first meets the smallest class of the list and its neighbour in sketch order; links are merged to components. Then
-   classes that are still apart meet their most similar partners, 4, 32, 256 ... of them, until no pair that could be a
-   link is left between two components. So a group of thousands of near copies needs few tests per member, and no
-   partner is ever left out.
+   values that very many documents hold (a common passage) stay out of it. Lists with the same members are one list.
+3. Pairs come before sets: a pair is first judged by the two sketches. If these are whole sets, the answer is exact;
+   else a union-sketch estimate 4.5 standard deviations below the limit ends it. What is left is tested on whole sets.
+4. Stars: every class meets the smallest class of each of its lists, first the most similar of these only, and links
+   are merged to components. So a group of thousands of copies needs few tests per member.
+5. Lists whose members are still apart: the members outside the list's largest component meet all others of the list, in
+   blocks of at most `block` against `block` members, so that a long list is many tasks. A member hands on its `top` most
+   similar partners; lists in which one had more come again with eight times as many, after merging. No partner is left
+   out: a list ends when all its pairs that could be links are tested or lie within one component.
 
 Nulls, empty texts: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is one shingle.
-Repeated doc_id: rows with equal sets share a class; differing texts under one doc_id count as one document when
-components are formed, and each row is returned. A null doc_id is returned with its own set size and linked with nothing.
-Further columns are ignored.
+Rows are judged by themselves: rows that repeat a doc_id are linked if their own texts are, so one of them may be in a
+component and another not. component_id is the smallest doc_id of a component. A null doc_id is returned with its own set
+size and linked with nothing. Further columns are ignored, apart from those named in `key`.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fingerprint, gram_hashes, groups, hash_words, mixed, release, small_slices, written
+from .common import discard, fingerprint, gram_hashes, groups, hash_words, mixed, small_slices, written
 from .components import connected
 
-#: Values of a sketch for the lists, and of the wide sketch by which pairs in a list are judged.
-K, WIDE = 48, 512
+#: Values of a sketch, and members of a list that one task compares with as many others.
+K, BLOCK = 48, 4096
+PAIRS = "a long, b long, estimate double, sure boolean"
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -45,28 +48,25 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
 
 
 def _sketches(width: int, k: int):
+    """doc_id, text, further columns -> doc_id, those columns, set size, fingerprint, sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches):
-            ids, counts, one, two, sketches = batch.column("doc_id"), [], [], [], []
-            for text in batch.column("text").to_pylist():
-                values = shingle_set(text, width)
-                a, b = fingerprint(values)
-                counts.append(len(values))
-                one.append(a)
-                two.append(b)
-                sketches.append(values[:k].tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "sketch"])
+            sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
+            one, two = zip(*map(fingerprint, sets), strict=True)
+            names = [x for x in batch.schema.names if x != "text"]
+            made = [pa.array([len(x) for x in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([x[:k].tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *made], names=[*names, "n_shingles", "fp1", "fp2", "sketch"])
 
     return run
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, sketch -> one row for each retained value."""
-    for batch in batches:
+    """node, sketch -> one row for each retained value."""
+    for batch in small_slices(batches, 4096, column="sketch"):
         data = [np.frombuffer(x, np.int64) for x in batch.column("sketch").to_pylist()]
-        if data:
-            lengths = [len(x) for x in data]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("doc_id").to_numpy(), lengths)), pa.array(np.repeat(np.array(lengths, np.int32), lengths)), pa.array(np.concatenate(data))], names=["doc_id", "size", "value"])
+        lengths = [len(x) for x in data]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), lengths)), pa.array(np.repeat(np.array(lengths, np.int32), lengths)), pa.array(np.concatenate(data))], names=["node", "size", "value"])
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
@@ -77,8 +77,49 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return float((again & (rank <= k)).sum() / max(1, min(k, rank[-1] if len(rank) else 1)))
 
 
+class Judge:
+    """What two sketches say of two sets."""
+
+    def __init__(self, k: int, similarity: int):
+        share = similarity / 100
+        self.k, self.similarity, self.floor = k, similarity, share - 4.5 * (share * (1 - share) / k) ** 0.5
+
+    def fits(self, n: np.ndarray, m) -> np.ndarray:
+        """Whether sizes alone allow a link."""
+        return 100 * np.minimum(n, m) >= self.similarity * np.maximum(n, m)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[bool, float, bool]:
+        """Sketches and set sizes -> whether a link is possible, the estimate, whether the link is sure."""
+        if max(n, m) <= self.k:  # both sketches are whole sets
+            inter = n + m - len(np.union1d(a, b))
+            return 100 * inter >= self.similarity * (n + m - inter), inter / (n + m - inter), True
+        estimate = union_estimate(a, b, self.k)
+        return estimate >= self.floor, estimate, False
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    a, b, estimate, sure = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(estimate, pa.float64()), pa.array(sure, pa.bool_())], names=["a", "b", "estimate", "sure"])
+
+
+def _judged(k: int, similarity: int):
+    """a, b, their sizes n, m and sketches one, two -> the pairs that could be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(k, similarity)
+        for batch in batches:
+            out = []
+            for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m", "one", "two")), strict=True):
+                keep, estimate, sure = judge(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m)
+                if keep:
+                    out.append((a, b, estimate, sure))
+            yield _pairs(out)
+
+    return run
+
+
 class Postings:
-    """value -> the rows that hold it, over the rows of one list."""
+    """value -> the rows that hold it."""
 
     def __init__(self, rows: list[np.ndarray]):
         flat = np.concatenate(rows)
@@ -93,98 +134,72 @@ class Postings:
         return np.bincount(np.concatenate(parts), minlength=self.rows) if parts else np.zeros(self.rows, np.int64)
 
 
-class InvertedList:
-    """The classes that hold one value: their sizes, components, other listed values and wide sketches."""
-
-    def __init__(self, value: int, table: pa.Table, wide: int, similarity: int):
-        self.value, self.wide, self.similarity = value, wide, similarity
-        self.doc, self.n, self.comp = (table.column(x).to_numpy() for x in ("doc_id", "n_shingles", "comp"))
-        self.held = [np.array(x, np.int64) for x in table.column("held").to_pylist()]
-        self.sketch = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
-        self.floor = similarity / 100 - 4.5 * (similarity / 100 * (1 - similarity / 100) / wide) ** 0.5
-
-    def near(self, i: int, j: np.ndarray, inter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of row i and rows j: which to keep, an estimate of their similarity, and which are links for sure because
-        both sketches are whole sets."""
-        if inter is None:
-            hit = np.isin(np.concatenate([self.sketch[x] for x in j]), self.sketch[i])
-            inter = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum([len(self.sketch[x]) for x in j])[:-1]])
-        else:
-            inter = inter[j]
-        whole = (self.n[j] <= self.wide) & (self.n[i] <= self.wide)
-        union = np.where(whole, self.n[j] + self.n[i] - inter, self.wide)
-        estimate = inter / np.maximum(union, 1)
-        keep = np.where(whole, 100 * inter >= self.similarity * union, estimate >= self.floor)
-        for x in np.flatnonzero(keep & ~whole).tolist():
-            estimate[x] = union_estimate(self.sketch[i], self.sketch[j[x]], self.wide)
-            keep[x] = estimate[x] >= self.floor
-        return keep, estimate, whole
-
-    def fits(self, i: int) -> np.ndarray:
-        """Rows whose size alone allows a link with row i."""
-        return 100 * np.minimum(self.n, self.n[i]) >= self.similarity * np.maximum(self.n, self.n[i])
-
-    def first(self) -> Iterator[tuple[int, int, bool]]:
-        """Every class with the smallest class of the list and with its neighbour in sketch order."""
-        order = sorted(range(len(self.doc)), key=lambda x: (self.sketch[x][:4].tolist(), self.doc[x]))
-        for i, j in [*((0, x) for x in range(1, len(order))), *zip(order[:-1], order[1:], strict=True)]:
-            if self.comp[i] != self.comp[j] and self.fits(i)[j]:
-                keep, _, whole = self.near(i, np.array([j]))
-                if keep[0]:
-                    yield i, j, bool(whole[0])
-
-    def later(self, top: int) -> Iterator[tuple[int, int, bool] | None]:
-        """For classes outside the list's largest component, the `top` most similar ones of other components that they
-        meet in no list before this one; None if there are more."""
-        names, counts = np.unique(self.comp, return_counts=True)
-        main, met, wide = names[counts.argmax()], Postings(self.held), None
-        for i in np.flatnonzero(self.comp != main).tolist():
-            fit = self.fits(i) & (self.comp != self.comp[i])
-            if not fit.any():
-                continue
-            fit &= met.shared(self.held[i][self.held[i] < self.value]) == 0
-            j = np.flatnonzero(fit)
-            if not len(j):
-                continue
-            if len(j) > 32:
-                wide = wide or Postings(self.sketch)
-            keep, estimate, whole = self.near(i, j, wide.shared(self.sketch[i]) if len(j) > 32 else None)
-            j, estimate, whole = j[keep], estimate[keep], whole[keep]
-            order = np.lexsort((self.doc[j], -estimate))
-            if len(order) > top:
-                yield None
-            for x in order[:top].tolist():
-                yield i, int(j[x]), bool(whole[x])
-
-
-def _round(wide: int, similarity: int, top: int):
-    """Rows sorted by value -> pairs (a < b), sure ones marked; a row with `more` is no pair and says that partners are left for later."""
+def _block(value: int, rows: pa.Table, judge: Judge, top: int) -> Iterator[tuple | None]:
+    """One block of a list: of each row that asks, the `top` most similar rows of other components that it meets in no
+    list before this one; None if there were more."""
+    node, n, comp, asks = (rows.column(x).to_numpy() for x in ("node", "n", "comp", "asks"))
+    if not asks.any() or asks.all():
+        return
+    held = [np.array(x, np.int64) for x in rows.column("held").to_pylist()]
+    sketch = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+    at = np.flatnonzero(~asks)
+    sizes = np.array([len(sketch[x]) for x in at])
+    overlaps, met = Postings([sketch[x] for x in at]), None
+    for i in np.flatnonzero(asks).tolist():
+        # The union's k smallest values hold the longer sketch's share at least, so fewer overlaps can't reach the floor.
+        enough = overlaps.shared(sketch[i]) >= judge.floor * np.maximum(sizes, len(sketch[i]))
+        likely = np.flatnonzero(enough & judge.fits(n[at], n[i]) & (comp[at] != comp[i]))
+        if not len(likely):
+            continue
+        met = met or Postings([held[x] for x in at])
+        found = []
+        for j in at[likely[met.shared(held[i][held[i] < value])[likely] == 0]].tolist():
+            keep, estimate, sure = judge(sketch[i], sketch[j], int(n[i]), int(n[j]))
+            if keep:
+                found.append((-estimate, int(node[j]), sure))
+        found.sort()
+        if len(found) > top:
+            yield None
+        for estimate, other, sure in found[:top]:
+            yield (*sorted((int(node[i]), other)), -estimate, sure)
+
+
+def _round(k: int, similarity: int, top: int):
+    """Rows sorted by value, part, other -> pairs; for a list that is not done, a row (value, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, parts in groups(batches, "value"):
-            at = InvertedList(value, pa.Table.from_batches(parts), wide, similarity)
-            if (at.comp == at.comp[0]).all():
-                continue
-            out = {(0, 0, False, True) if x is None else (*sorted((int(at.doc[x[0]]), int(at.doc[x[1]]))), x[2], False) for x in (at.later(top) if top else at.first())}
-            if out:
-                a, b, sure, more = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure), pa.array(more)], names=["a", "b", "sure", "more"])
+        judge, out = Judge(k, similarity), set()
+        for (value, *_), parts in groups(batches, ["value", "part", "other"]):
+            for x in _block(int(value), pa.Table.from_batches(parts), judge, top):
+                out.add((int(value), None, 0.0, False) if x is None else x)
+            if len(out) > 10_000:
+                yield _pairs(list(out))
+                out = set()
+        if out:
+            yield _pairs(list(out))
 
     return run
 
 
 def _sets(width: int):
+    """Rows of a class's doc_id -> its whole set, from those whose text has the class's fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches):
-            sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "held", "n_shingles", "values"])
+            nodes, sets = [], []
+            for node, text, one, two in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "fp1", "fp2")), strict=True):
+                values = shingle_set(text, width)
+                if fingerprint(values) == (one, two):
+                    nodes.append(node)
+                    sets.append(values.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "values"])
 
     return run
 
 
 def _confirm(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, 512):
+        for batch in small_slices(batches, 512, column="one"):
             a, b, keep = batch.column("one").to_pylist(), batch.column("two").to_pylist(), []
             for x, y in zip(a, b, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -195,68 +210,134 @@ def _confirm(similarity: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: int = K, wide: int = WIDE) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each input row."""
-    if k < 8 or wide < k or not 80 <= similarity <= 100:
-        raise ValueError("k of at least 8, no wider than the wide sketch, and a similarity of 80 to 100 percent are supported")
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = written(docs.mapInArrow(_sketches(width, k), "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary"), "sketches")
-    full = table.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    # A doc_id that stands for several sets (repeated ids) has several rows here; the lists keep them all.
-    reps = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "sketch")
-
-    values = reps.mapInArrow(_values, "doc_id long, size int, value long")
+class Links:
+    """Components of classes, as pairs come to be tested."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, similarity: int):
+        self.docs, self.classes, self.width, self.similarity = docs, classes, width, similarity
+        self.comps = written(nodes.select("node", F.col("node").alias("comp")), "comps")
+        self.sets: DataFrame | None = None
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends lie in different components, with these as x and y."""
+        ends = [self.comps.select(F.col("node").alias(n), F.col("comp").alias(c)) for n, c in (("a", "x"), ("b", "y"))]
+        return pairs.join(ends[0], "a").join(ends[1], "b").filter("x <> y")
+
+    def _whole(self, pairs: DataFrame) -> DataFrame:
+        """Whole sets of the classes in pairs; those read before are not read again."""
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            need = need.join(self.sets.select("node"), "node", "left_anti")
+        need = need.join(self.classes.select("node", "doc_id", "fp1", "fp2"), "node")
+        texts = self.docs.select("doc_id", "text").join(need, "doc_id").select("node", "text", "fp1", "fp2")
+        # A doc_id may be repeated with the same text.
+        more = written(texts.mapInArrow(_sets(self.width), "node long, values binary").groupBy("node").agg(F.first("values").alias("values")), "sets")
+        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        return self.sets
+
+    def test(self, pairs: DataFrame) -> None:
+        """Tests pairs whose ends are apart and merges what is linked."""
+        pairs = written(self.apart(pairs), "apart")
+        if not pairs.limit(1).count():
+            discard(pairs)
+            return
+        links, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b")
+        if unsure.limit(1).count():
+            whole = self._whole(unsure)
+            two = unsure.join(whole.select(F.col("node").alias("b"), F.col("values").alias("two")), "b")
+            both = two.join(whole.select(F.col("node").alias("a"), F.col("values").alias("one")), "a").select("a", "b", "one", "two")
+            links = links.union(both.mapInArrow(_confirm(self.similarity), "a long, b long"))
+        edges = written(pairs.join(links, ["a", "b"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        if edges.limit(1).count():
+            labels = connected(edges)
+            before, self.comps = self.comps, written(self.comps.join(labels.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "comps")
+            discard(before, labels)
+        discard(pairs, edges)
+
+
+def _listed(classes: DataFrame) -> DataFrame:
+    """classes(node, sketch) -> value, node: the inverted lists."""
+    values = classes.select("node", "sketch").mapInArrow(_values, "node long, size int, value long")
     often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = values.join(often, "value").groupBy("doc_id").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("held"))
+    shared = values.join(often, "value").groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("held"))
     # The rarest half of the sketch and one more; values that only one class holds are the rarest of all.
     room = F.greatest(F.lit(0), F.floor(F.col("size") / 2).cast("int") + 1 - (F.col("size") - F.size("held")))
-    listed = written(shared.select("doc_id", F.explode(F.slice("held", F.lit(1), room)).alias("x")).select("doc_id", F.col("x.value").alias("value")).distinct(), "listed")
-    release(spark)
-    # Lists with the same members are one list.
-    members = listed.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h")).filter("c > 1")
-    lists = members.groupBy("c", "h").agg(F.min("value").alias("value")).select("value")
-    thin = written(listed.join(lists, "value").select("value", "doc_id"), "lists")
-    held = thin.groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("held"))
-    sets = written(docs.join(held, "doc_id").mapInArrow(_sets(width), "doc_id long, held array<long>, n_shingles long, values binary"), "sets")
-    release(spark)
-    one_each = sets.dropDuplicates(["doc_id"])  # repeated ids: all texts of an id take part as one in the lists
-    sketch = one_each.select("doc_id", "held", "n_shingles", F.substring("values", 1, 8 * wide).alias("sketch"))
-
-    comps, seen, top = written(held.select("doc_id", F.col("doc_id").alias("comp")), "comps"), None, 0
+    listed = written(shared.select("node", F.explode(F.slice("held", F.lit(1), room)).alias("x")).select("node", F.col("x.value").alias("value")), "listed")
+    members = listed.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).filter("c > 1")
+    lists = written(listed.join(members.groupBy("c", "h").agg(F.min("value").alias("value")).select("value"), "value").select("value", "node"), "lists")
+    discard(listed)
+    return lists
+
+
+def _blocks(at: DataFrame, block: int) -> DataFrame:
+    """at(value, node, comp) of lists whose members are apart -> value, part, other, asks, node, comp: members outside
+    the list's largest component ask those of part `other`."""
+    sizes = at.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("members"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"))
+    # Of two members one is the star's centre.
+    sizes = sizes.filter("most < members and members > 2")
+    share = lambda n: F.ceil(n / block).cast("long")
+    rows = at.join(sizes, "value").withColumns({"parts": share(F.col("members") - F.col("most")), "others": share(F.col("members"))})
+    own = {"part": F.pmod(F.xxhash64("node"), F.col("parts")), "other": F.pmod(F.xxhash64("node", F.lit(1)), F.col("others"))}
+    outside = rows.filter("comp <> main")
+    asking = outside.withColumn("part", own["part"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))).withColumn("asks", F.lit(True))
+    answering = rows.withColumn("other", own["other"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("asks", F.lit(False))
+    return asking.unionByName(answering).select("value", "part", "other", "asks", "node", "comp")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: int = K, block: int = BLOCK, top: int = 4, key: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each input row.
+
+    With `key`, columns that name a row: these are returned as well, and `first`: whether the row is the one of its
+    component with the smallest doc_id and then key, or is linked with nothing."""
+    if k < 8 or not 80 <= similarity <= 100 or block < 1 or top < 1:
+        raise ValueError("k of at least 8, a similarity of 80 to 100 percent, and positive block and top are supported")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    table = written(docs.mapInArrow(_sketches(width, k), f"{fields}, n_shingles long, fp1 long, fp2 long, sketch binary"), "sketches")
+    full = table.filter("n_shingles > 0 and doc_id is not null")
+    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", *key)).alias("rep"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "fp1", "fp2", F.col("n_shingles").alias("n"), "rep", F.col("rep.doc_id").alias("doc_id"), "sketch"), "classes")
+
+    lists = _listed(classes)
+    links = Links(docs, classes, lists.select("node").distinct(), width, similarity)
+    sketch = classes.select("node", "n", "sketch")
+    # Stars.
+    sized = lists.join(sketch.select("node", "n"), "node")
+    centre = sized.groupBy("value").agg(F.min(F.struct("node", "n")).alias("c"))
+    star = sized.join(centre, "value").filter("node <> c.node").filter(f"100 * least(n, c.n) >= {similarity} * greatest(n, c.n)").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(sketch.toDF("b", "m", "two"), "b").join(sketch.toDF("a", "n", "one"), "a").select("a", "b", "n", "m", "one", "two")
+    tested = [written(star.mapInArrow(_judged(k, similarity), PAIRS), "stars")]
+    best = tested[0].groupBy("b").agg(F.max_by(F.struct("a", "estimate", "sure"), F.struct("estimate", -F.col("a"))).alias("best"))
+    best = written(best.select("best.a", "b", "best.estimate", "best.sure"), "best")
+    links.test(best)
+    links.test(tested[0].join(best, ["a", "b"], "left_anti"))
+    discard(best)
+    # Lists still apart.
+    held, todo = lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("held")), None
     while True:
-        at = thin.join(comps, "doc_id")
-        if top:
-            apart = at.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("value")
-            at = at.join(apart, "value", "left_semi")
-        at = at.join(sketch, "doc_id").select("value", "doc_id", "n_shingles", "comp", "held", "sketch").repartition("value").sortWithinPartitions("value", "doc_id")
-        found = at.mapInArrow(_round(wide, similarity, top), "a long, b long, sure boolean, more boolean").distinct()
-        found = written(found if seen is None else found.join(seen, ["a", "b", "more"], "left_anti"), "pairs")
-        del at
-        release(spark)
-        more, pairs = bool(found.filter("more").limit(1).count()), found.filter("not more")
-        if pairs.limit(1).count():
-            links, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b", "more")
-            if unsure.limit(1).count():
-                one = sets.select(F.col("doc_id").alias("a"), F.col("values").alias("one")).distinct()
-                two = one.select(F.col("a").alias("b"), F.col("one").alias("two"))
-                links = links.union(unsure.join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(_confirm(similarity), "a long, b long"))
-                seen = unsure if seen is None else seen.union(unsure)
-            edges = links.join(comps.select(F.col("doc_id").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("doc_id").alias("b"), F.col("comp").alias("y")), "b")
-            edges = written(edges.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-            if edges.limit(1).count():
-                labels = connected(edges)
-                comps = written(comps.join(labels, comps.comp == labels.node, "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "comps")
-            del links, unsure
-            release(spark)
-        elif top and not more:
+        at = (lists if todo is None else lists.join(todo, "value", "left_semi")).join(links.comps, "node")
+        rows = _blocks(at, block).join(sketch, "node").join(held, "node").repartition("value", "part", "other").sortWithinPartitions("value", "part", "other")
+        found = written(rows.select("value", "part", "other", "asks", "node", "n", "comp", "held", "sketch").mapInArrow(_round(k, similarity, top), PAIRS), "found")
+        pairs = found.filter("b is not null").dropDuplicates(["a", "b"])
+        for before in tested:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        tested.append(written(pairs, "pairs"))
+        links.test(tested[-1])
+        left, todo = todo, written(found.filter("b is null").select(F.col("a").alias("value")).distinct(), "todo")
+        discard(found, left)
+        if not todo.limit(1).count():
             break
-        top = 4 if not top else top * 8 if more else top
-    comp_of = comps.select(F.col("doc_id").alias("rep"), "comp")
-    named = classes.select("fp1", "fp2", "n_shingles", "rep").join(comp_of, "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("comp", "rep").alias("class_id"))
+        top *= 8
+    discard(todo, *tested, lists)
+
+    named = classes.join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    named = named.join(least, "comp").select("fp1", "fp2", F.col("n").alias("n_shingles"), "least")
     found = table.drop("sketch").join(named, ["fp1", "fp2", "n_shingles"], "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # An empty set has no class; a null doc_id may have the class of others but stays by itself.
+    linked = F.col("least").isNotNull() & F.col("doc_id").isNotNull()
+    found = found.select("doc_id", *key, "n_shingles", F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), *([(~linked | (F.col("least") == F.struct("doc_id", *key))).alias("first")] if key else []))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 #: The same rows in SQL, for tables small enough to join all pairs that share a shingle.

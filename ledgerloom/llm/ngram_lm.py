@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, mixed, release, written
+from .common import MULTIPLIER, mixed, written
 
 END = b""
 CHUNK_BYTES = 2_000_000
@@ -243,7 +243,6 @@ def lm_scores(docs: DataFrame, folds: int = 10, prior: float = PRIOR) -> DataFra
     answers = written(answers, "answers")
     del asked
     n, v = answers.filter("level = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    release(spark, 2)
     back = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "level", "totals")).alias("answers"))
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.join(back, "chunk").mapInArrow(_score(shards, folds, prior, n, v), fields)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fingerprint, gram_hashes, hash_words, release, small_slices, words_of, written
+from .common import fingerprint, gram_hashes, hash_words, small_slices, words_of, written
 
 ANCHOR = 8
 #: Words of stretches in one tree.
@@ -211,12 +211,10 @@ def _repeats(docs: DataFrame, window: int, tree_words: int) -> tuple[DataFrame,
     runs = firsts.select(F.col("rep").alias("doc_id"), F.explode("runs").alias("run"))
     several = runs.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("run")
     wanted = written(runs.join(several, "run").groupBy("doc_id").agg(F.collect_set("run").alias("runs")), "wanted")
-    release(spark)
     sent = docs.join(wanted, "doc_id").mapInArrow(_stretches(window), "run long, doc_id long, first int, windows int, words binary")
     sent = sent.repartition("run").sortWithinPartitions("run", "doc_id", "first")
     ranges = written(sent.mapInArrow(_trees(window, tree_words), "doc_id long, first int, windows int").distinct(), "ranges")
     del sent
-    release(spark)
     copies = long.join(firsts.drop("runs"), ["fp1", "fp2", "n_words"]).filter("rep < doc_id").select("doc_id", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("windows"))
     return profile, ranges.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Codec, byte_letters
-from .common import hold_caches, release, small_slices, written
+from .common import hold_caches, small_slices, written
 
 SEQUENCE, FILE_TOKENS, PIECE_ROWS = 2048, 1_000_000, 2_000
 
@@ -153,7 +153,6 @@ def write_token_files(docs: DataFrame, path: str, end: int = 0, length: int = SE
     coded = docs.mapInArrow(_encode(path, end, np.array(cuts, np.int64)), "doc_id long, part long, ids binary")
     coded = coded.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "ids")
     files = written(coded.mapInArrow(_write(length, file_tokens), "part long, piece int, tokens long, data binary"), "token-files", "zstd")
-    release(docs.sparkSession)
     return files
 
 

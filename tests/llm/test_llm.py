@@ -67,9 +67,9 @@ def test_near_duplicates_equal_brute_force(docs, texts):
     assert got == {i: (len(sets[i]), low[i], low[i] == i) for i in sets}
 
 
-def test_near_duplicates_wide_sketch_smaller_than_sets(docs):
+def test_near_duplicates_in_small_blocks_and_steps(docs):
     whole = {tuple(r) for r in minhash_dedup.near_duplicates(docs).collect()}
-    assert {tuple(r) for r in minhash_dedup.near_duplicates(docs, wide=64).collect()} == whole
+    assert {tuple(r) for r in minhash_dedup.near_duplicates(docs, block=2, top=1).collect()} == whole
 
 
 @pytest.mark.parametrize("tree_words", [substring_dedup.TREE_WORDS, 200])
