@@ -12,9 +12,11 @@ Jaccard similarity of at least `similarity` percent.
 4. Stars: every class meets the smallest class of each of its lists, first the most similar of these only, and links
    are merged to components. So a group of thousands of copies needs few tests per member.
 5. Lists whose members are still apart: the members outside the list's largest component meet all others of the list, in
-   blocks of at most `block` against `block` members, so that a long list is many tasks. A member hands on its `top` most
-   similar partners; lists in which one had more come again with eight times as many, after merging. No partner is left
-   out: a list ends when all its pairs that could be links are tested or lie within one component.
+   blocks of at most `block` against `block` members, so that a long list is many tasks. By the sketches most of them
+   have no possible link and end here. The others meet once more with whole sets, or sketches of `wide` values where sets
+   are larger. A member hands on its `top` most similar partners; lists in which one had more come again with eight
+   times as many, after merging. No partner is left out: a list ends when all its pairs that could be links are tested
+   or lie within one component.
 
 Nulls, empty texts: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is one shingle.
 Rows are judged by themselves: rows that repeat a doc_id are linked if their own texts are, so one of them may be in a
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import discard, fingerprint, gram_hashes, groups, hash_words, mixed, small_slices, written
 from .components import connected
 
-#: Values of a sketch, and members of a list that one task compares with as many others.
-K, BLOCK = 48, 4096
+#: Values of a sketch and of a wide one, and members of a list that one task compares with as many others.
+K, WIDE, BLOCK = 48, 512, 4096
 PAIRS = "a long, b long, estimate double, sure boolean"
 
 
@@ -78,13 +80,13 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
 
 
 class Judge:
-    """What two sketches say of two sets."""
+    """What two sketches of at most k values say of two sets."""
 
     def __init__(self, k: int, similarity: int):
         share = similarity / 100
         self.k, self.similarity, self.floor = k, similarity, share - 4.5 * (share * (1 - share) / k) ** 0.5
 
-    def fits(self, n: np.ndarray, m) -> np.ndarray:
+    def fits(self, n: np.ndarray, m: int) -> np.ndarray:
         """Whether sizes alone allow a link."""
         return 100 * np.minimum(n, m) >= self.similarity * np.maximum(n, m)
 
@@ -96,6 +98,13 @@ class Judge:
         estimate = union_estimate(a, b, self.k)
         return estimate >= self.floor, estimate, False
 
+    def by_overlap(self, n: np.ndarray, m: int, overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes and overlaps of sketches with one sketch -> the same three; estimates are bounds from above where they
+        are not sure, as of the union's k smallest values no more than the overlap can be shared."""
+        whole = (n <= self.k) & (m <= self.k)
+        union = np.where(whole, n + m - overlap, self.k)
+        return np.where(whole, 100 * overlap >= self.similarity * union, overlap >= self.floor * self.k), overlap / np.maximum(union, 1), whole
+
 
 def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     a, b, estimate, sure = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -134,44 +143,80 @@ class Postings:
         return np.bincount(np.concatenate(parts), minlength=self.rows) if parts else np.zeros(self.rows, np.int64)
 
 
-def _block(value: int, rows: pa.Table, judge: Judge, top: int) -> Iterator[tuple | None]:
-    """One block of a list: of each row that asks, the `top` most similar rows of other components that it meets in no
-    list before this one; None if there were more."""
-    node, n, comp, asks = (rows.column(x).to_numpy() for x in ("node", "n", "comp", "asks"))
-    if not asks.any() or asks.all():
-        return
-    held = [np.array(x, np.int64) for x in rows.column("held").to_pylist()]
-    sketch = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
-    at = np.flatnonzero(~asks)
-    sizes = np.array([len(sketch[x]) for x in at])
-    overlaps, met = Postings([sketch[x] for x in at]), None
-    for i in np.flatnonzero(asks).tolist():
-        # The union's k smallest values hold the longer sketch's share at least, so fewer overlaps can't reach the floor.
-        enough = overlaps.shared(sketch[i]) >= judge.floor * np.maximum(sizes, len(sketch[i]))
-        likely = np.flatnonzero(enough & judge.fits(n[at], n[i]) & (comp[at] != comp[i]))
-        if not len(likely):
-            continue
-        met = met or Postings([held[x] for x in at])
-        found = []
-        for j in at[likely[met.shared(held[i][held[i] < value])[likely] == 0]].tolist():
-            keep, estimate, sure = judge(sketch[i], sketch[j], int(n[i]), int(n[j]))
-            if keep:
-                found.append((-estimate, int(node[j]), sure))
-        found.sort()
-        if len(found) > top:
-            yield None
-        for estimate, other, sure in found[:top]:
-            yield (*sorted((int(node[i]), other)), -estimate, sure)
+class Block:
+    """Members of one list that ask, and members that answer."""
+
+    def __init__(self, value: int, rows: pa.Table, judge: Judge):
+        self.value, self.judge = value, judge
+        self.node, self.n, self.comp, asks = (rows.column(x).to_numpy() for x in ("node", "n", "comp", "asks"))
+        self.asks, self.at = np.flatnonzero(asks), np.flatnonzero(~asks)
+        self.held = [np.array(x, np.int64) for x in rows.column("held").to_pylist()]
+        self.sketch = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+        self.met: Postings | None = None
+        if len(self.asks) and len(self.at):
+            self.overlaps = Postings([self.sketch[x] for x in self.at])
+
+    def partners(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a row that asks: rows of other components that could be its links and that it meets in no list before
+        this one, with estimates and whether these are sure."""
+        n = self.n[self.at]
+        keep, estimate, whole = self.judge.by_overlap(n, int(self.n[i]), self.overlaps.shared(self.sketch[i]))
+        x = np.flatnonzero(keep & self.judge.fits(n, self.n[i]) & (self.comp[self.at] != self.comp[i]))
+        if len(x):
+            self.met = self.met or Postings([self.held[y] for y in self.at])
+            x = x[self.met.shared(self.held[i][self.held[i] < self.value])[x] == 0]
+        return self.at[x], estimate[x], whole[x]
+
+    def marked(self) -> np.ndarray:
+        """Members with a partner."""
+        mark = np.zeros(len(self.node), bool)
+        for i in self.asks.tolist() if len(self.at) else ():
+            j, _, _ = self.partners(i)
+            mark[j] = True
+            mark[i] |= len(j) > 0
+        return np.unique(self.node[mark])
+
+    def best(self, top: int) -> Iterator[tuple | None]:
+        """Of each member that asks the `top` most similar partners; None if there were more."""
+        for i in self.asks.tolist() if len(self.at) else ():
+            j, estimate, whole = self.partners(i)
+            taken = 0
+            for x in np.lexsort((self.node[j], -estimate)).tolist():
+                keep, share = True, float(estimate[x])
+                if not whole[x]:
+                    keep, share, _ = self.judge(self.sketch[i], self.sketch[j[x]], int(self.n[i]), int(self.n[j[x]]))
+                if keep and taken == top:
+                    yield None
+                    break
+                if keep:
+                    taken += 1
+                    yield (*sorted((int(self.node[i]), int(self.node[j[x]]))), share, bool(whole[x]))
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[Block]:
+    for (value, *_), parts in groups(batches, ["value", "part", "other"]):
+        yield Block(int(value), pa.Table.from_batches(parts), judge)
+
+
+def _mark(k: int, similarity: int):
+    """Rows sorted by value, part, other -> members (value, node) that could have links in a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks_of(batches, Judge(k, similarity)):
+            nodes = block.marked()
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.repeat(block.value, len(nodes)), pa.array(nodes)], names=["value", "node"])
+
+    return run
 
 
 def _round(k: int, similarity: int, top: int):
     """Rows sorted by value, part, other -> pairs; for a list that is not done, a row (value, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, out = Judge(k, similarity), set()
-        for (value, *_), parts in groups(batches, ["value", "part", "other"]):
-            for x in _block(int(value), pa.Table.from_batches(parts), judge, top):
-                out.add((int(value), None, 0.0, False) if x is None else x)
+        out = set()
+        for block in _blocks_of(batches, Judge(k, similarity)):
+            out |= {(block.value, None, 0.0, False) if x is None else x for x in block.best(top)}
             if len(out) > 10_000:
                 yield _pairs(list(out))
                 out = set()
@@ -223,9 +268,9 @@ class Links:
         ends = [self.comps.select(F.col("node").alias(n), F.col("comp").alias(c)) for n, c in (("a", "x"), ("b", "y"))]
         return pairs.join(ends[0], "a").join(ends[1], "b").filter("x <> y")
 
-    def _whole(self, pairs: DataFrame) -> DataFrame:
-        """Whole sets of the classes in pairs; those read before are not read again."""
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def whole(self, need: DataFrame) -> DataFrame:
+        """Whole sets of classes (and others); those read before are not read again."""
+        need = need.select("node").distinct()
         if self.sets is not None:
             need = need.join(self.sets.select("node"), "node", "left_anti")
         need = need.join(self.classes.select("node", "doc_id", "fp1", "fp2"), "node")
@@ -243,7 +288,7 @@ class Links:
             return
         links, unsure = pairs.filter("sure").select("a", "b"), pairs.filter("not sure").select("a", "b")
         if unsure.limit(1).count():
-            whole = self._whole(unsure)
+            whole = self.whole(unsure.select(F.col("a").alias("node")).union(unsure.select(F.col("b").alias("node"))))
             two = unsure.join(whole.select(F.col("node").alias("b"), F.col("values").alias("two")), "b")
             both = two.join(whole.select(F.col("node").alias("a"), F.col("values").alias("one")), "a").select("a", "b", "one", "two")
             links = links.union(both.mapInArrow(_confirm(self.similarity), "a long, b long"))
@@ -284,13 +329,13 @@ def _blocks(at: DataFrame, block: int) -> DataFrame:
     return asking.unionByName(answering).select("value", "part", "other", "asks", "node", "comp")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: int = K, block: int = BLOCK, top: int = 4, key: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: int = K, wide: int = WIDE, block: int = BLOCK, top: int = 4, key: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept; one row for each input row.
 
     With `key`, columns that name a row: these are returned as well, and `first`: whether the row is the one of its
     component with the smallest doc_id and then key, or is linked with nothing."""
-    if k < 8 or not 80 <= similarity <= 100 or block < 1 or top < 1:
-        raise ValueError("k of at least 8, a similarity of 80 to 100 percent, and positive block and top are supported")
+    if k < 8 or wide < k or not 80 <= similarity <= 100 or block < 1 or top < 1:
+        raise ValueError("k of at least 8 and at most wide, a similarity of 80 to 100 percent, and positive block and top are supported")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     table = written(docs.mapInArrow(_sketches(width, k), f"{fields}, n_shingles long, fp1 long, fp2 long, sketch binary"), "sketches")
@@ -312,23 +357,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: in
     links.test(best)
     links.test(tested[0].join(best, ["a", "b"], "left_anti"))
     discard(best)
-    # Lists still apart.
-    held, todo = lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("held")), None
-    while True:
-        at = (lists if todo is None else lists.join(todo, "value", "left_semi")).join(links.comps, "node")
-        rows = _blocks(at, block).join(sketch, "node").join(held, "node").repartition("value", "part", "other").sortWithinPartitions("value", "part", "other")
-        found = written(rows.select("value", "part", "other", "asks", "node", "n", "comp", "held", "sketch").mapInArrow(_round(k, similarity, top), PAIRS), "found")
-        pairs = found.filter("b is not null").dropDuplicates(["a", "b"])
-        for before in tested:
-            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        tested.append(written(pairs, "pairs"))
-        links.test(tested[-1])
-        left, todo = todo, written(found.filter("b is null").select(F.col("a").alias("value")).distinct(), "todo")
-        discard(found, left)
-        if not todo.limit(1).count():
-            break
-        top *= 8
-    discard(todo, *tested, lists)
+    # Lists still apart: first which members could have a link at all, then whole sets of these or wide sketches.
+    def asked(lists: DataFrame, held: DataFrame, sketch: DataFrame) -> DataFrame:
+        rows = _blocks(lists.join(links.comps, "node"), block).join(sketch, "node").join(held, "node")
+        return rows.select("value", "part", "other", "asks", "node", "n", "comp", "held", "sketch").repartition("value", "part", "other").sortWithinPartitions("value", "part", "other")
+
+    held = lambda lists: lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("held"))
+    marked = written(asked(lists, held(lists), sketch).mapInArrow(_mark(k, similarity), "value long, node long").distinct(), "marked")
+    discard(lists)
+    if marked.limit(1).count():
+        broad = links.whole(marked).select("node", F.substring("values", 1, 8 * wide).alias("sketch")).join(sketch.select("node", "n"), "node")
+        todo = marked
+        while True:
+            found = written(asked(todo, held(marked), broad).mapInArrow(_round(wide, similarity, top), PAIRS), "found")
+            pairs = found.filter("b is not null").dropDuplicates(["a", "b"])
+            for before in tested:
+                pairs = pairs.join(before.filter("not sure").select("a", "b"), ["a", "b"], "left_anti")
+            tested.append(written(pairs, "pairs"))
+            links.test(tested[-1])
+            more = written(found.filter("b is null").select(F.col("a").alias("value")).distinct(), "more")
+            if not more.limit(1).count():
+                break
+            before, todo = todo, written(marked.join(more, "value", "left_semi"), "todo")
+            discard(found, more, *([] if before is marked else [before]))
+            top *= 8
+        discard(found, more, todo)
+    discard(marked, *tested)
 
     named = classes.join(links.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
