@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words remembered by a worker before its cache is emptied.
@@ -63,6 +65,25 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_place(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """Rows with two more columns that tell each row from all others, and their names: the Parquet file it stands in and its
+    place there, which are the same whenever the row is read. Rows that don't come straight from Parquet files are numbered; they
+    must come in the same order each time."""
+    file, row = (free_name(docs.columns, x) for x in ("from_file", "from_row"))
+    try:
+        return docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), (file, row)
+    except AnalysisException:
+        return docs.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row)), (file, row)
+
+
 _HOLDER: list = [None, None]
 
 
@@ -77,13 +98,20 @@ def hold_caches(owner: str, clear: Callable[[], None]) -> None:
         _HOLDER[:] = owner, clear
 
 
-def smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
-    """The n rows with the smallest hash of doc_id. A bound that about 2n rows pass comes first, so that tasks send few."""
-    total = rows.count()
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    if total > 4 * n:
-        rows = rows.filter(F.col("h") < int(-(2**63) + 2**64 * (2 * n / total)))
-    return rows.orderBy("h", *rows.columns[:-1]).limit(n)
+def sampled(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """Of the distinct rows those n with the smallest hash (column h), or n for each value of a column of classes, whose
+    sizes the driver gathers. A bound that about 2n rows of a class pass comes first, so that few rows move; rows that
+    repeat count once, however often they do."""
+    names = rows.columns
+    kind = free_name(names, "kind")
+    rows = rows.withColumn("h", F.xxhash64(*names)).withColumn(kind, F.col(by) if by else F.lit(0))
+    sizes = rows.groupBy(kind).count().collect()
+    if not sizes:
+        return rows.select(*names, "h")
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], 2.0 * n / r[1])))
+    near = rows.filter(F.col("h") / 2.0**64 + 0.5 <= F.element_at(share, F.col(kind))).dropDuplicates([kind, "h"])
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy(kind).orderBy("h"))).filter(F.col("rank") <= n)
+    return near.select(*names, "h")
 
 
 class WordHashes(dict):
