@@ -1,15 +1,20 @@
 """Scoring texts with an n-gram model that is learnt from the same corpus and never gathered in one place.
 
-Tokens are words with A-Z lower-cased, then one end token that also stands before the first word. Word probabilities are
-p1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); word pairs are smoothed with them (Dirichlet prior of weight `prior`):
-p2(w | u) = (c(u, w) + prior * p1(w)) / (c(u) + prior), which sums to 1 over all words and the unknown one.
-
-Documents are packed into chunks of bounded size. A chunk sends its distinct words and pairs with its training counts to
-shards (by hash); a shard adds up over all chunks and answers each chunk with the totals for what it asked. What a chunk
-gets back is its slice of the model. It is stored as a trie: a context level with Elias-Fano coded pointers into the
-successor level, successors ascending within their context, and smoothed log probabilities quantised to 16 bits, in one
-memory-mapped block. A pair is looked up by successor search relative to its context's range. So neither the driver nor
-any task holds the model; all counts cover all documents; traffic follows the input.
+Tokens are words with A-Z lower-cased, then one end token that also stands before the first word. With training counts c:
+p1(w) = (c(w) - d) / N for known words, d * V / N for the unknown one; the discount d comes from the words that occur once and
+twice, d = n1 / (n1 + 2 * n2). Word pairs are mixed with them: p2(w | u) = share * c(u, w) / c(u) + (1 - share) * p1(w), and
+p1(w) after a word that training texts don't have. Both sum to 1 over all words and the unknown one.
+
+Documents are packed into chunks of bounded size; chunks and shards talk in three steps, so neither the driver nor any
+task holds the model, all counts cover all documents, and traffic follows the input.
+1. A chunk sends its distinct words with its training counts to shards (by hash); these return the totals over all chunks.
+2. It sends its distinct pairs, context by context, to the shards of their contexts. A context with many
+   occurrences is split over several shards by its successors. A shard adds up the pairs of all chunks and builds its part of the
+   model from those that occur in training texts: a trie of Elias-Fano coded context keys and pointers, successors in ascending order within their
+   context, and log probabilities quantised to 16 bits, in one memory-mapped block.
+3. Each chunk's pairs, also those that no training text has, are looked up in the trie: the context by search over the
+   coded keys, the successor by search relative to its context's range. Nothing is decoded beyond the places visited.
+   The chunk gets the quantised values back and mixes them with its words' probabilities.
 
 Null and empty texts score their end token only. Repeated and null doc_ids are scored row by row (a null doc_id counts as
 the empty string's crc32). An empty table gives an empty result. Further columns are ignored.
@@ -31,67 +36,109 @@ from .common import MULTIPLIER, mixed, written
 
 END = b""
 CHUNK_BYTES = 2_000_000
-PRIOR = 4.0
-#: Quantisation of log10 probabilities: 65,536 equal steps down to this value.
-LOWEST = -24.0
+#: Weight of pairs in the mixture.
+SHARE = 0.3
+#: Occurrences of a context in one shard, above which its successors are dealt out to several.
+HOT = 500_000
+#: Quantisation of log10 probabilities: 65,535 equal steps down to LOWEST; UNSEEN is none of them.
+LOWEST, UNSEEN = -24.0, 65535
 SHARD_CHUNKS = 8
 
 
 def quantise(logs: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(logs, LOWEST, 0) / LOWEST * 65535).astype(np.uint16)
+    return np.rint(np.clip(logs, LOWEST, 0) / LOWEST * (UNSEEN - 1)).astype(np.uint16)
+
+
+def unquantise(values: np.ndarray) -> np.ndarray:
+    return values.astype(float) * (LOWEST / (UNSEEN - 1))
 
 
 class EliasFano:
-    """A monotone sequence: low bits packed as they are, high parts in unary as set bits of a bit vector."""
+    """A monotone sequence: low bits packed as they are, high parts in unary as set bits of a bit vector, with the number
+    of set bits before each 64 of them, by which a place is found without reading the others."""
 
     def __init__(self, values: np.ndarray):
         values = values.astype(np.uint64)
-        self.n, top = len(values), int(values[-1]) + 1 if len(values) else 1
-        self.low_bits = max(0, (top // max(1, self.n)).bit_length() - 1)
+        self.n = len(values)
+        top = int(values[-1]) if self.n else 0
+        self.low_bits = min(56, max(0, (top // max(1, self.n)).bit_length() - 1))
         high = (values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(self.n)
-        bits = np.zeros(int(high[-1]) + 1 if self.n else 0, np.uint8)
+        bits = np.zeros(-(-(int(high[-1]) + 1 if self.n else 1) // 64) * 64, np.uint8)
         bits[high] = 1
-        self.high = np.packbits(bits)
-        low = (values & np.uint64((1 << self.low_bits) - 1)).astype(np.uint64)
-        self.low = np.packbits(((low[:, None] >> np.arange(self.low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()) if self.low_bits else np.empty(0, np.uint8)
-
-    def decode(self) -> np.ndarray:
-        """All values: select over the high bits, then the low ones."""
-        high = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-        if not self.low_bits:
-            return high
-        low = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits))
-        return (high << self.low_bits) | low
+        self.high = np.packbits(bits, bitorder="little")
+        self.before = np.r_[0, np.cumsum(bits.reshape(-1, 64).sum(axis=1, dtype=np.int64))]
+        low = values & np.uint64((1 << self.low_bits) - 1)
+        flat = ((low[:, None] >> np.arange(self.low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+        self.low = np.r_[np.packbits(flat, bitorder="little"), np.zeros(8, np.uint8)]
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """Values at some places: select over the high bits, then the low ones."""
+        block = np.searchsorted(self.before, at, "right") - 1
+        bits = np.unpackbits(self.high.reshape(-1, 8)[block], axis=1, bitorder="little")
+        inside = (np.cumsum(bits, axis=1, dtype=np.uint8) == (at - self.before[block] + 1)[:, None]).argmax(axis=1)
+        out = (block * 64 + inside - at).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            bit = at * self.low_bits
+            byte = bit >> 3
+            word = np.zeros(len(at), np.uint64)
+            for k in range(8):
+                word |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
+            out |= (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+        return out
 
 
 class Trie:
-    """Two levels: contexts 0..V-1 and, within each, ascending successors with quantised log10 probabilities; contexts
-    also carry the quantised weight that is left for unseen successors."""
-
-    def __init__(self, contexts: int, context: np.ndarray, successor: np.ndarray, logs: np.ndarray):
-        """context, successor: sorted by (context, successor)."""
-        self.pointers = EliasFano(np.searchsorted(context, np.arange(contexts + 1)))
-        self.size = len(successor)
-        block = mmap.mmap(-1, max(1, self.size * 6))
-        self.successors = np.frombuffer(block, np.uint32, self.size)
-        self.logs = np.frombuffer(block, np.uint16, self.size, self.size * 4)
-        self.successors[:] = successor
-        self.logs[:] = quantise(logs)
-        self.starts = self.pointers.decode()
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Places of pairs, -1 where unseen: binary search inside each context's range, all queries at once."""
-        low, high = self.starts[context].copy(), self.starts[context + 1].copy()
-        end = high.copy()
-        while (open_ := low < high).any():
-            middle = (low + high) // 2
-            less = np.zeros(len(low), bool)
-            less[open_] = self.successors[middle[open_]] < successor[open_]
-            low = np.where(less, middle + 1, low)
-            high = np.where(open_ & ~less, middle, high)
-        found = low < end
-        found[found] = self.successors[low[found]] == successor[found]
-        return np.where(found, low, -1)
+    """Contexts and, within each, ascending successors of 48 bits with quantised log10 probabilities, in one mapped block."""
+
+    def __init__(self, contexts: np.ndarray, first: np.ndarray, successors: np.ndarray, logs: np.ndarray):
+        """contexts: ascending keys; first: where each one's successors begin, and their number last."""
+        self.contexts, self.pointers = EliasFano(contexts), EliasFano(first)
+        levels = [("high", (successors >> np.uint64(32)).astype(np.uint16)), ("low", successors.astype(np.uint32)), ("logs", quantise(logs))]
+        owners = [(e, name, getattr(e, name)) for e in (self.contexts, self.pointers) for name in ("high", "before", "low")]
+        owners += [(self, name, x) for name, x in levels]
+        self.block = mmap.mmap(-1, max(8, sum(-(-x.nbytes // 8) * 8 for _, _, x in owners)))
+        place = 0
+        for owner, name, x in owners:
+            view = np.frombuffer(self.block, x.dtype, len(x), place)
+            view[:] = x
+            setattr(owner, name, view)
+            place += -(-x.nbytes // 8) * 8
+
+    def context(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of contexts, -1 where there is none: binary search over the coded keys, all at once."""
+        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), self.contexts.n)
+        while len(open_ := np.flatnonzero(low < high)):
+            middle = (low[open_] + high[open_]) // 2
+            less = self.contexts.get(middle) < keys[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+        found = np.flatnonzero(low < self.contexts.n)
+        found = found[self.contexts.get(low[found]) == keys[found]]
+        out = np.full(len(keys), -1)
+        out[found] = low[found]
+        return out
+
+    def find(self, keys: np.ndarray, counts: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Contexts, how many successors are asked of each, these -> quantised values, UNSEEN where there is none:
+        binary search inside each context's range, all at once."""
+        number = self.context(keys)
+        known = np.maximum(number, 0)
+        begin, end = (self.pointers.get(known + k).astype(np.int64) * (number >= 0) for k in (0, 1)) if self.contexts.n else (np.zeros(len(keys), np.int64),) * 2
+        low, high = np.repeat(begin, counts), np.repeat(end, counts)
+        last = high.copy()
+        value = lambda at: (self.high[at].astype(np.uint64) << np.uint64(32)) | self.low[at]
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) // 2
+            less = value(middle) < successors[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
+        out = np.full(len(successors), UNSEEN, np.uint16)
+        found = np.flatnonzero(low < last)
+        found = found[value(low[found]) == successors[found]]
+        out[found] = self.logs[low[found]]
+        return out
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,118 +178,214 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
+
+
+def _unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def pack_successors(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_successors(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 class Chunk:
     """Tokens of a chunk as local numbers; the end token is number 0."""
 
-    def __init__(self, doc_ids: list, texts: list, folds: int):
+    def __init__(self, row: dict, folds: int):
         number: dict[bytes, int] = {END: 0}
         flat, lengths = [0], []
-        for text in texts:
+        for text in row["texts"]:
             words = text.encode().lower().split()
             flat.extend([number.setdefault(w, len(number)) for w in words])
             flat.append(0)
             lengths.append(len(words) + 1)
-        self.doc_ids, self.lengths = doc_ids, np.array(lengths, np.int64)
+        self.doc_ids, self.lengths = row["doc_ids"], np.array(lengths, np.int64)
         self.tokens, self.before = np.array(flat[1:], np.int64), np.array(flat[:-1], np.int64)
-        self.held_out = np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == 0 for x in doc_ids])
-        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
+        self.held_out = np.array([zlib.crc32(b"" if x is None else str(x).encode()) % folds == 0 for x in self.doc_ids])
+        self.owner = np.repeat(np.arange(len(lengths)), self.lengths)
+        self.train = ~self.held_out[self.owner]
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
         self.words = len(number)
-        train = ~self.held_out[self.owner]
-        self.counts = np.bincount(self.tokens[train], minlength=self.words)
-        pairs, self.pair_of = np.unique(self.before * self.words + self.tokens, return_inverse=True)
-        self.first, self.second = pairs // self.words, pairs % self.words
-        self.pair_counts = np.bincount(self.pair_of[train], minlength=len(pairs))
-        with np.errstate(over="ignore"):
-            self.pair_hashes = mixed(self.hashes[self.first] * MULTIPLIER + mixed(self.hashes[self.second]))
 
-    def asked(self, shards: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(shard, level, places of the keys in ascending order of their hash)."""
-        for level, hashes in ((1, self.hashes), (2, self.pair_hashes)):
-            order = np.argsort(hashes, kind="stable")
-            shard = (hashes[order] % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[by], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(edges)).tolist():
-                yield s, level, order[by[edges[s] : edges[s + 1]]]
+    def by_word(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, its words in ascending order of their hash)."""
+        shard = (self.hashes % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((self.hashes, shard))
+        edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            yield s, order[edges[s] : edges[s + 1]]
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.tokens[self.train], minlength=self.words)
+
+    def totals(self, answers: list[dict], shards: int) -> np.ndarray:
+        got, out = {x["shard"]: x["totals"] for x in answers}, np.zeros(self.words, np.int64)
+        for s, places in self.by_word(shards):
+            out[places] = _unsqueeze(got[s], np.int64)
+        return out
+
+    def pairs(self, totals: np.ndarray, shards: int, hot: int) -> None:
+        """Distinct pairs in the order in which shards are asked for them."""
+        pairs, pair_of = np.unique(self.before * self.words + self.tokens, return_inverse=True)
+        first, second = pairs // self.words, pairs % self.words
+        parts = (totals[first] // hot + 1).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            key = mixed(self.hashes[first] * MULTIPLIER + self.hashes[second] % parts)
+        successor = self.hashes[second] >> np.uint64(16)
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((successor, key, shard))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.first, self.second, self.key, self.successor = first[order], second[order], key[order], successor[order]
+        self.pair_of = place[pair_of]
+        self.edges = np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def by_context(self) -> Iterator[tuple[int, slice, np.ndarray]]:
+        """(shard, its pairs, where among them each context begins)."""
+        for s in np.flatnonzero(np.diff(self.edges)).tolist():
+            at = slice(int(self.edges[s]), int(self.edges[s + 1]))
+            keys = self.key[at]
+            yield s, at, np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _ask(shards: int, folds: int):
-    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _ask_words(shards: int, folds: int):
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row["doc_ids"], row["texts"], folds)
-                for s, level, places in chunk.asked(shards):
-                    keys, counts = ((chunk.hashes, chunk.counts), (chunk.pair_hashes, chunk.pair_counts))[level - 1]
-                    one = [s], [row["chunk"]], [level], [pack_keys(keys[places], shards)], [zlib.compress(counts[places].astype(np.uint32).tobytes(), 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(one, schema, strict=True)], schema=schema)
+        for row in _rows(batches):
+            chunk = Chunk(row, folds)
+            counts = chunk.counts()
+            out = [(s, row["chunk"], pack_keys(chunk.hashes[places], shards), squeeze(counts[places])) for s, places in chunk.by_word(shards)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """All questions to a shard on one level -> totals for each chunk, and sums over the shard's own keys."""
+def _answer_words(key: tuple, table: pa.Table) -> pa.Table:
+    """All questions to a shard -> totals for each chunk, and sums over the shard's own words in its first row."""
     keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
     new = np.r_[True, flat[order][1:] != flat[order][:-1]]
-    place = np.empty(len(flat), np.int64)
-    place[order] = np.cumsum(new) - 1
-    counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
-    totals = np.bincount(place, weights=counts).astype(np.uint32)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    answers = [zlib.compress(x.tobytes(), 1) for x in np.split(totals[place], cuts)]
-    shard, level = (int(x.as_py()) for x in key)
-    n = len(keys)
-    return pa.table({"shard": pa.array([shard] * n, pa.int32()), "level": pa.array([level] * n, pa.int32()), "chunk": table.column("chunk"), "totals": pa.array(answers, pa.binary()), "n": pa.array([int(totals.sum())] + [0] * (n - 1), pa.int64()), "v": pa.array([int((totals > 0).sum())] + [0] * (n - 1), pa.int64())})
-
-
-def _score(shards: int, folds: int, prior: float, n: int, v: int):
+    counts = np.concatenate([_unsqueeze(x, np.int64) for x in table.column("counts").to_pylist()])
+    totals = np.add.reduceat(counts[order], np.flatnonzero(new))
+    answer = np.empty(len(flat), np.int64)
+    answer[order] = totals[np.cumsum(new) - 1]
+    rest = [0] * (len(keys) - 1)
+    sums = {"n": totals.sum(), "v": (totals > 0).sum(), "once": (totals == 1).sum(), "twice": (totals == 2).sum()}
+    back = [squeeze(x) for x in np.split(answer, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table({"shard": pa.array([int(key[0].as_py())] * len(keys), pa.int32()), "chunk": table.column("chunk"), "totals": pa.array(back, pa.binary())} | {k: pa.array([int(v), *rest], pa.int64()) for k, v in sums.items()})
+
+
+def _ask_pairs(shards: int, folds: int, hot: int):
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("keys", "sizes", "totals", "successors", "counts"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = Chunk(row, folds)
+            totals = chunk.totals(row["words"], shards)
+            chunk.pairs(totals, shards, hot)
+            counts = np.bincount(chunk.pair_of[chunk.train], minlength=len(chunk.first))
+            out = []
+            for s, at, begins in chunk.by_context():
+                sizes = np.diff(np.r_[begins, at.stop - at.start]).astype(np.uint32)
+                out.append((s, row["chunk"], pack_keys(chunk.key[at][begins], shards), squeeze(sizes), squeeze(totals[chunk.first[at][begins]]), pack_successors(chunk.successor[at]), squeeze(counts[at])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def build(keys: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, share: float) -> Trie:
+    """The trie of pairs (context key, successor), which may repeat, with their counts and their contexts' totals."""
+    seen = counts > 0
+    keys, successors, counts, totals = keys[seen], successors[seen], counts[seen], totals[seen]
+    order = np.lexsort((successors, keys))
+    keys, successors = keys[order], successors[order]
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (successors[1:] != successors[:-1])][: len(keys)])
+    sums = np.add.reduceat(counts[order], new) if len(new) else np.empty(0, np.int64)
+    keys, successors, totals = keys[new], successors[new], totals[order][new]
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return Trie(keys[begins], np.r_[begins, len(keys)], successors, np.log10(share * sums / np.maximum(totals, 1)))
+
+
+def _answer_pairs(share: float):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """All questions to a shard -> its trie, and what each chunk finds in it."""
+        asked = [(unpack_keys(r["keys"]), _unsqueeze(r["sizes"], np.uint32), _unsqueeze(r["totals"], np.int64), unpack_successors(r["successors"]), _unsqueeze(r["counts"], np.int64)) for r in table.to_pylist()]
+        flat = [np.repeat(k, n) for k, n, *_ in asked], [x[3] for x in asked], [x[4] for x in asked], [np.repeat(x[2], x[1]) for x in asked]
+        trie = build(*map(np.concatenate, flat), share)
+        back = [squeeze(trie.find(k, n, w)) for k, n, _, w, _ in asked]
+        return pa.table({"shard": pa.array([int(key[0].as_py())] * len(back), pa.int32()), "chunk": table.column("chunk"), "values": pa.array(back, pa.binary())})
+
+    return run
+
+
+class Words:
+    """Probabilities of words from their totals."""
+
+    def __init__(self, n: int, v: int, once: int, twice: int):
+        self.n, self.v = n, v
+        self.discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+    def base(self, totals: np.ndarray) -> np.ndarray:
+        """log10 of the plain unigram model that scores are compared with."""
+        return np.log10((totals + 0.1) / (self.n + 0.1 * (self.v + 1)))
+
+    def __call__(self, totals: np.ndarray) -> np.ndarray:
+        if not self.n:
+            return np.ones(len(totals))
+        return np.where(totals > 0, totals - self.discount, self.discount * self.v) / self.n
+
+
+def _score(shards: int, folds: int, share: float, hot: int, model: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                chunk = Chunk(row["doc_ids"], row["texts"], folds)
-                got = {(x["shard"], x["level"]): x["totals"] for x in row["answers"]}
-                totals = [np.zeros(chunk.words), np.zeros(len(chunk.first))]
-                for s, level, places in chunk.asked(shards):
-                    totals[level - 1][places] = np.frombuffer(zlib.decompress(got[s, level]), np.uint32)
-                words, pairs = totals
-                base = np.log10((words + 0.1) / (n + 0.1 * (v + 1)))
-                seen = pairs > 0
-                logs = np.log10((pairs[seen] + prior * 10 ** base[chunk.second[seen]]) / (words[chunk.first[seen]] + prior))
-                trie = Trie(chunk.words, chunk.first[seen], chunk.second[seen], logs)
-                left = np.log10(prior / (words + prior))
-                place = trie.find(chunk.first, chunk.second)
-                quantised = trie.logs[place].astype(float) * (LOWEST / 65535) if trie.size else np.zeros(len(place))
-                pair_log = np.where(place >= 0, quantised, left[chunk.first] + base[chunk.second])
-                docs = len(chunk.doc_ids)
-                sums = [np.bincount(chunk.owner, weights=x, minlength=docs) for x in (chunk.tokens >= 0, words[chunk.tokens] > 0, base[chunk.tokens], pair_log[chunk.pair_of])]
-                cols = [pa.array(chunk.doc_ids, pa.int64()), pa.array(chunk.held_out), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(docs, n, np.int64)), pa.array(sums[2]), pa.array(sums[3])]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in _rows(batches):
+            chunk = Chunk(row, folds)
+            totals = chunk.totals(row["words"], shards)
+            chunk.pairs(totals, shards, hot)
+            got = {x["shard"]: x["values"] for x in row["pairs"]}
+            values = np.concatenate([_unsqueeze(got[s], np.uint16) for s, _, _ in chunk.by_context()])
+            single, base = model(totals), model.base(totals)
+            pair = np.where(values == UNSEEN, 0.0, 10.0 ** unquantise(values))
+            left = np.where(totals[chunk.first] > 0, 1 - share, 1.0)
+            log = np.log10(pair + left * single[chunk.second])
+            docs = len(chunk.doc_ids)
+            sums = [np.bincount(chunk.owner, weights=x, minlength=docs) for x in (chunk.tokens >= 0, totals[chunk.tokens] > 0, base[chunk.tokens], log[chunk.pair_of])]
+            cols = [pa.array(chunk.doc_ids, pa.int64()), pa.array(chunk.held_out), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(docs, model.n, np.int64)), pa.array(sums[2]), pa.array(sums[3])]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, folds: int = 10, prior: float = PRIOR) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 10, share: float = SHARE, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32(doc_id as text) mod folds is not 0; scores all."""
-    if folds < 2 or prior <= 0:
-        raise ValueError("at least two folds and a positive prior are needed")
-    spark = docs.sparkSession
+    if folds < 2 or not 0 < share < 1 or hot < 1:
+        raise ValueError("at least two folds, a share between 0 and 1 and a positive number of hot occurrences are needed")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = docs.mapInArrow(_pack, "doc_ids array<long>, texts array<string>").withColumn("chunk", F.monotonically_increasing_id())
     packed = written(packed, "chunks")
     shards = max(1, -(-packed.count() // SHARD_CHUNKS))
-    asked = packed.mapInArrow(_ask(shards, folds), "shard int, chunk long, level int, keys binary, counts binary")
-    answers = asked.groupBy("shard", "level").applyInArrow(_answer, "shard int, level int, chunk long, totals binary, n long, v long")
-    answers = written(answers, "answers")
-    del asked
-    n, v = answers.filter("level = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    back = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "level", "totals")).alias("answers"))
-    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.join(back, "chunk").mapInArrow(_score(shards, folds, prior, n, v), fields)
+    asked = packed.mapInArrow(_ask_words(shards, folds), "shard int, chunk long, keys binary, counts binary")
+    words = written(asked.groupBy("shard").applyInArrow(_answer_words, "shard int, chunk long, totals binary, n long, v long, once long, twice long"), "words")
+    model = Words(*(x or 0 for x in words.agg(*(F.sum(c) for c in ("n", "v", "once", "twice"))).first()))
+    known = packed.join(words.groupBy("chunk").agg(F.collect_list(F.struct("shard", "totals")).alias("words")), "chunk")
+    asked = known.mapInArrow(_ask_pairs(shards, folds, hot), "shard int, chunk long, keys binary, sizes binary, totals binary, successors binary, counts binary")
+    pairs = written(asked.groupBy("shard").applyInArrow(_answer_pairs(share), "shard int, chunk long, values binary"), "pairs")
+    back = pairs.groupBy("chunk").agg(F.collect_list(F.struct("shard", "values")).alias("pairs"))
+    return known.join(back, "chunk").mapInArrow(_score(shards, folds, share, hot, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
