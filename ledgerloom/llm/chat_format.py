@@ -15,6 +15,7 @@ themselves; they are not changed. One shuffle, by pair; a pair's turns meet in o
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
@@ -60,15 +61,24 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbours_as_pairs(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) -> turns of pairs: conversation 2n is chosen over 2n + 1."""
-    return conversations.select(F.expr("conv_id div 2 - if(conv_id < 0 and conv_id % 2 <> 0, 1, 0)").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+def against_echoes(conversations: DataFrame) -> DataFrame:
+    """conversations(conv_id, turn, role, text) -> turns of pairs: a conversation up to its last assistant turn is chosen over
+    the same one in which that turn only repeats the turn before it (and says nothing where there is none). A conversation
+    without an assistant turn makes no pair."""
+    turns = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.filter("conv_id is not null").select("conv_id", "turn", "role", "text", F.row_number().over(turns).alias("place"), F.lag("text").over(turns).alias("before"))
+    rows = rows.withColumn("last", F.max(F.when(F.col("role") == "assistant", F.col("place"))).over(W.partitionBy("conv_id"))).filter("place <= last")
+    rows = rows.withColumn("chosen", F.explode(F.array(F.lit(True), F.lit(False))))
+    text = F.when(F.col("chosen") | (F.col("place") < F.col("last")), F.col("text")).otherwise(F.coalesce("before", F.lit("")))
+    return rows.select(F.col("conv_id").alias("pair_id"), "chosen", "turn", "role", text.alias("text"))
 
 
 _RENDER = "array_to_string(list_transform({0}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), '')"
 _MASKS = "array_to_string(list_transform({0}, lambda t: '0*' || CAST(length(coalesce(t.role, '')) + 5 AS VARCHAR) || CASE WHEN t.role = 'assistant' THEN ' 1*' ELSE ' 0*' END || CAST(length(coalesce(t.text, '')) + 8 AS VARCHAR)), ' ')"
 ORACLE = f"""
-WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+WITH p AS (SELECT *, row_number() OVER w AS place, lag(text) OVER w AS before FROM conversations WHERE conv_id IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+l AS (SELECT *, max(place) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM p),
+t AS (SELECT conv_id AS pair_id, side, turn, role, CASE WHEN side = 0 OR place < last THEN text ELSE coalesce(before, '') END AS text FROM l, (VALUES (0), (1)) v(side) WHERE place <= last),
 s AS (SELECT pair_id,
     coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (side = 0), []) AS a,
     coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (side <> 0), []) AS b FROM t GROUP BY pair_id),

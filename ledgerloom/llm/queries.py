@@ -37,7 +37,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.preference_pairs(chat_format.neighbours_as_pairs(table(spark, sf_dir, "conversations")))
+    return chat_format.preference_pairs(chat_format.against_echoes(table(spark, sf_dir, "conversations")))
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
