@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, gram_hashes, hold_caches, small_slices
+from .common import CACHE_WORDS, discard, gram_hashes, hold_caches, small_slices, written
 
 LEAST, COVERAGE, BLOCK_CHARS = 5, 0.5, 16_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -118,63 +118,108 @@ def covered(item: np.ndarray, text: np.ndarray, least: int) -> int:
     return sum(n for _, _, n in tiles([int(x) for x in item], [int(x) for x in parts], least))
 
 
+class Items:
+    """Items of a block and the seeds that lead to them."""
+
+    def __init__(self, items: list[tuple[int, str]], least: int, coverage: float):
+        self.least, self.coverage = least, coverage
+        hashed = [(i, plain_hashes(t)) for i, t in items]
+        self.items = [(i, h) for i, h in hashed if len(h) >= least]
+        self.grams = [gram_hashes(h, least) for _, h in self.items]
+        self.repeat = [len(np.unique(g)) < len(g) for g in self.grams]
+        seed = np.concatenate(self.grams) if self.grams else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(self.grams)), [len(g) for g in self.grams])
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.owner = seed[order], owner[order]
+        self.likely = np.zeros(1 << 20, bool)  # most words of most documents end here
+        self.likely[seed & _LOW] = True
+
+    def held(self, text: str | None) -> list[tuple[int, float]]:
+        """(item_id, coverage) of the items that a text holds."""
+        words = plain_hashes(text)
+        own = gram_hashes(words, self.least)
+        own = np.unique(own[self.likely[own & _LOW]])
+        if not len(own) or not len(self.seed):
+            return []
+        low, high = np.searchsorted(self.seed, own), np.searchsorted(self.seed, own, "right")
+        hits = np.flatnonzero(high > low)
+        if not len(hits):
+            return []
+        shared = np.bincount(np.concatenate([self.owner[low[k] : high[k]] for k in hits]), minlength=len(self.items))
+        out = []
+        for k in np.flatnonzero(shared).tolist():
+            item, hashes = self.items[k]
+            # s shared seeds can mark s * least words at most
+            if int(shared[k]) * self.least >= self.coverage * len(hashes) or self.repeat[k]:
+                share = covered(hashes, words, self.least) / len(hashes)
+                if share >= self.coverage:
+                    out.append((item, round(share, 6)))
+        return out
+
+
 def _contained(items: list[tuple[int, str]], least: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_caches("plain words", _PLAIN.clear)
-        hashed = [(i, plain_hashes(t)) for i, t in items]
-        hashed = [(i, h) for i, h in hashed if len(h) >= least]
-        grams = [gram_hashes(h, least) for _, h in hashed]
-        seed = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        order = np.argsort(seed, kind="stable")
-        seed, owner = seed[order], owner[order]
-        likely = np.zeros(1 << 20, bool)  # most words of most documents end here
-        likely[seed & _LOW] = True
+        known = Items(items, least, coverage)
         for batch in small_slices(batches):
-            if not len(seed):
-                continue
-            docs, found, shares = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = plain_hashes(text)
-                own = gram_hashes(words, least)
-                own = np.unique(own[likely[own & _LOW]])
-                if not len(own):
-                    continue
-                low, high = np.searchsorted(seed, own), np.searchsorted(seed, own, "right")
-                hits = np.flatnonzero(high > low)
-                if not len(hits):
-                    continue
-                shared = np.bincount(np.concatenate([owner[low[k] : high[k]] for k in hits]), minlength=len(hashed))
-                for k in np.flatnonzero(shared).tolist():
-                    # s shared seeds can mark s * least words at most
-                    if (int(shared[k]) * least) >= coverage * len(hashed[k][1]) or len(np.unique(grams[k])) < len(grams[k]):
-                        share = covered(hashed[k][1], words, least) / len(hashed[k][1])
-                        if share >= coverage:
-                            docs.append(doc)
-                            found.append(hashed[k][0])
-                            shares.append(round(share, 6))
+            rows = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in known.held(text)]
+            docs, found, shares = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "coverage"])
 
     return run
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, coverage: one row for each contained item."""
-    if least < 2 or not 0 < coverage <= 1:
-        raise ValueError("seeds of two words or more and a coverage above 0 up to 1 are supported")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _without(items: list[tuple[int, str]], least: int, coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_caches("plain words", _PLAIN.clear)
+        known = Items(items, least, coverage)
+        for batch in small_slices(batches):
+            yield batch.filter(pa.array([not known.held(x) for x in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Blocks of items of at most BLOCK_CHARS characters or so, one at a time, and whether more follow."""
     items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = None
     for b in range(blocks):
-        block = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        yield [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], b < blocks - 1
+
+
+def _check(least: int, coverage: float) -> None:
+    if least < 2 or not 0 < coverage <= 1:
+        raise ValueError("seeds of two words or more and a coverage above 0 up to 1 are supported")
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, coverage: one row for each contained item."""
+    _check(least, coverage)
+    docs, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
+    for block, more in _blocks(benchmark):
         rows = docs.mapInArrow(_contained(block, least, coverage), "doc_id long, item_id long, coverage double")
+        if more:  # so that one block's items are held at a time
+            rows = written(rows, "contained")
         out = rows if out is None else out.unionAll(rows)
     return out
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """Rows of docs(text, ...) that hold no item, with all their columns; each row is judged by its own text, in one
+    pass and without a shuffle."""
+    _check(least, coverage)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    for block, more in _blocks(benchmark):
+        before, docs = docs, docs.mapInArrow(_without(block, least, coverage), docs.schema)
+        if more:
+            docs = written(docs, "without-items")
+        discard(before)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each document that holds an item: doc_id, item_ids (ascending), coverage (the highest)."""
+    """One row for each document that holds an item: doc_id, item_ids (ascending), coverage (the highest). Rows that
+    repeat a doc_id make one row."""
     rows = contained_items(docs, benchmark, least, coverage)
     return rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))

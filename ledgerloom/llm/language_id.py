@@ -6,8 +6,9 @@ languages, from what stands before and after it in its sequence. A document's di
 bytes. As states start anew with each word, a word's labels are the same wherever it stands and are worked out once per
 worker.
 
-Training: numpy, backpropagation through time, Adam, fixed seed, on a bounded sample (`sample_rows` documents with the
-smallest hashes of their id, `sample_chars` characters of each; both are parameters).
+Training: numpy, backpropagation through time, Adam, fixed seed, on a bounded sample: `sample_rows` documents of each
+language, those with the smallest hashes, rows that repeat counted once, and of their whole texts `words_per_language` sequences, drawn at random (both
+are parameters). So a rare language is learnt as well as a frequent one.
 
 Null texts and texts without a letter are `und` with score 0, as is everything if nothing could be learnt (an empty
 table, no language). Rows are handled one by one, so repeated or null doc_ids and further columns don't matter.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hold_caches, small_slices, smallest_hashes
+from .common import hold_caches, sampled, small_slices
 
 HIDDEN, LONGEST, REMEMBERED = 16, 48, 250_000
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
@@ -194,7 +195,7 @@ class Labeller:
 _LABELLERS: dict[bytes, Labeller] = {}
 
 
-def _predict(network: Network | None):
+def _predict(network: Network | None, label: str, score: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_caches("language", _LABELLERS.clear)
         key = b"".join(p.tobytes() for p in network.parameters) if network else b""
@@ -208,7 +209,7 @@ def _predict(network: Network | None):
                 share, known = sums[:, :-1] / np.maximum(sums[:, -1:], 1), sums[:, -1] > 0
                 langs = [network.languages[x] if k else "und" for x, k in zip(share.argmax(axis=1).tolist(), known.tolist(), strict=True)]
                 scores = np.where(known, np.minimum(share.max(axis=1), 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, label, score])
 
     return run
 
@@ -217,11 +218,12 @@ def held_out(folds: int = 4, fold: int = 2):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def train(docs: DataFrame, sample_rows: int = 3000, sample_chars: int = 1500, words_per_language: int = 6000) -> Network | None:
-    """Learns from docs(doc_id, text, lang) outside the held-out fold. The same rows give the same network."""
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = smallest_hashes(rows.select("doc_id", "lang"), sample_rows).select("doc_id", "lang").distinct()
-    rows = rows.select("doc_id", F.substring("text", 1, sample_chars).alias("text"), "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").collect()
+def train(docs: DataFrame, sample_rows: int = 1000, words_per_language: int = 6000) -> Network | None:
+    """Learns from docs(doc_id, text, lang) outside the held-out fold: from whole texts of at most `sample_rows` documents of each
+    language, and of these from `words_per_language` sequences, drawn with a fixed seed. The same rows give the same network."""
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = sampled(rows, sample_rows, "lang").collect()
+    rows.sort(key=lambda r: (r.h, r.lang))
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
@@ -235,7 +237,8 @@ def train(docs: DataFrame, sample_rows: int = 3000, sample_chars: int = 1500, wo
     return Network(languages).fit(words, np.array(target)) if words else None
 
 
-def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """docs(doc_id, text, ...) -> the same rows and lang_pred, score."""
-    docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_predict(network), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+def predict(docs: DataFrame, network: Network | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs(doc_id, text, ...) -> the same rows and columns, and a label and a score under these names. A column that has
+    one of the names already is replaced."""
+    docs = docs.drop(label, score).withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(_predict(network, label, score), T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))

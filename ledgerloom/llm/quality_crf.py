@@ -4,9 +4,8 @@ Each line is good or bad. Its evidence are shares of kinds of characters, length
 of the lines before and after it; a transition weight joins the labels of neighbours. Forward-backward sums give every
 line's marginal; a document's score is their mean, weighted by length.
 
-Training: a document's label holds for all its lines; likelihood is climbed with Adam on a bounded sample (`sample_rows`
-documents with the smallest hashes of their id, `sample_lines` lines of each; both are parameters). Scoring reads whole
-texts.
+Training: a document's label holds for all its lines; likelihood is climbed with Adam on whole texts of a bounded sample
+(`sample_rows` labelled documents, a parameter). Scoring reads whole texts.
 
 Null and empty texts are one empty line. Without labels in the sample (an empty table) every score is the share 0.5.
 Documents with several labels teach each of them. Repeated or null doc_ids are scored row by row; further columns don't
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, smallest_hashes
+from .common import sampled, small_slices
 
 OWN = 15
 FEATURES = 3 * OWN + 3
@@ -42,7 +41,7 @@ _KIND = _kinds()
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of all texts x FEATURES, bytes of each line, lines of each text."""
+    """Lines of all texts x OWN features of a line alone, bytes of each line, lines of each text."""
     data = [(t or "").encode() for t in texts]
     flat = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
     ends = np.flatnonzero(flat == 10)
@@ -67,13 +66,24 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
         seen[x] = seen.get(x, 0) + 1
     own[:, 13] = np.log([seen[x] if x[1] else 1 for x in zip(doc.tolist(), pieces, strict=True)])
     own[:, 14] = [1 - len(set(ws)) / len(ws) if (ws := x.split()) else 0 for x in pieces]
-    out = np.zeros((len(starts), FEATURES))
+    return own, size, lines
+
+
+def _neighbours(lines: np.ndarray) -> np.ndarray:
+    """For each line but the last, whether the next one belongs to the same text."""
+    same = np.ones(max(0, lines.sum() - 1), bool)
+    same[np.cumsum(lines)[:-1] - 1] = False
+    return same
+
+
+def with_neighbours(own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Lines x FEATURES: those of the line, the line before, the line after; whether there are such; a constant."""
+    out, same = np.zeros((len(own), FEATURES)), _neighbours(lines)
     out[:, :OWN] = own
-    same = doc[1:] == doc[:-1]
     out[1:, OWN : 2 * OWN] = own[:-1] * same[:, None]
     out[:-1, 2 * OWN : 3 * OWN] = own[1:] * same[:, None]
     out[1:, -3], out[:-1, -2], out[:, -1] = same, same, 1
-    return out, size, lines
+    return out
 
 
 def marginals(evidence: np.ndarray, lines: np.ndarray, join: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -115,23 +125,31 @@ class Field:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, join: np.ndarray):
         self.mean, self.scale, self.weights, self.join = mean, scale, weights, join
 
+    def evidence(self, own: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Log odds of good of each line: weights times scaled with_neighbours(), without writing these out."""
+        plain, same = self.weights / self.scale, _neighbours(lines)
+        out = own @ plain[:OWN] + plain[-1] - self.mean @ plain
+        out[1:] += (own[:-1] @ plain[OWN : 2 * OWN] + plain[-3]) * same
+        out[:-1] += (own[1:] @ plain[2 * OWN : 3 * OWN] + plain[-2]) * same
+        return out
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x, size, lines = line_features(texts)
-        good, _, _ = marginals(((x - self.mean) / self.scale) @ self.weights, lines, self.join)
+        own, size, lines = line_features(texts)
+        good, _, _ = marginals(self.evidence(own, lines), lines, self.join)
         weight, at = size + 1, np.r_[0, np.cumsum(lines)[:-1]]
         return np.clip(np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at), 0, 1)
 
 
 def fit(texts: list[str | None], labels: np.ndarray, steps: int = 250, rate: float = 0.05, decay: float = 1e-3) -> Field:
     """Climbs the likelihood of all lines having their document's label."""
-    x, _, lines = line_features(texts)
+    own, _, lines = line_features(texts)
+    x = with_neighbours(own, lines)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     mean[-1], scale[-1] = 0, 1
     x = (x - mean) / scale
     truth = np.repeat(labels, lines).astype(float)
     weights, join = np.zeros(FEATURES), np.zeros((2, 2))
-    inner = np.ones(len(truth) - 1, bool)
-    inner[np.cumsum(lines)[:-1] - 1] = False
+    inner = _neighbours(lines)
     told = np.array([[((truth[:-1] == a) & (truth[1:] == b) & inner).sum() for b in (0, 1)] for a in (0, 1)], float)
     moments = [np.zeros(FEATURES), np.zeros(FEATURES), np.zeros((2, 2)), np.zeros((2, 2))]
     for step in range(1, steps + 1):
@@ -148,7 +166,7 @@ def fit(texts: list[str | None], labels: np.ndarray, steps: int = 250, rate: flo
 
 def _score(field: Field | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches, 256):
+        for batch in small_slices(batches, 256, 500_000):
             scores = field.scores(batch.column("text").to_pylist()) if field else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
@@ -159,15 +177,17 @@ def held_out(folds: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, sample_lines: int = 40, sample_chars: int = 4000) -> Field | None:
-    """Learns labels.quality from documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000) -> Field | None:
+    """Learns labels.quality from whole texts of documents outside the held-out fold: `sample_rows` labels, and at most as
+    many rows of documents that have one, each with the smallest hashes."""
     chosen = labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    chosen = smallest_hashes(chosen.distinct(), sample_rows)
-    rows = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy("h", "quality", "text").collect()
+    chosen = sampled(chosen, sample_rows).drop("h")
+    rows = sampled(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sample_rows).collect()
+    rows.sort(key=lambda r: r.h)
     known = np.array([int(r.quality) for r in rows])
     if len(set(known.tolist())) < 2:
         return None
-    return fit(["\n".join((r.text or "").split("\n")[:sample_lines]) for r in rows], known)
+    return fit([r.text for r in rows], known)
 
 
 def score(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -69,11 +69,11 @@ def test_near_duplicates_equal_brute_force(docs, texts):
 
 def test_near_duplicates_in_small_blocks_and_steps(docs):
     whole = {tuple(r) for r in minhash_dedup.near_duplicates(docs).collect()}
-    assert {tuple(r) for r in minhash_dedup.near_duplicates(docs, block=2, top=1).collect()} == whole
+    assert {tuple(r) for r in minhash_dedup.near_duplicates(docs, wide=64, block=2, top=1).collect()} == whole
 
 
-@pytest.mark.parametrize("tree_words", [substring_dedup.TREE_WORDS, 200])
-def test_repeated_passages_equal_brute_force(docs, texts, tree_words):
+@pytest.mark.parametrize("group_words", [substring_dedup.GROUP_WORDS, 200, 1])
+def test_repeated_passages_equal_brute_force(docs, texts, group_words):
     first, want = {}, {}
     lists = {i * 3 + 1: words_of(t) for i, t in enumerate(texts)}
     for d, ws in lists.items():
@@ -86,7 +86,7 @@ def test_repeated_passages_equal_brute_force(docs, texts, tree_words):
                 gone.update(range(k, k + 50))
         left = " ".join(w for k, w in enumerate(ws) if k not in gone)
         want[d] = (len(ws), len(gone), hashlib.sha256(left.encode()).hexdigest())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeated_passages(docs, tree_words=tree_words).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeated_passages(docs, group_words=group_words, tree_words=group_words).collect()}
     assert got == want
 
 
@@ -94,11 +94,49 @@ def test_without_passages_keeps_rows_and_columns(spark):
     long, short = " ".join(f"w{i}" for i in range(60)), "a few words"
     rows = [(1, long, "x"), (2, f"before {long} after", "y"), (3, long, "z"), (4, None, None), (5, "", "x"), (None, long, "n"), (6, short, "x"), (7, short, "x")]
     got = substring_dedup.without_passages(spark.createDataFrame(rows, "doc_id long, text string, ranges string"))
-    assert got.columns == ["doc_id", "text", "ranges", substring_dedup.CUT]
+    assert got.columns == ["doc_id", "text", "ranges", "words_removed"]
     want = [(1, long, "x", False), (2, "before after", "y", True), (3, "", "z", True), (4, None, None, False), (5, "", "x", False), (None, long, "n", False), (6, short, "x", False), (7, short, "x", False)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_deep_nodes_are_the_maximal_repeats():
+    r = random.Random(8)
+    for _ in range(30):
+        rows = [[r.choice("ab") for _ in range(r.randint(1, 30))] for _ in range(4)]
+        flat = [x for ws in rows for x in ws]
+        tree = substring_dedup.Subtree(np.array([ord(x) for x in flat]), np.array([len(x) for x in rows]))
+        suffixes = {int(tree.begin[k] + i): ws[i:] for k, ws in enumerate(rows) for i in range(len(ws))}
+        order, common = tree.leaves(np.array(sorted(suffixes)))
+        want = {}
+        for i, x in suffixes.items():
+            if len(x) >= 3:
+                want.setdefault(tuple(x[:3]), set()).add(i)
+        want = {k: v for k, v in want.items() if len(v) > 1}
+        got = {tuple(suffixes[int(order[a])][:3]): (set(order[a:b].tolist()), d) for a, b, d in zip(*substring_dedup.deep_nodes(common, 3), strict=True)}
+        assert {k: v for k, (v, _) in got.items()} == want
+        for places, depth in got.values():
+            parts = [suffixes[p] for p in places]
+            assert len({tuple(x[:depth]) for x in parts}) == 1
+            assert len({tuple(x[: depth + 1]) for x in parts}) > 1 or any(len(x) == depth for x in parts)  # an end is like no other word
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (5, long), (5, other), (5, other), (5, long.replace(" ", "  ")), (6, other), (None, other), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.repeated_passages(docs).collect()), key=str)
+    assert got == sorted([(1, 60, 0), (5, 60, 60), (5, 60, 0), (5, 60, 0), (5, 60, 60), (6, 60, 60), (None, 60, 0), (None, 0, 0)], key=str)
+
+
+def test_cutting_passages_with_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    names = ["doc_id", "text", "th", "text_hash", "ranges", "words_removed", "run", "h", "first"]
+    docs = spark.createDataFrame([(i, long, *"abcdefg") for i in (1, 2)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = substring_dedup.without_passages(docs)
+    assert got.columns == [*names, "words_removed_"]
+    assert sorted(map(tuple, got.collect())) == [(1, long, *"abcdefg", False), (2, "", *"abcdefg", True)]
+
+
 def test_lm_base_score_counts_and_model(docs, texts):
     train, count = [], Counter()
     toks = lambda t: [w.encode().lower() for w in words_of(t)] + [None]
@@ -108,22 +146,62 @@ def test_lm_base_score_counts_and_model(docs, texts):
             count.update(toks(t))
     n, v = sum(count.values()), len(count)
     pairs = Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True))
-    uni = lambda w: (count[w] + 0.1) / (n + 0.1 * (v + 1))
-    for r in ngram_lm.lm_scores(docs).collect():
-        t = toks(texts[(r.doc_id - 1) // 3])
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10(uni(w)) for w in t))
-        exact = sum(math.log10((pairs[a, b] + ngram_lm.PRIOR * uni(b)) / (count[a] + ngram_lm.PRIOR)) for a, b in zip([None, *t[:-1]], t, strict=True))
-        assert r.score == pytest.approx(exact, abs=len(t) * 24 / 65535)
-
-
-def test_elias_fano_and_keys():
-    x = np.sort(np.random.default_rng(1).integers(0, 10_000, 500))
-    assert (ngram_lm.EliasFano(x).decode() == x).all()
-    keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2)) // np.uint64(7) * np.uint64(7)
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice)))
+    one = lambda w: (count[w] - d if count[w] else d * v) / n
+    assert sum(one(w) for w in count) + one("unknown") == pytest.approx(1)
+    share = ngram_lm.SHARE
+    two = lambda u, w: share * pairs[u, w] / count[u] + (1 - share) * one(w) if count[u] else one(w)
+    for hot in (ngram_lm.HOT, 3):
+        for r in ngram_lm.lm_scores(docs, hot=hot).collect():
+            t = toks(texts[(r.doc_id - 1) // 3])
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[w] > 0 for w in t), n)
+            assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+            assert r.score == pytest.approx(sum(math.log10(two(a, b)) for a, b in zip([None, *t[:-1]], t, strict=True)), abs=len(t) * 24 / 65534)
+
+
+def test_elias_fano_finds_places_without_decoding():
+    r = np.random.default_rng(1)
+    for top, n in ((10_000, 500), (2**60, 300), (5, 900), (1, 1)):
+        x = np.sort(r.integers(0, top, n)).astype(np.uint64)
+        at = r.permutation(n)
+        assert (ngram_lm.EliasFano(x).get(at) == x[at]).all()
+    keys = np.unique(r.integers(0, 2**63, 900).astype(np.uint64) * np.uint64(2)) // np.uint64(7) * np.uint64(7)
     assert (ngram_lm.unpack_keys(ngram_lm.pack_keys(keys, 7)) == keys // np.uint64(7)).all()
 
 
+def test_trie_is_searched_for_pairs_that_it_does_not_hold():
+    r = np.random.default_rng(3)
+    key, successor = r.integers(0, 60, 900).astype(np.uint64) * np.uint64(2**55 + 1), r.integers(0, 2**48, 900).astype(np.uint64) // np.uint64(2**43)
+    counts = r.integers(0, 4, 900) * 2**31
+    held = {}
+    for k, w, c in zip(key.tolist(), successor.tolist(), counts.tolist(), strict=True):
+        held[k, w] = held.get((k, w), 0) + c
+    totals = {k: sum(c for (x, _), c in held.items() if x == k) for k, _ in held}
+    trie = ngram_lm.build(key, successor, counts, np.array([totals[k] for k in key.tolist()]), 0.3)
+    asked = [(k, sorted({*r.integers(0, 32, 8).tolist()})) for k in (*sorted(totals), 17, 2**63)]
+    got = trie.find(np.array([k for k, _ in asked], np.uint64), np.array([len(ws) for _, ws in asked]), np.array([w for _, ws in asked for w in ws], np.uint64))
+    want = [math.log10(0.3 * c / totals[k]) if (c := held.get((k, w), 0)) else None for k, ws in asked for w in ws]
+    assert any(x is None for x in want) and any(x is not None for x in want)
+    for x, y in zip(got.tolist(), want, strict=True):
+        assert (x == ngram_lm.UNSEEN) == (y is None)
+        assert y is None or float(ngram_lm.unquantise(np.array([x]))[0]) == pytest.approx(y, abs=24 / 65534)
+    empty = ngram_lm.build(*(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)), 0.3)
+    assert empty.find(np.array([5], np.uint64), np.array([2]), np.array([1, 2], np.uint64)).tolist() == [ngram_lm.UNSEEN] * 2
+
+
+def test_counts_above_32_bits():
+    from pyarrow import table
+
+    keys = np.array([4, 8], np.uint64)
+    rows = {"keys": [ngram_lm.pack_keys(keys, 1)] * 2, "counts": [ngram_lm.squeeze(np.array([3_000_000_000, 1]))] * 2, "chunk": [0, 1]}
+    import pyarrow as pa
+
+    got = ngram_lm._answer_words((pa.scalar(0),), table(rows))
+    assert np.frombuffer(zlib.decompress(got.column("totals")[1].as_py()), np.int64).tolist() == [6_000_000_000, 2]
+    assert got.column("n").to_pylist() == [6_000_000_002, 0]
+
+
 def test_preference_pairs(spark):
     rows = [(1, True, 0, "user", "hi"), (1, True, 1, "assistant", "yes"), (1, False, 0, "user", "hi"), (1, False, 1, "assistant", None), (2, True, 0, None, None), (None, True, 0, "user", "x"), (3, True, 0, "user", "a"), (3, False, 0, "user", "a")]
     got = {r.pair_id: r for r in chat_format.preference_pairs(spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string")).collect()}
@@ -169,6 +247,13 @@ def test_language(spark, none):
     assert language_id.predict(none, language_id.train(none)).count() == 0
 
 
+def test_rare_languages_are_learnt_and_whole_texts_read(spark):
+    rows = [(i, "ka ko ku " * 30, "aa") for i in range(300)] + [(1000, "123 " * 600 + "schung eitung", "bb")]
+    assert any(zlib.crc32(str(i).encode()) % 4 != 2 for i in (1000,))
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    assert language_id.train(docs, sample_rows=10, words_per_language=50).languages == ["aa", "bb"]
+
+
 def test_gradients():
     net, words, target = language_id.Network(["x", "y"], hidden=3), [b"abc", b"d", b"xy"], np.array([0, 1, 1])
     net.parameters = [p.astype(np.float64) for p in net.parameters]
