@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontaminate, language_id, minhash_dedup, substring_dedup
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import free_name, with_place, written
 from ledgerloom.llm.queries import tokenizer_path
 
 
@@ -16,32 +16,36 @@ LEAST_SCORE = 0.35
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network recognises: the score of its label is LEAST_SCORE or more, so those without
-    any letter go. All documents if there was no language to learn."""
+    any letter go, null and empty texts among them. All documents if there was no language to learn."""
     network = language_id.train(docs)
     if network is None:
         return docs
-    return language_id.predict(docs, network).filter(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    label, score = (free_name(docs.columns, x) for x in ("lang_pred", "score"))
+    return language_id.predict(docs, network, label, score).filter(F.col(score) >= LEAST_SCORE).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies, linked from a similarity of 0.8 on."""
-    others = minhash_dedup.near_duplicates(docs, similarity=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, linked from a similarity of 0.8 on: that with the smallest doc_id, and of
+    rows that repeat it the first one of the files. Rows are judged, not ids, so a row stays whose id another row shares.
+    Rows without words or doc_id stay."""
+    placed, place = with_place(docs)
+    others = minhash_dedup.near_duplicates(placed, similarity=80, key=place).filter("not first").select(*place)
+    return placed.join(others, list(place), "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that start in an earlier document; a document with no words left goes."""
-    cut = substring_dedup.CUT
-    left = substring_dedup.without_passages(docs).filter(f"not {cut} or text <> ''")
+    left = substring_dedup.without_passages(docs)
+    cut = left.columns[-1]
+    left = left.filter(f"not {cut} or text <> ''")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col(cut), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds no benchmark item."""
+    return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
