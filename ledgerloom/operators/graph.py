@@ -49,3 +49,26 @@ def chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         front = step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.lit(level).alias("level"), "cycle")
         out = out.unionByName(front)
     return out.drop("path")
+
+
+def reach_within(edges: DataFrame, starts: DataFrame, depth: int, nodes: int) -> DataFrame:
+    """node, depth, via, cut: as reach_via(), but never more than `nodes` nodes with the starts; a level takes its first ones by
+    name, and `cut` on them says that others were left out. Levels are bounded by `nodes`, so the driver holds them."""
+    spark = edges.sparkSession
+    seen = {r.node: (0, None, False) for r in starts.select("node").distinct().orderBy("node").limit(nodes).collect()}
+    kind = next(f.dataType.simpleString() for f in edges.schema if f.name == "dst")
+    frontier = list(seen)
+    for level in range(1, depth + 1):
+        if not frontier:
+            break
+        room = nodes - len(seen)
+        near = edges.filter(F.col("src").isin(frontier) & ~F.col("dst").isin(list(seen)))
+        rows = near.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via")).orderBy("node").limit(room + 1).collect()
+        cut = len(rows) > room
+        seen.update({r.node: (level, r.via, cut) for r in rows[:room]})
+        if cut:
+            if not room:
+                seen[frontier[0]] = (*seen[frontier[0]][:2], True)
+            break
+        frontier = [r.node for r in rows]
+    return spark.createDataFrame([(n, *x) for n, x in seen.items()], f"node {kind}, depth int, via {kind}, cut boolean")

@@ -10,8 +10,10 @@ from ..workload import query
 
 _HREFS = "unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))"
 _PATH = "regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)"
-_PARTS = f"list_transform(string_split(ltrim({_PATH}, '/'), '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN ':p' ELSE s END)"
-_SIMILAR = "round(2.0 * len(list_filter(range(1, least(len(s), 2) + 1), lambda i: s[i] = (['fr', ':p'])[i])) / (len(s) + 2), 6)"
+# Numbers of the table's paths become parameters, written in one of three ways; every seventh page has no path.
+_ROUTED = f"CASE WHEN page_id % 7 = 0 THEN '/' ELSE regexp_replace({_PATH}, '/[0-9]+', CASE page_id % 3 WHEN 0 THEN '/:Id' WHEN 1 THEN '/{{name}}' ELSE '/[slug]' END, 'g') END"
+_PARTS = rf"list_filter(string_split(lower(regexp_replace({_ROUTED}, ':(\w+)|\{{(\w+)\}}|\[(\w+)\]', ':p', 'g')), '/'), lambda s: s <> '')"
+_SIMILAR = "CASE WHEN len(s) = 0 THEN 0 ELSE round(2.0 * len(list_filter(range(1, least(len(s), 2) + 1), lambda i: s[i] = (['fr', ':p'])[i])) / (len(s) + 2), 6) END"
 _FILES = r"regexp_extract_all(text, '[A-Za-z0-9_/-]+\.[a-z]{2,4}\b')"
 ALIASES = {"/t": "/T", "/th": "/Th", "/qu": "/Qu", "/que": "/que"}
 
@@ -20,6 +22,12 @@ def _links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(paths.links(F.col("html"))).alias("spec")).distinct()
 
 
+def _routed(pages: DataFrame) -> DataFrame:
+    """page_id, route: paths as routes with parameters."""
+    put = F.when(F.col("page_id") % 3 == 0, F.lit("/:Id")).when(F.col("page_id") % 3 == 1, F.lit("/{name}")).otherwise(F.lit("/[slug]"))
+    return pages.select("page_id", "url", F.when(F.col("page_id") % 7 == 0, F.lit("/")).otherwise(F.regexp_replace(paths.url_path(F.col("url")), F.lit("/[0-9]+"), put)).alias("route"))
+
+
 def _known(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("url").contains("/en/")).select(F.explode(paths.links(F.col("html"))).alias("path")).distinct()
 
@@ -54,15 +62,25 @@ def cited_files(documents: DataFrame) -> DataFrame:
 
 @query("pages", sql=f"WITH r AS (SELECT page_id, {_PARTS} AS s FROM pages) SELECT page_id, {_SIMILAR} AS similarity FROM r")
 def route_similarity(pages: DataFrame) -> DataFrame:
-    wanted = F.array(F.lit("fr"), F.lit(":p"))
-    return pages.select("page_id", F.round(paths.route_similarity(paths.route_parts(paths.url_path(F.col("url"))), wanted), 6).alias("similarity"))
+    return _routed(pages).select("page_id", F.round(_likeness(), 6).alias("similarity"))
+
+
+def _likeness():
+    """Of a route to /fr/:p."""
+    return paths.route_similarity(paths.route_parts(F.col("route")), paths.route_parts(F.lit("/fr/:p")))
+
+
+@query("pages", sql=f"WITH r AS (SELECT page_id, {_PARTS} AS s FROM pages) SELECT page_id, {_SIMILAR} AS similarity FROM r WHERE {_SIMILAR} >= 0.6 ORDER BY similarity DESC, page_id LIMIT 5")
+def similar_routes(pages: DataFrame) -> DataFrame:
+    """The five routes most like a given one, from a similarity of 0.6 on."""
+    rows = _routed(pages).select("page_id", F.round(_likeness(), 6).alias("similarity")).filter("similarity >= 0.6")
+    return rows.orderBy(F.desc("similarity"), "page_id").limit(5)
 
 
 @query("pages", sql=f"WITH r AS (SELECT page_id, url, {_PARTS} AS s FROM pages) SELECT page_id, round({_SIMILAR} + CASE WHEN contains(url, 'th') THEN 1 ELSE 0 END, 6) AS score FROM r ORDER BY score DESC, page_id LIMIT 6")
 def relevant_routes(pages: DataFrame) -> DataFrame:
-    close = paths.route_similarity(paths.route_parts(paths.url_path(F.col("url"))), F.array(F.lit("fr"), F.lit(":p")))
-    score = F.round(F.round(close, 6) + F.col("url").contains("th").cast("int"), 6)
-    return pages.select("page_id", score.alias("score")).orderBy(F.desc("score"), "page_id").limit(6)
+    score = F.round(F.round(_likeness(), 6) + F.col("url").contains("th").cast("int"), 6)
+    return _routed(pages).select("page_id", score.alias("score")).orderBy(F.desc("score"), "page_id").limit(6)
 
 
 @query("pages", sql=f"SELECT page_id, regexp_replace({_PATH}, '/[0-9]+', '/:id', 'g') AS route, len(string_split(substr(html, 1, strpos(html, '</article>')), chr(10))) AS line, substr(string_split(regexp_extract(html, '<h1>([^<]*)', 1), '.')[1], 1, 120) AS signature FROM pages")

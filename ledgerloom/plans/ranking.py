@@ -14,7 +14,7 @@ from .retrieval import _TOKENS
 # Fixed values of the selection: lines, crowd, floor, weight.
 LINE, LOW, CROWD, SHARE, FEW, FLOOR, WEIGHT = 0.56, 0.45, 16, 0.75, 4, 0.30, 8
 _COS = "SELECT vec_id AS id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS s FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
-_NAME = "list_filter(string_split(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 2)"
+_NAME = "list_filter(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), lambda w: length(w) >= 2)"
 
 
 def _cosines(embeddings: DataFrame) -> DataFrame:
@@ -51,13 +51,13 @@ def relevance_score(embeddings: DataFrame) -> DataFrame:
 
 @query("part", sql=f"WITH t AS (SELECT p_partkey AS id, {_NAME} AS tokens FROM part), s AS (SELECT count(*) AS n, sum(len(tokens)) / greatest(1, count(*)) AS avg FROM t), tf AS (SELECT id, len(tokens) AS len, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM t) WHERE term IN ('red', 'bolt') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY 1")
 def bm25_identifier(part: DataFrame) -> DataFrame:
-    docs = part.select(F.col("p_partkey").alias("id"), text.identifier_parts(F.col("p_name")).alias("tokens"))
+    docs = part.select(F.col("p_partkey").alias("id"), text.part_words(F.col("p_name")).alias("tokens"))
     return retrieval.bm25(docs, ["red", "bolt"]).select("id", F.round("score", 6).alias("score"))
 
 
-@query("documents", sql=f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'tion'])")
+@query("documents", sql=f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['was', 'tion'])")
 def resolve_all_words(documents: DataFrame) -> DataFrame:
-    wanted = F.array(F.lit("the"), F.lit("tion"))
+    wanted = F.array(F.lit("was"), F.lit("tion"))
     return documents.filter(F.size(F.array_except(wanted, text.tokens(F.col("text")))) == 0).select("doc_id")
 
 
@@ -69,10 +69,10 @@ def reuse_targets(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc(F.col("calls") + F.col("hits")), "p_partkey").limit(3)
 
 
-@query("documents", sql=f"WITH h AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE term IN ('tion', 'the', 'with') GROUP BY ALL) SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS hits FROM h GROUP BY 1 ORDER BY terms DESC, hits DESC, doc_id LIMIT 200")
+@query("documents", sql=f"WITH h AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE term IN ('tion', 'was', 'elle') GROUP BY ALL) SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS hits FROM h GROUP BY 1 ORDER BY terms DESC, hits DESC, doc_id LIMIT 200")
 def fulltext_set(documents: DataFrame) -> DataFrame:
     """Documents with any of the words, those with more of them first; 200 at most, as the search gives."""
-    found = documents.select("doc_id", F.filter(text.tokens(F.col("text")), lambda w: w.isin("tion", "the", "with")).alias("w")).filter(F.size("w") > 0)
+    found = documents.select("doc_id", F.filter(text.tokens(F.col("text")), lambda w: w.isin("tion", "was", "elle")).alias("w")).filter(F.size("w") > 0)
     rows = found.select("doc_id", F.size(F.array_distinct("w")).cast("long").alias("terms"), F.size("w").cast("long").alias("hits"))
     return rows.orderBy(F.desc("terms"), F.desc("hits"), "doc_id").limit(200)
 
@@ -80,7 +80,7 @@ def fulltext_set(documents: DataFrame) -> DataFrame:
 @query("part", sql=f"WITH t AS (SELECT p_partkey, p_type, unnest(list_distinct({_NAME})) AS term FROM part), n AS (SELECT count(*) AS n FROM part), d AS (SELECT term, count(*) AS df FROM t WHERE term IN ('red', 'bolt', 'ring') GROUP BY 1) SELECT p_partkey, round(sum(ln(1 + n / df)) + CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END, 6) AS score FROM t JOIN d USING (term), n GROUP BY p_partkey, p_type ORDER BY score DESC, p_partkey LIMIT 20")
 def navigation_rank(part: DataFrame) -> DataFrame:
     """Rare words of the question weigh more; a place in the path adds one."""
-    words = F.filter(F.array_distinct(text.identifier_parts(F.col("p_name"))), lambda w: w.isin("red", "bolt", "ring"))
+    words = F.filter(F.array_distinct(text.part_words(F.col("p_name"))), lambda w: w.isin("red", "bolt", "ring"))
     hits = part.select("p_partkey", "p_type", F.explode(words).alias("term"))
     df, n = hits.groupBy("term").agg(F.count("*").alias("df")), part.agg(F.count("*").alias("n"))
     rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(n)).groupBy("p_partkey", "p_type").agg(F.sum(F.log(1 + F.col("n") / F.col("df"))).alias("s"))

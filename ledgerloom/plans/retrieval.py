@@ -9,12 +9,28 @@ from ..functions import text
 from ..operators import retrieval
 from ..workload import query
 
-WORDS = ["tion", "the", "with", "dans", "una"]
-_FOLD = f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')"
-_TOKENS = f"list_filter(regexp_extract_all({_FOLD}, '[a-z0-9_]+'), lambda w: length(w) >= 3)"
+WORDS = ["tion", "was", "ther", "elle", "una"]
 
 
-@query("documents", sql=f"WITH t AS (SELECT doc_id AS id, {_TOKENS} AS tokens FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, sum(len(tokens)) / greatest(1, count(*)) AS avg FROM t), tf AS (SELECT id, len(tokens) AS len, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM t) WHERE term IN ('tion', 'the', 'with', 'dans', 'una') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY id ORDER BY score DESC, id LIMIT 10")
+def listed(words: list[str]) -> str:
+    """A list of words in SQL."""
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def tokens_sql(text_sql: str) -> str:
+    return f"list_filter(regexp_split_to_array(strip_accents(lower({text_sql})), '[^a-z0-9_]+'), lambda w: length(w) >= 3 AND NOT list_contains({listed(text.STOP_FOLDED)}, w))"
+
+
+def parts_sql(name: str) -> str:
+    """Words of an identifier."""
+    spaced = f"regexp_replace(regexp_replace(regexp_replace({name}, '[_\\-./\\\\]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"list_filter(regexp_split_to_array(lower({spaced}), '\\s+'), lambda w: length(w) >= 2 AND regexp_matches(w, '[a-z]'))"
+
+
+_TOKENS = tokens_sql("text")
+
+
+@query("documents", sql=f"WITH t AS (SELECT doc_id AS id, {_TOKENS} AS tokens FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, sum(len(tokens)) / greatest(1, count(*)) AS avg FROM t), tf AS (SELECT id, len(tokens) AS len, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM t) WHERE list_contains({listed(WORDS)}, term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def bm25_topk(documents: DataFrame) -> DataFrame:
     docs = documents.filter("text is not null").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
     return retrieval.bm25(docs, WORDS).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
@@ -26,9 +42,41 @@ def tokenize_fold(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0)).alias("first"))
 
 
-@query("part", sql="SELECT p_partkey, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace(p_name || p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 2), ' ') AS parts FROM part".replace("\\\\", "\\"))
+@query("documents", sql=f"SELECT doc_id, CAST(len(list_distinct({_TOKENS})) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
+def tokenize_distinct(documents: DataFrame) -> DataFrame:
+    return documents.filter("text is not null").select("doc_id", F.size(F.array_distinct(text.tokens(F.col("text")))).cast("long").alias("n"))
+
+
+# Names as code spells them, made of what the table holds.
+_NAMED = "replace(p_name, ' ', '_') || p_type || 'Item' || p_brand || '.HTTPServer' || p_size || '-x'"
+
+
+@query("part", sql=f"SELECT p_partkey, array_to_string({parts_sql(_NAMED)}, ' ') AS parts FROM part")
 def identifier_split(part: DataFrame) -> DataFrame:
-    return part.select("p_partkey", F.array_join(text.identifier_parts(F.concat("p_name", "p_type")), " ").alias("parts"))
+    named = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_type"), F.lit("Item"), F.col("p_brand"), F.lit(".HTTPServer"), F.col("p_size").cast("string"), F.lit("-x"))
+    return part.select("p_partkey", F.array_join(text.identifier_parts(named), " ").alias("parts"))
+
+
+@query("part", sql="WITH w AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_type || '_' || replace(p_name, ' ', ' get_') || ' a_b'), '[a-z0-9_]+'), lambda w: length(w) >= 2) AS w FROM part) SELECT p_partkey, array_to_string(flatten(list_transform(w, lambda x: CASE WHEN contains(x, '_') THEN list_concat([x], list_filter(string_split(x, '_'), lambda p: length(p) >= 2)) ELSE [x] END)), ' ') AS words FROM w")
+def identifier_part_words(part: DataFrame) -> DataFrame:
+    named = F.concat("p_type", F.lit("_"), F.replace("p_name", F.lit(" "), F.lit(" get_")), F.lit(" a_b"))
+    return part.select("p_partkey", F.array_join(text.part_words(named), " ").alias("words"))
+
+
+_SINGULAR = "CASE WHEN ends_with(w, 'ies') THEN substr(w, 1, length(w) - 3) || 'y' WHEN length(w) > 4 AND ends_with(w, 's') THEN substr(w, 1, length(w) - 1) ELSE w END"
+_NAVIGATION = f"list_filter(list_transform(regexp_split_to_array(lower(regexp_replace(strip_accents(text), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: {_SINGULAR}), lambda w: length(w) >= 3 AND NOT list_contains({listed(text.NOISE)}, w))"
+
+
+@query("documents", sql=f"SELECT doc_id, array_to_string(list_sort(list_distinct({_NAVIGATION})), ' ') AS terms FROM documents WHERE text IS NOT NULL")
+def navigation_terms(documents: DataFrame) -> DataFrame:
+    return documents.filter("text is not null").select("doc_id", F.array_join(F.array_sort(text.navigation_terms(F.col("text"))), " ").alias("terms"))
+
+
+@query("benchmark", sql=rf"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}_]+'), lambda w: NOT list_contains({listed(text.HISTORY_STOP)}, w)))), ' ') AS history, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains({listed(text.REQUEST_STOP)}, w)))), ' ') AS request FROM benchmark WHERE text IS NOT NULL".replace("\\\\", "\\"))
+def question_words(benchmark: DataFrame) -> DataFrame:
+    """Words of a question: those that a history must hold, and those worth a translation."""
+    sorted_words = lambda words: F.array_join(F.array_sort(words), " ")
+    return benchmark.filter("text is not null").select("item_id", sorted_words(text.question_words(F.col("text"))).alias("history"), sorted_words(text.request_words(F.col("text"))).alias("request"))
 
 
 @query("documents", sql=f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1) SELECT term, df, df <= greatest(2, ceil(0.02 * (SELECT count(*) FROM documents))) AS rare FROM d")
@@ -72,7 +120,11 @@ def near_duplicate_text(documents: DataFrame) -> DataFrame:
     return same.filter("copies > 1").select("copies", "first", "said")
 
 
-@query("documents", sql=r"SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: ceil(length(w) / 4))), 0) AS BIGINT) + CAST(ceil(length(regexp_replace(text, '[A-Za-z0-9\s]', '', 'g')) * 8 / 10) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
+_PIECES = r"regexp_extract_all(text, '\p{L}+|\p{N}+|[^\t\n\v\f\r\pZ\x{FEFF}\p{L}\p{N}]')"
+_COST = r"CASE WHEN regexp_matches(w, '^\p{L}') THEN ceil(length(w) / 6) WHEN regexp_matches(w, '^\p{N}') THEN ceil(length(w) / 3) ELSE CAST(0.8 AS DOUBLE) END"
+
+
+@query("documents", sql=f"SELECT doc_id, CAST(ceil(list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform({_PIECES}, lambda w: {_COST})), lambda s, x: s + x)) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_estimate(documents: DataFrame) -> DataFrame:
     return documents.filter("text is not null").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 

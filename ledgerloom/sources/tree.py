@@ -73,9 +73,14 @@ def resolved(specs: DataFrame, files: DataFrame) -> DataFrame:
     folder = F.regexp_replace("rel", "[^/]*$", "")
     dots = F.length(F.regexp_extract("spec", r"^\.+", 0))
     python = F.concat(F.when(dots > 1, F.repeat(F.lit("../"), dots - 1)).otherwise(""), F.translate(F.regexp_replace("spec", r"^\.+", ""), ".", "/"))
-    base = paths.normalised(F.concat(folder, F.when(F.col("rel").endswith(".py"), python).otherwise(F.col("spec"))))
+    base = paths.normalised(F.concat(folder, F.when(F.col("rel").endswith(".py") & ~F.col("spec").contains("/"), python).otherwise(F.col("spec"))))
     # A specification may name the extension that the compiler writes instead of the source's.
     stem = F.regexp_replace(base, r"\.[mc]?jsx?$", "")
     candidates = F.concat(F.array(base), *[F.array(*[F.concat(x, F.lit(e)) for e in EXTENSIONS]) for x in (stem, base)], F.array(*[F.concat(base, F.lit("/index" + e)) for e in EXTENSIONS[:8]]), F.array(F.concat(base, F.lit("/__init__.py"))))
     tried = specs.filter(F.col("spec").startswith(".")).select("rel", "spec", F.posexplode(candidates).alias("priority", "target"))
     return tried.join(files.select(F.col("rel").alias("target")), "target").groupBy("rel", "spec").agg(F.min_by("target", "priority").alias("target"))
+
+
+def listing(spark: SparkSession, root: str, ignored: DataFrame | None = None) -> DataFrame:
+    """Paths of the code under a root in order, without reading contents."""
+    return scan(spark, root, ignored).select("rel").orderBy("rel")
