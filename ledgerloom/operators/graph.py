@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 
 def inverted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -18,24 +20,23 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
-    """node, depth: nodes within `depth` steps of starts(node) along src -> dst at their first level.
-
-    The number of levels is small and fixed, so the plan is unrolled: each level joins the frontier, drops known nodes."""
-    seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for level in range(1, depth + 1):
-        frontier = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
-        seen = seen.unionByName(frontier)
-    return seen
+    """node, depth: nodes within `depth` steps of starts(node) along src -> dst at their first level."""
+    return reach_via(edges, starts, depth).drop("via")
 
 
 def reach_via(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """node, depth, via: as reach(), with the smallest of the nodes from which it was first reached."""
-    seen = starts.select("node").distinct().withColumns({"depth": F.lit(0), "via": F.lit(None).cast("string")})
-    frontier = seen
+    """node, depth, via: as reach(), with the smallest of the nodes from which it was first reached.
+
+    Edges are written once, and each level: a level joins only the one before it with them and drops what is known."""
+    edges = written(edges.select("src", "dst"), "edges") if depth > 1 else edges
+    kind = starts.schema["node"].dataType
+    frontier = starts.select("node").distinct().withColumns({"depth": F.lit(0), "via": F.lit(None).cast(kind)})
+    seen = frontier
     for level in range(1, depth + 1):
         steps = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         frontier = steps.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("depth"), "via")
+        if level < depth:
+            frontier = written(frontier, "level")
         seen = seen.unionByName(frontier)
     return seen
 

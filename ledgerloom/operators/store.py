@@ -28,13 +28,14 @@ def valid_at(start: Column, end: Column, at: Column) -> Column:
     return F.coalesce(start <= at, F.lit(True)) & F.coalesce(at < end, F.lit(True))
 
 
-def semi_any(rows: DataFrame, key: str, *branches: DataFrame) -> DataFrame:
-    """Rows that meet one of several semi joins; branches are (name, wanted) pairs flattened as named columns."""
-    found = None
-    for wanted in branches:
-        part = rows.join(wanted, wanted.columns, "left_semi")
-        found = part if found is None else found.unionByName(part)
-    return found.dropDuplicates([key])
+def semi_any(rows: DataFrame, *branches: DataFrame) -> DataFrame:
+    """Rows that meet one of several semi joins, each row once, also where rows are equal. A branch is a table of wanted values."""
+    hits = []
+    for k, wanted in enumerate(branches):
+        hit = f"__hit_{k}"
+        rows = rows.join(wanted.distinct().withColumn(hit, F.lit(True)), wanted.columns, "left")
+        hits.append(F.col(hit))
+    return rows.filter(F.coalesce(*hits)).drop(*[f"__hit_{k}" for k in range(len(branches))])
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, version: str) -> DataFrame:

@@ -91,7 +91,7 @@ def string_helpers(pages: DataFrame) -> DataFrame:
 
 
 @query("documents", sql="WITH w AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(list_distinct(w)) AS BIGINT) AS n, array_to_string(list_sort(list_distinct(w))[1:3], '|') AS low, list_contains(w, 'the') AS has, len(list_filter(w, lambda x: length(x) = 0)) = 0 AS filled FROM w")
-def array_map_functions(documents: DataFrame) -> DataFrame:
+def array_functions(documents: DataFrame) -> DataFrame:
     words = documents.filter("text is not null").select("doc_id", F.split(F.lower("text"), " ", -1).alias("w")).withColumn("d", F.array_distinct("w"))
     return words.select("doc_id", F.size("d").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("d"), 1, 3), "|").alias("low"), F.array_contains("w", "the").alias("has"), F.forall("w", lambda x: F.length(x) > 0).alias("filled"))
 

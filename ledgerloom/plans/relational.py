@@ -34,7 +34,7 @@ def heads_as_of(orders: DataFrame) -> DataFrame:
 
 
 @query("orders", sql="SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS BIGINT) AS version, lag(o_orderkey) OVER w AS previous FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
-def version_chain_check(orders: DataFrame) -> DataFrame:
+def version_numbers(orders: DataFrame) -> DataFrame:
     return store.chain(orders.select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", F.col("version").cast("long").alias("version"), "previous")
 
 
@@ -72,7 +72,7 @@ def disjunctive_semi(orders: DataFrame, customer: DataFrame) -> DataFrame:
     rows = orders.select("o_orderkey", "o_custkey")
     poor = customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     there = customer.filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_orderkey"))
-    return store.semi_any(rows, "o_orderkey", poor, there)
+    return store.semi_any(rows, poor, there)
 
 
 @query("lineitem", "part", "supplier", sql="SELECT DISTINCT p_brand, s_nationkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'")
@@ -144,8 +144,8 @@ def hash_ids(documents: DataFrame) -> DataFrame:
     return documents.filter("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("id"), F.substring(F.sha2(F.concat("source", F.lit(":"), "lang").cast("binary"), 256), 1, 16).alias("short"))
 
 
-@query("events", "lineitem", sql="SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-def frames_and_percentiles(events: DataFrame, lineitem: DataFrame) -> DataFrame:
+@query("lineitem", sql="SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_totals(lineitem: DataFrame) -> DataFrame:
     return lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
@@ -158,7 +158,7 @@ def remote_normalise(pages: DataFrame) -> DataFrame:
 
 
 @query("pages", sql="SELECT page_id, CAST(length(html) AS BIGINT) AS size, CAST(len(regexp_extract_all(html, 'href=')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs FROM pages")
-def html_extract(pages: DataFrame) -> DataFrame:
+def html_counts(pages: DataFrame) -> DataFrame:
     count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
     return pages.select("page_id", F.length("html").cast("long").alias("size"), count("href=").alias("links"), count("<p[ >]").alias("paragraphs"))
 

@@ -80,7 +80,7 @@ def retention_erase(events: DataFrame) -> DataFrame:
 
 
 @query("events", sql="WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, no")
-def stream_session_gap(events: DataFrame) -> DataFrame:
+def session_gaps(events: DataFrame) -> DataFrame:
     gaps = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return gaps.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
 
