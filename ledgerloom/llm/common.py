@@ -105,10 +105,10 @@ def sampled(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
     names = rows.columns
     kind = free_name(names, "kind")
     rows = rows.withColumn("h", F.xxhash64(*names)).withColumn(kind, F.col(by) if by else F.lit(0))
-    sizes = rows.groupBy(kind).count().collect()
+    sizes = rows.groupBy(kind).agg(F.approx_count_distinct("h")).collect()
     if not sizes:
         return rows.select(*names, "h")
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], 2.0 * n / r[1])))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], 2.0 * n / max(1, r[1]))))
     near = rows.filter(F.col("h") / 2.0**64 + 0.5 <= F.element_at(share, F.col(kind))).dropDuplicates([kind, "h"])
     near = near.withColumn("rank", F.row_number().over(W.partitionBy(kind).orderBy("h"))).filter(F.col("rank") <= n)
     return near.select(*names, "h")

@@ -214,7 +214,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, cov
         before, docs = docs, docs.mapInArrow(_without(block, least, coverage), docs.schema)
         if more:
             docs = written(docs, "without-items")
-        discard(before)
+            discard(before)
     return docs
 
 

@@ -1,6 +1,6 @@
 """Binary media columns: PNG images written and read through zlib chunks, and perceptual hashes of their samples.
 
-write_png/read_png handle 8-bit grey images of any size; the reader checks the signature, every chunk's CRC-32 and the
+write_png/read_png handle 8-bit grey images of any size. The writer filters each row as suits it; the reader checks the signature, every chunk's CRC-32 and the
 length of the samples, and undoes all five filters with numpy. `perceptual_hash` takes the low frequencies of a cosine
 transform of the image, averaged to 32 x 32, each axis by itself; rows are repeated where there are fewer than 32.
 
@@ -24,6 +24,8 @@ from .common import small_slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
+#: Bytes of one data chunk.
+IDAT = 65_536
 SIDE, LOW = 32, 8
 _COSINES = np.cos(np.pi / SIDE * (np.arange(SIDE) + 0.5) * np.arange(LOW)[:, None])
 
@@ -32,46 +34,58 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def write_png(samples: np.ndarray, level: int = 1, filtering: int = 0) -> bytes:
-    """An 8-bit grey image; filtering 0 (none), 1 (left) or 2 (above)."""
-    height, width = samples.shape
-    rows = samples.astype(np.uint8).copy()
-    if filtering == 1:
-        rows[:, 1:] = samples[:, 1:] - samples[:, :-1]
-    elif filtering == 2:
-        rows[1:] = samples[1:] - samples[:-1]
-    elif filtering:
+def write_png(samples: np.ndarray, level: int = 1, filtering: int | None = None) -> bytes:
+    """An 8-bit grey image; filtering 0 (none), 1 (left) or 2 (above) for all rows, or for each row the one whose bytes are
+    nearest to zero."""
+    if filtering not in (None, 0, 1, 2):
         raise ValueError("only filters 0 to 2 are written")
-    raw = np.concatenate([np.full((height, 1), filtering, np.uint8), rows], axis=1).tobytes()
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(raw, level)) + _chunk(b"IEND", b"")
+    height, width = samples.shape
+    plain = samples.astype(np.uint8)
+    left, above = plain.copy(), plain.copy()
+    left[:, 1:] -= plain[:, :-1]
+    above[1:] -= plain[:-1]
+    ways = np.stack([plain, left, above])
+    if filtering is None:
+        kinds = np.abs(ways.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0).astype(np.uint8)
+    else:
+        kinds = np.full(height, filtering, np.uint8)
+    raw = zlib.compress(np.concatenate([kinds[:, None], ways[kinds, np.arange(height)]], axis=1).tobytes(), level)
+    parts = b"".join(_chunk(b"IDAT", raw[i : i + IDAT]) for i in range(0, len(raw), IDAT))
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + parts + _chunk(b"IEND", b"")
 
 
 def _unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Samples of filtered rows. Runs of rows with filter 0, 1 or 2 are undone at once, the others value by value."""
+    """Samples of filtered rows. Rows that look to the left are undone at once, runs of rows that look up by sums, the others
+    value by value."""
+    if kinds.max(initial=0) > 4:
+        raise ValueError(f"filter {kinds.max()} is unknown")
     out = rows.copy()
+    left = kinds == 1
+    out[left] = np.cumsum(rows[left], axis=1, dtype=np.uint8)
     edges = np.r_[0, np.flatnonzero(np.diff(kinds)) + 1, len(kinds)]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        kind, above = kinds[a], out[a - 1] if a else np.zeros(rows.shape[1], np.uint8)
-        if kind == 1:
-            out[a:b] = np.cumsum(rows[a:b], axis=1, dtype=np.uint8)
-        elif kind == 2:
-            out[a:b] = np.cumsum(np.concatenate([above[None], rows[a:b]]), axis=0, dtype=np.uint8)[1:]
-        elif kind in (3, 4):
+        kind = kinds[a]
+        if kind == 2:
+            first = rows[a] + out[a - 1] if a else rows[a]
+            out[a:b] = np.cumsum(np.concatenate([first[None], rows[a + 1 : b]]), axis=0, dtype=np.uint8)
+        elif kind > 2:
             for y in range(a, b):
-                up, left, corner = (out[y - 1] if y else above).astype(int), 0, 0
-                for x in range(rows.shape[1]):
-                    if kind == 3:
-                        guess = (left + up[x]) // 2
-                    else:
-                        p = left + up[x] - corner
-                        guess = min((abs(p - left), 0, left), (abs(p - up[x]), 1, up[x]), (abs(p - corner), 2, corner))[2]
-                    left, corner = (int(rows[y, x]) + int(guess)) & 255, up[x]
-                    out[y, x] = left
-        elif kind:
-            raise ValueError(f"filter {kind} is unknown")
+                _undo(int(kind), rows[y], out[y - 1] if y else np.zeros(rows.shape[1], np.uint8), out[y])
     return out
 
 
+def _undo(kind: int, row: np.ndarray, above: np.ndarray, out: np.ndarray) -> None:
+    """One row with filter 3 (mean of left and above) or 4 (whichever of left, above and corner is nearest to their sum)."""
+    left = corner = 0
+    for x, (value, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
+        guess = (left + up) // 2
+        if kind == 4:
+            p = left + up - corner
+            guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+        left, corner = (value + guess) & 255, up
+        out[x] = left
+
+
 def read_png(data: bytes) -> np.ndarray:
     """Samples of an 8-bit grey image without interlacing; ValueError if anything about it is not right."""
     if data[:8] != SIGNATURE:

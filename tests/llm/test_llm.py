@@ -300,9 +300,9 @@ def test_token_files(docs, texts, none):
     assert token_files.read_token_files(token_files.write_token_files(none, PATH)).count() == 0
 
 
-@pytest.mark.parametrize("filtering", [0, 1, 2])
+@pytest.mark.parametrize("filtering", [None, 0, 1, 2])
 def test_png(filtering):
-    image = np.random.default_rng(filtering).integers(0, 256, (37, 64)).astype(np.uint8)
+    image = np.random.default_rng(filtering or 7).integers(0, 256, (37, 64)).astype(np.uint8)
     data = media_png.write_png(image, filtering=filtering)
     assert (media_png.read_png(data) == image).all()
     with pytest.raises(ValueError):
