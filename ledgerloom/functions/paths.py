@@ -98,3 +98,8 @@ def normalised(path: Column) -> Column:
     up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
     step = lambda done, s: F.when(s.isin("", "."), done).when(s == "..", up(done)).otherwise(F.concat(done, F.array(s)))
     return F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+
+
+def absolute(path: Column) -> Column:
+    """An absolute path without empty, `.` and `..` steps."""
+    return F.concat(F.lit("/"), normalised(path))
