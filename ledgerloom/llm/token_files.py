@@ -41,12 +41,16 @@ class LibraryCodec(Codec):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
         self.letters = dict(enumerate(byte_letters()))
+        self.space = self.letters[32]
 
     def load(self, model: dict) -> None:
         """The library has them."""
 
     def ids_of(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
+        if word[0] == " " and word.isascii() and word[1:].isalpha():
+            letters = self.space + word[1:]  # letters of ASCII stand for themselves
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
         return self.pack([t.id for t in self.model.tokenize(letters)])
 
 

@@ -229,3 +229,18 @@ def test_slices_are_bounded_in_bytes_and_samples_in_rows(spark):
     got = sampled(rows, 10, "kind").collect()
     assert sorted(r.kind for r in got) == ["often"] * 10 + ["rare"] and len({r.h for r in got}) == 11
     assert sampled(rows, 7).count() == 7 and sampled(rows.limit(0), 3, "kind").count() == 0
+
+
+def test_components_by_either_way(spark):
+    from ledgerloom.llm.components import connected
+
+    r = random.Random(5)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
+    low = {x: x for p in pairs for x in p}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for few in (0, 1000):
+        assert {x.node: x.label for x in connected(edges, few).collect()} == low
+    assert connected(edges.limit(0)).count() == 0
