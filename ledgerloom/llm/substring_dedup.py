@@ -279,7 +279,10 @@ def _level(docs: DataFrame, found: DataFrame, window: int, group_words: int, tre
     windows) to remove, and stretches of first documents whose run's group is too large."""
     # Runs of one document alone are of no use.
     shared = found.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("run")
+    # Written first, as a hot run's side of a join can be split only where the other side is not still being added up.
+    shared = written(shared, "runs")
     found = written(found.join(shared, "run"), "shared")
+    discard(shared)
     first = found.groupBy("run", "h").agg(F.min(F.struct("doc_id", "th", "first")).alias("rep"), F.max("doc_id").alias("high"), F.first("windows").alias("windows"))
     first = written(first, "first")
     copies = found.join(first.filter("rep.doc_id < high").select("run", "h", F.col("rep.doc_id").alias("low")), ["run", "h"]).filter("low < doc_id")
