@@ -303,14 +303,16 @@ class Links:
 def _listed(classes: DataFrame) -> DataFrame:
     """classes(node, sketch) -> value, node: the inverted lists."""
     values = classes.select("node", "sketch").mapInArrow(_values, "node long, size int, value long")
-    often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
+    # Written first, as a hot value's side of a join can be split only where the other side is not still being added up.
+    often = written(values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1"), "often")
     shared = values.join(often, "value").groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("held"))
     # The rarest half of the sketch and one more; values that only one class holds are the rarest of all.
     room = F.greatest(F.lit(0), F.floor(F.col("size") / 2).cast("int") + 1 - (F.col("size") - F.size("held")))
     listed = written(shared.select("node", F.explode(F.slice("held", F.lit(1), room)).alias("x")).select("node", F.col("x.value").alias("value")), "listed")
     members = listed.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).filter("c > 1")
-    lists = written(listed.join(members.groupBy("c", "h").agg(F.min("value").alias("value")).select("value"), "value").select("value", "node"), "lists")
-    discard(listed)
+    one_each = written(members.groupBy("c", "h").agg(F.min("value").alias("value")).select("value"), "values")
+    lists = written(listed.join(one_each, "value").select("value", "node"), "lists")
+    discard(often, listed, one_each)
     return lists
 
 
@@ -348,7 +350,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: in
     sketch = classes.select("node", "n", "sketch")
     # Stars.
     sized = lists.join(sketch.select("node", "n"), "node")
-    centre = sized.groupBy("value").agg(F.min(F.struct("node", "n")).alias("c"))
+    centre = written(sized.groupBy("value").agg(F.min(F.struct("node", "n")).alias("c")), "centres")
     star = sized.join(centre, "value").filter("node <> c.node").filter(f"100 * least(n, c.n) >= {similarity} * greatest(n, c.n)").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(sketch.toDF("b", "m", "two"), "b").join(sketch.toDF("a", "n", "one"), "a").select("a", "b", "n", "m", "one", "two")
     tested = [written(star.mapInArrow(_judged(k, similarity), PAIRS), "stars")]
@@ -356,7 +358,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: in
     best = written(best.select("best.a", "b", "best.estimate", "best.sure"), "best")
     links.test(best)
     links.test(tested[0].join(best, ["a", "b"], "left_anti"))
-    discard(best)
+    discard(best, centre)
     # Lists still apart: first which members could have a link at all, then whole sets of these or wide sketches.
     def asked(lists: DataFrame, held: DataFrame, sketch: DataFrame) -> DataFrame:
         rows = _blocks(lists.join(links.comps, "node"), block).join(sketch, "node").join(held, "node")
