@@ -11,11 +11,13 @@ one, so repeated or null doc_ids and further columns don't matter.
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 import json
 import re
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from .common import hold_caches, small_slices
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT, CACHED, CACHED_WORDS = 96, 200_000, 100_000
 _NONE = 1 << 60
+#: Whether the machine's own unsigned integers are little-endian 32-bit numbers.
+_NATIVE = sys.byteorder == "little" and array.array("I").itemsize == 4
 #: Where a single space or line break stands between other characters, or a comma or full stop after a letter or digit,
 #: no word reaches over the place before it. Texts with anything else of that kind are cut by the pattern alone.
 _OTHERWISE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[^\\w\\s][.,]|_[.,]")
@@ -147,7 +151,7 @@ class Codec:
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array.array("I", ids).tobytes() if _NATIVE else struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, text: str) -> bytes:
         """Ids of a stretch as stretches() gives them, as little-endian 32-bit numbers. Only words of letters are
@@ -160,6 +164,9 @@ class Codec:
                     self.older, self.known = self.known, {}
                 self.known[text] = found
             return found
+        if text[0] == "\n" and text[1:].isalpha():  # a line break and a word by itself
+            get = self.words.get
+            return b"".join([x if (x := get(w)) is not None else self._word(w) for w in ("\n", text[1:])])
         found = self._words(text if text[0] in "\n,." else " " + text)
         if len(text) <= 4:
             self.known[text] = found
