@@ -15,7 +15,7 @@ from ..functions import paths
 # Extensions of code, folders and files left out (folders with a leading dot are left out by rule), largest file.
 EXTENSIONS = [".ts", ".mts", ".cts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".java", ".go", ".rs", ".cs"]
 IGNORED_FOLDERS = ["node_modules", "dist", "build", "out", "coverage", "vendor", "__pycache__", "venv"]
-IGNORED_FILES = r"\.(min\.js|d\.ts|(test|spec|stories)\.[jt]sx?)$|(^|/)(conftest|setup)\.py$"
+IGNORED_FILES = r"\.(min\.js|d\.ts|test\.[jt]sx?|spec\.[jt]sx?|stories\.[jt]sx?)$|(^|\/)(conftest|setup)\.py$"
 LARGEST = 16_000_000
 
 _SCRIPT = r"\b(?:function\*?|class|interface|const|let|var)\s+([A-Za-z_$][\w$]*)"
