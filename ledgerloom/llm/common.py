@@ -163,18 +163,6 @@ def fingerprint(values: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.frombuffer(digest, np.int64))
 
 
-def by_batch(f: Callable[[dict], dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that maps columns (lists) to columns (lists)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = f(batch.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in schema], schema=schema)
-
-    return run
-
-
 def small_slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many rows and bytes of a column (or one row), so that long texts don't
     pile up as Python objects."""

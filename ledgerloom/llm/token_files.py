@@ -4,8 +4,8 @@ A file is an Arrow IPC stream whose batches hold fixed-size lists: `ids` (unsign
 what fills the last sequence up). Lists of one size lie in one flat buffer, so sequence i, or any run of ids, is a view
 without copying. The schema's metadata hold the documents of the file: their ids and where they start.
 
-Documents are cut into files by ranges of doc_id that hold about PIECE_ROWS rows; the ranges come from quantiles of
-doc_id alone; a range that grows beyond `file_tokens` ids (long texts, repeated ids) becomes several files. Files are rows of a Parquet table in the shared
+Documents are cut into files by ranges of doc_id that hold about PIECE_ROWS rows, or more where RANGES ranges (quantiles
+that the driver holds) are not enough for that; the ranges come from quantiles of doc_id alone; a range that grows beyond `file_tokens` ids (long texts, repeated ids) becomes several files. Files are rows of a Parquet table in the shared
 folder (name, bytes), as only Spark reaches every store.
 
 Null and empty texts have the end id only. Rows with one doc_id follow each other ordered by their ids; null doc_ids come
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .bpe import Codec, byte_letters
 from .common import hold_caches, small_slices, written
 
-SEQUENCE, FILE_TOKENS, PIECE_ROWS = 2048, 1_000_000, 2_000
+SEQUENCE, FILE_TOKENS, PIECE_ROWS, RANGES = 2048, 1_000_000, 2_000, 20_000
 
 
 class LibraryCodec(Codec):
@@ -150,7 +150,7 @@ def _write(length: int, file_tokens: int):
 def write_token_files(docs: DataFrame, path: str, end: int = 0, length: int = SEQUENCE, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """docs(doc_id, text) -> the table of files (part, piece, tokens, data), ordered by (part, piece)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, min(-(-docs.count() // PIECE_ROWS), 20_000))
+    parts = max(1, min(-(-docs.count() // PIECE_ROWS), RANGES))
     # Cuts lie at quantiles of doc_id; a null counts as lower than all.
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
