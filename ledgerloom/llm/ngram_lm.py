@@ -8,10 +8,11 @@ p1(w) after a word that training texts don't have. Both sum to 1 over all words
 Documents are packed into chunks of bounded size; chunks and shards talk in three steps, so neither the driver nor any
 task holds the model, all counts cover all documents, and traffic follows the input.
 1. A chunk sends its distinct words with its training counts to shards (by hash); these return the totals over all chunks.
-2. It sends its distinct pairs, context by context, to the shards of their contexts. A context with many
-   occurrences is split over several shards by its successors. A shard adds up the pairs of all chunks and builds its part of the
-   model from those that occur in training texts: a trie of Elias-Fano coded context keys and pointers, successors in ascending order within their
-   context, and log probabilities quantised to 16 bits, in one memory-mapped block.
+2. It sends its distinct pairs, context by context, to the shards of their contexts. Contexts with many occurrences are split over
+   several shards by their successors: those with more than `hot` and more than one in MOST_HOT of all tokens, so MOST_HOT words at most,
+   whose totals go to all tasks. A shard adds up the pairs of all chunks and builds its part of the model from those that
+   occur in training texts: a trie of Elias-Fano coded context keys and pointers, successors in ascending order within
+   their context, and log probabilities quantised to 16 bits, in one memory-mapped block.
 3. Each chunk's pairs, also those that no training text has, are looked up in the trie: the context by search over the
    coded keys, the successor by search relative to its context's range. Nothing is decoded beyond the places visited.
    The chunk gets the quantised values back and mixes them with its words' probabilities.
@@ -39,7 +40,7 @@ CHUNK_BYTES = 2_000_000
 #: Weight of pairs in the mixture.
 SHARE = 0.3
 #: Occurrences of a context in one shard, above which its successors are dealt out to several.
-HOT = 500_000
+HOT, MOST_HOT = 500_000, 100_000
 #: Quantisation of log10 probabilities: 65,535 equal steps down to LOWEST; UNSEEN is none of them.
 LOWEST, UNSEEN = -24.0, 65535
 SHARD_CHUNKS = 8
@@ -196,6 +197,22 @@ def unpack_successors(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+class Hot:
+    """Words whose successors are split, ascending by hash, with their totals and the occurrences of one part."""
+
+    def __init__(self, hashes: np.ndarray, totals: np.ndarray, size: int):
+        self.hashes, self.totals, self.size = hashes, totals, size
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals, 0 for other words, and parts, 1 for these."""
+        totals = np.zeros(len(hashes), np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashes
+            totals[hit] = self.totals[at[hit]]
+        return totals, (totals // self.size + 1).astype(np.uint64)
+
+
 class Chunk:
     """Tokens of a chunk as local numbers; the end token is number 0."""
 
@@ -232,19 +249,20 @@ class Chunk:
             out[places] = _unsqueeze(got[s], np.int64)
         return out
 
-    def pairs(self, totals: np.ndarray, shards: int, hot: int) -> None:
-        """Distinct pairs in the order in which shards are asked for them."""
+    def pairs(self, shards: int, hot: Hot) -> None:
+        """Distinct pairs in the order in which shards are asked for them, with the totals of their contexts if these are hot (else 0)."""
         pairs, pair_of = np.unique(self.before * self.words + self.tokens, return_inverse=True)
         first, second = pairs // self.words, pairs % self.words
-        parts = (totals[first] // hot + 1).astype(np.uint64)
+        totals, parts = hot(self.hashes)
         with np.errstate(over="ignore"):
-            key = mixed(self.hashes[first] * MULTIPLIER + self.hashes[second] % parts)
+            key = mixed(self.hashes[first] * MULTIPLIER + self.hashes[second] % parts[first])
         successor = self.hashes[second] >> np.uint64(16)
         shard = (key % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((successor, key, shard))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.first, self.second, self.key, self.successor = first[order], second[order], key[order], successor[order]
+        self.context_totals = totals[self.first]
         self.pair_of = place[pair_of]
         self.edges = np.searchsorted(shard[order], np.arange(shards + 1))
 
@@ -276,7 +294,7 @@ def _ask_words(shards: int, folds: int):
 
 
 def _answer_words(key: tuple, table: pa.Table) -> pa.Table:
-    """All questions to a shard -> totals for each chunk, and sums over the shard's own words in its first row."""
+    """All questions to a shard -> totals for each chunk; in its first row sums over the shard's own words, and its frequent ones."""
     keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
@@ -285,50 +303,73 @@ def _answer_words(key: tuple, table: pa.Table) -> pa.Table:
     totals = np.add.reduceat(counts[order], np.flatnonzero(new))
     answer = np.empty(len(flat), np.int64)
     answer[order] = totals[np.cumsum(new) - 1]
-    rest = [0] * (len(keys) - 1)
+    rest = len(keys) - 1
     sums = {"n": totals.sum(), "v": (totals > 0).sum(), "once": (totals == 1).sum(), "twice": (totals == 2).sum()}
     back = [squeeze(x) for x in np.split(answer, np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table({"shard": pa.array([int(key[0].as_py())] * len(keys), pa.int32()), "chunk": table.column("chunk"), "totals": pa.array(back, pa.binary())} | {k: pa.array([int(v), *rest], pa.int64()) for k, v in sums.items()})
+    # Only a word with one in MOST_HOT of the tokens of all shards can be hot, so of those of one shard.
+    often = totals * MOST_HOT >= totals.sum()
+    names = {"often": flat[order][new][often].astype(np.int64), "often_totals": totals[often]}
+    lists = {k: pa.array([v, *[[]] * rest], pa.list_(pa.int64())) for k, v in names.items()}
+    return pa.table({"shard": pa.array([int(key[0].as_py())] * len(keys), pa.int32()), "chunk": table.column("chunk"), "totals": pa.array(back, pa.binary())} | {k: pa.array([int(v), *[0] * rest], pa.int64()) for k, v in sums.items()} | lists)
 
 
-def _ask_pairs(shards: int, folds: int, hot: int):
+def _ask_pairs(shards: int, folds: int, hot: Hot):
     schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("keys", "sizes", "totals", "successors", "counts"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row, folds)
-            totals = chunk.totals(row["words"], shards)
-            chunk.pairs(totals, shards, hot)
+            chunk.pairs(shards, hot)
             counts = np.bincount(chunk.pair_of[chunk.train], minlength=len(chunk.first))
             out = []
             for s, at, begins in chunk.by_context():
                 sizes = np.diff(np.r_[begins, at.stop - at.start]).astype(np.uint32)
-                out.append((s, row["chunk"], pack_keys(chunk.key[at][begins], shards), squeeze(sizes), squeeze(totals[chunk.first[at][begins]]), pack_successors(chunk.successor[at]), squeeze(counts[at])))
+                out.append((s, row["chunk"], pack_keys(chunk.key[at][begins], shards), squeeze(sizes), squeeze(chunk.context_totals[at][begins]), pack_successors(chunk.successor[at]), squeeze(counts[at])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def build(keys: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, share: float) -> Trie:
-    """The trie of pairs (context key, successor), which may repeat, with their counts and their contexts' totals."""
-    seen = counts > 0
-    keys, successors, counts, totals = keys[seen], successors[seen], counts[seen], totals[seen]
-    order = np.lexsort((successors, keys))
-    keys, successors = keys[order], successors[order]
-    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (successors[1:] != successors[:-1])][: len(keys)])
-    sums = np.add.reduceat(counts[order], new) if len(new) else np.empty(0, np.int64)
-    keys, successors, totals = keys[new], successors[new], totals[order][new]
-    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    return Trie(keys[begins], np.r_[begins, len(keys)], successors, np.log10(share * sums / np.maximum(totals, 1)))
+class Shard:
+    """All pairs that a shard is asked for, and its part of the model."""
+
+    def __init__(self, keys: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, share: float):
+        """Pairs of context keys and successors, which may repeat, with training counts, and the totals of split contexts (else 0: a whole
+        context's total is the sum of its pairs)."""
+        order = np.lexsort((successors, keys))
+        keys, successors = keys[order], successors[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (successors[1:] != successors[:-1])][: len(keys)]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, np.int64)
+        keys, self.successors, told = keys[first], successors[first], totals[order][first]
+        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        self.keys, self.sizes = keys[begins], np.diff(np.r_[begins, len(keys)])
+        whole = np.repeat(np.add.reduceat(sums, begins), self.sizes) if len(begins) else sums
+        seen = sums > 0
+        logs = np.log10(share * sums[seen] / np.where(told[seen] > 0, told[seen], whole[seen]))
+        held = keys[seen]
+        starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
+        self.trie = Trie(held[starts], np.r_[starts, len(held)], self.successors[seen], logs)
+
+    def answers(self) -> np.ndarray:
+        """What the trie holds for each pair, as they came; each distinct one is searched once."""
+        return self.trie.find(self.keys, self.sizes, self.successors)[self.place]
 
 
 def _answer_pairs(share: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """All questions to a shard -> its trie, and what each chunk finds in it."""
-        asked = [(unpack_keys(r["keys"]), _unsqueeze(r["sizes"], np.uint32), _unsqueeze(r["totals"], np.int64), unpack_successors(r["successors"]), _unsqueeze(r["counts"], np.int64)) for r in table.to_pylist()]
-        flat = [np.repeat(k, n) for k, n, *_ in asked], [x[3] for x in asked], [x[4] for x in asked], [np.repeat(x[2], x[1]) for x in asked]
-        trie = build(*map(np.concatenate, flat), share)
-        back = [squeeze(trie.find(k, n, w)) for k, n, _, w, _ in asked]
+        """All questions to a shard -> what each chunk finds in its trie."""
+        column = lambda name, f: [f(x) for x in table.column(name).to_pylist()]
+        sizes, successors = column("sizes", lambda x: _unsqueeze(x, np.uint32)), column("successors", unpack_successors)
+        ends = np.cumsum([len(x) for x in successors])[:-1]
+        each = np.concatenate(sizes)
+        keys = np.repeat(np.concatenate(column("keys", unpack_keys)), each)
+        totals = np.repeat(np.concatenate(column("totals", lambda x: _unsqueeze(x, np.int64))), each)
+        counts = np.concatenate(column("counts", lambda x: _unsqueeze(x, np.int64)))
+        found = Shard(keys, np.concatenate(successors), counts, totals, share).answers()
+        back = [squeeze(x) for x in np.split(found, ends)]
         return pa.table({"shard": pa.array([int(key[0].as_py())] * len(back), pa.int32()), "chunk": table.column("chunk"), "values": pa.array(back, pa.binary())})
 
     return run
@@ -351,12 +392,12 @@ class Words:
         return np.where(totals > 0, totals - self.discount, self.discount * self.v) / self.n
 
 
-def _score(shards: int, folds: int, share: float, hot: int, model: Words):
+def _score(shards: int, folds: int, share: float, hot: Hot, model: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row, folds)
             totals = chunk.totals(row["words"], shards)
-            chunk.pairs(totals, shards, hot)
+            chunk.pairs(shards, hot)
             got = {x["shard"]: x["values"] for x in row["pairs"]}
             values = np.concatenate([_unsqueeze(got[s], np.uint16) for s, _, _ in chunk.by_context()])
             single, base = model(totals), model.base(totals)
@@ -371,6 +412,14 @@ def _score(shards: int, folds: int, share: float, hot: int, model: Words):
     return run
 
 
+def _hot(words: DataFrame, shards: int, size: int) -> Hot:
+    """Words with more than `size` occurrences; fewer than MOST_HOT, as size is at least one in MOST_HOT of all tokens."""
+    rows = words.select("shard", F.explode(F.arrays_zip("often", "often_totals")).alias("x")).filter(F.col("x.often_totals") > size).select("shard", "x.*").collect()
+    # A shard knows its words by hash // shards.
+    found = sorted((r.often % 2**64 * shards + r.shard, r.often_totals) for r in rows)
+    return Hot(np.array([h for h, _ in found], np.uint64), np.array([t for _, t in found], np.int64), size)
+
+
 def lm_scores(docs: DataFrame, folds: int = 10, share: float = SHARE, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -379,13 +428,13 @@ def lm_scores(docs: DataFrame, folds: int = 10, share: float = SHARE, hot: int =
         raise ValueError("at least two folds, a share between 0 and 1 and a positive number of hot occurrences are needed")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = docs.mapInArrow(_pack, "doc_ids array<long>, texts array<string>").withColumn("chunk", F.monotonically_increasing_id())
-    packed = written(packed, "chunks")
+    packed = written(packed, "chunks", "zstd")
     shards = max(1, -(-packed.count() // SHARD_CHUNKS))
     asked = packed.mapInArrow(_ask_words(shards, folds), "shard int, chunk long, keys binary, counts binary")
-    words = written(asked.groupBy("shard").applyInArrow(_answer_words, "shard int, chunk long, totals binary, n long, v long, once long, twice long"), "words")
+    words = written(asked.groupBy("shard").applyInArrow(_answer_words, "shard int, chunk long, totals binary, n long, v long, once long, twice long, often array<long>, often_totals array<long>"), "words")
     model = Words(*(x or 0 for x in words.agg(*(F.sum(c) for c in ("n", "v", "once", "twice"))).first()))
-    known = packed.join(words.groupBy("chunk").agg(F.collect_list(F.struct("shard", "totals")).alias("words")), "chunk")
-    asked = known.mapInArrow(_ask_pairs(shards, folds, hot), "shard int, chunk long, keys binary, sizes binary, totals binary, successors binary, counts binary")
+    frequent = _hot(words, shards, max(hot, model.n // MOST_HOT))
+    asked = packed.mapInArrow(_ask_pairs(shards, folds, frequent), "shard int, chunk long, keys binary, sizes binary, totals binary, successors binary, counts binary")
     pairs = written(asked.groupBy("shard").applyInArrow(_answer_pairs(share), "shard int, chunk long, values binary"), "pairs")
-    back = pairs.groupBy("chunk").agg(F.collect_list(F.struct("shard", "values")).alias("pairs"))
-    return known.join(back, "chunk").mapInArrow(_score(shards, folds, share, hot, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    back = words.groupBy("chunk").agg(F.collect_list(F.struct("shard", "totals")).alias("words")).join(pairs.groupBy("chunk").agg(F.collect_list(F.struct("shard", "values")).alias("pairs")), "chunk")
+    return packed.join(back, "chunk").mapInArrow(_score(shards, folds, share, frequent, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

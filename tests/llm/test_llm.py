@@ -178,7 +178,9 @@ def test_trie_is_searched_for_pairs_that_it_does_not_hold():
     for k, w, c in zip(key.tolist(), successor.tolist(), counts.tolist(), strict=True):
         held[k, w] = held.get((k, w), 0) + c
     totals = {k: sum(c for (x, _), c in held.items() if x == k) for k, _ in held}
-    trie = ngram_lm.build(key, successor, counts, np.array([totals[k] for k in key.tolist()]), 0.3)
+    shard = ngram_lm.Shard(key, successor, counts, np.array([totals[k] if k % 2 else 0 for k in key.tolist()]), 0.3)
+    trie = shard.trie
+    assert (shard.answers() == [trie.find(np.array([k]), np.array([1]), np.array([w]))[0] for k, w in zip(key, successor, strict=True)]).all()
     asked = [(k, sorted({*r.integers(0, 32, 8).tolist()})) for k in (*sorted(totals), 17, 2**63)]
     got = trie.find(np.array([k for k, _ in asked], np.uint64), np.array([len(ws) for _, ws in asked]), np.array([w for _, ws in asked for w in ws], np.uint64))
     want = [math.log10(0.3 * c / totals[k]) if (c := held.get((k, w), 0)) else None for k, ws in asked for w in ws]
@@ -186,7 +188,7 @@ def test_trie_is_searched_for_pairs_that_it_does_not_hold():
     for x, y in zip(got.tolist(), want, strict=True):
         assert (x == ngram_lm.UNSEEN) == (y is None)
         assert y is None or float(ngram_lm.unquantise(np.array([x]))[0]) == pytest.approx(y, abs=24 / 65534)
-    empty = ngram_lm.build(*(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)), 0.3)
+    empty = ngram_lm.Shard(*(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)), 0.3).trie
     assert empty.find(np.array([5], np.uint64), np.array([2]), np.array([1, 2], np.uint64)).tolist() == [ngram_lm.UNSEEN] * 2
 
 
