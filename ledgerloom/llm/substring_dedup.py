@@ -34,9 +34,11 @@ from pyspark.sql import types as T
 from .common import MULTIPLIER, discard, fingerprint, free_name, gram_hashes, hash_words, mixed, small_slices, words_of, written
 
 #: Lengths of prefixes, in words, before a whole window.
-PREFIXES = (8, 16, 32)
+PREFIXES = (8, 32)
 #: Most words of distinct stretches in one group, and words at which a task builds the subtrees of the groups it has.
 GROUP_WORDS, TREE_WORDS = 200_000, 300_000
+#: Most stretches or ranges that go to all tasks (at most 32 bytes each), in place of a shuffle of all texts.
+FEW = 100_000
 STRETCH = "run long, h long, first int, windows int"
 _ITEMS = pa.list_(pa.struct([("run", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())]))
 
@@ -269,12 +271,14 @@ def _cut(window: int, name: str):
     return run
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the documents in wanted(doc_id, th, ...), each once even where rows repeat."""
-    return docs.join(wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+def _texts(docs: DataFrame, wanted: DataFrame, items: str, longer: bool) -> DataFrame:
+    """Texts of the documents in wanted(doc_id, th, items), a table, each once even where rows repeat. By the shortest prefixes most documents
+    are wanted; longer ones seldom concern many, and few wanted ones are sent to the texts."""
+    few = longer and (wanted.agg(F.sum(F.size(items))).first()[0] or 0) <= FEW
+    return docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
 
 
-def _level(docs: DataFrame, found: DataFrame, window: int, group_words: int, tree_words: int) -> tuple[list[DataFrame], DataFrame]:
+def _level(docs: DataFrame, found: DataFrame, window: int, group_words: int, tree_words: int, longer: bool) -> tuple[list[DataFrame], DataFrame]:
     """found(doc_id, th, run, h, first, windows): stretches of one prefix length -> tables of ranges (doc_id, th, first,
     windows) to remove, and stretches of first documents whose run's group is too large."""
     # Runs of one document alone are of no use.
@@ -290,15 +294,15 @@ def _level(docs: DataFrame, found: DataFrame, window: int, group_words: int, tre
     sizes = first.groupBy("run").agg(F.min("rep.doc_id").alias("low"), F.max("rep.doc_id").alias("high"), F.sum(F.col("windows") + window - 1).alias("words")).filter("low < high")
     sizes = written(sizes.select("run", (F.col("words") > group_words).alias("large")), "sizes")
     one_tree = first.join(sizes.filter("not large").select("run"), "run")
-    wanted = one_tree.groupBy("rep.doc_id", "rep.th").agg(F.collect_list(F.struct("run", "h", F.col("rep.first").alias("first"), "windows")).alias("items"))
-    sent = _texts(docs, wanted).mapInArrow(_send(window), "run long, h long, doc_id long, windows int, words binary")
+    wanted = written(one_tree.groupBy("rep.doc_id", "rep.th").agg(F.collect_list(F.struct("run", "h", F.col("rep.first").alias("first"), "windows")).alias("items")), "wanted")
+    sent = _texts(docs, wanted, "items", longer).mapInArrow(_send(window), "run long, h long, doc_id long, windows int, words binary")
     trees = written(sent.repartition("run").sortWithinPartitions("run").mapInArrow(_trees(window, tree_words), "run long, h long, doc_id long, offset int, covered int"), "trees")
     # A document may hold its stretch more than once.
     inner = trees.join(found, ["run", "h", "doc_id"]).select("doc_id", "th", (F.col("first") + F.col("offset")).alias("first"), F.col("covered").alias("windows"))
     inner = written(inner.distinct(), "inner")
     large = first.join(sizes.filter("large").select("run"), "run").select("run", "h", F.col("rep.doc_id").alias("doc_id"))
     large = written(large.join(found, ["run", "h", "doc_id"]).select("doc_id", "th", "first", "windows"), "large")
-    discard(found, first, sizes, trees)
+    discard(found, first, sizes, trees, wanted)
     return [whole, inner], large
 
 
@@ -314,19 +318,20 @@ def _repeats(docs: DataFrame, window: int, group_words: int, tree_words: int) ->
     copies = written(members.filter("rep.doc_id < doc_id").select("doc_id", "th", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("windows")).distinct(), "copies")
     # Rows of a first document whose text differs in white space alone share its words, but not its hash.
     same = written(members.filter("rep.doc_id = doc_id and rep.th <> th").select("doc_id", "th", F.col("rep.th").alias("rep")).distinct(), "same")
-    ranges = [copies]
+    ranges, longer = [copies], False
     for length in [*(x for x in PREFIXES[1:] if x < window), window]:
-        tables, large = _level(docs, found, window, group_words, tree_words)
+        tables, large = _level(docs, found, window, group_words, tree_words, longer)
         ranges += tables
         discard(found)
         if not large.limit(1).count():
             break
-        wanted = large.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
-        found = written(_texts(docs, wanted).mapInArrow(_longer(window, length), f"doc_id long, th long, {STRETCH}"), "stretches")
-        discard(large)
+        longer = True
+        wanted = written(large.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "windows")).alias("ranges")), "wanted")
+        found = written(_texts(docs, wanted, "ranges", longer).mapInArrow(_longer(window, length), f"doc_id long, th long, {STRETCH}"), "stretches")
+        discard(large, wanted)
     else:
         # Every group is one window now.
-        ranges += _level(docs, found, window, group_words, tree_words)[0]
+        ranges += _level(docs, found, window, group_words, tree_words, longer)[0]
     discard(large, firsts)
     gone = ranges[0]
     for table in ranges[1:]:
