@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import packing, session
 from ..workload import query
+from .retrieval import _COST, _PIECES
 
 _SKIP = "f.cnt < 4 AND f.total + o.n <= 600"
 _FOLD = "WITH RECURSIVE {o}, f(k, r, id, taken, cnt, total) AS (SELECT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, 0, CAST(0 AS BIGINT) FROM o WHERE r = 1 UNION ALL SELECT o.k, o.r, o.id, {c}, f.cnt + CASE WHEN {c} THEN 1 ELSE 0 END, f.total + CASE WHEN {c} THEN o.n ELSE 0 END FROM f JOIN o ON o.k = f.k AND o.r = f.r + 1) "
-_SIZE = r"CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: ceil(length(w) / 4))), 0) AS BIGINT) + CAST(ceil(length(regexp_replace(text, '[A-Za-z0-9\s]', '', 'g')) * 8 / 10) AS BIGINT)"
+_SIZE = f"CAST(ceil(list_reduce(list_prepend(CAST(0 AS DOUBLE), list_transform({_PIECES}, lambda w: {_COST})), lambda s, x: s + x)) AS BIGINT)"
 
 
 def _key() -> Column:
