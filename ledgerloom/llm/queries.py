@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, media_png, minhash_dedup, ngram_lm, quality_crf, substring_dedup, token_files
+from . import bpe, chat_format, decontaminate, language_id, media_png, minhash_dedup, ngram_lm, periodic_runs, quality_crf, substring_dedup, token_counts, token_files
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -68,8 +68,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(spark))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.with_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_substring_dedup, op3_lm_scoring, op4_chat_format, op5_quality_crf, op6_language_id, op7_bpe, op8_media_png, op9_token_files, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_substring_dedup, op3_lm_scoring, op4_chat_format, op5_quality_crf, op6_language_id, op7_bpe, op8_media_png, op9_token_files, op10_decontaminate, op11_token_counts, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
