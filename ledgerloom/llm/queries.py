@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, media_png, minhash_dedup, ngram_lm, periodic_runs, quality_crf, substring_dedup, token_counts, token_files
+from . import bpe, chat_format, decontaminate, language_id, media_png, minhash_dedup, ngram_lm, periodic_runs, prefix_trie, quality_crf, substring_dedup, token_counts, token_files
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -76,9 +76,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.with_repeats(table(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_substring_dedup, op3_lm_scoring, op4_chat_format, op5_quality_crf, op6_language_id, op7_bpe, op8_media_png, op9_token_files, op10_decontaminate, op11_token_counts, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_substring_dedup, op3_lm_scoring, op4_chat_format, op5_quality_crf, op6_language_id, op7_bpe, op8_media_png, op9_token_files, op10_decontaminate, op11_token_counts, op12_periodic_runs, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash_dedup.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_chat_format": chat_format.ORACLE}
+    return {"op1_minhash_dedup": minhash_dedup.ORACLE, "op2_substring_dedup": substring_dedup.ORACLE, "op4_chat_format": chat_format.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}

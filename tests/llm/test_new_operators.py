@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from ledgerloom.llm import periodic_runs, queries, token_counts
+from ledgerloom.llm import periodic_runs, prefix_trie, queries, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 PATH = str(P.path("byte_bpe_50k.json"))
@@ -168,3 +168,80 @@ def test_op12_on_a_whole_table(spark):
     short = [r for r in rows if len(r.text or "") < 20_000]
     found = sorted(map(tuple, got.collect()), key=repr)
     assert len(found) == len(rows) and {plain_row(r.doc_id, r.text) for r in short} <= set(found)
+
+
+def plain_trie(rows):
+    """The contract's rows, from a dictionary of all beginnings."""
+    own = {}
+    for conv, turn, role, text in sorted((r[:4] for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own.setdefault(conv, []).append((role or "", text or ""))
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (abs(c) % 100) * (1 if c >= 0 else -1)
+        built[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    members = {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    kids = {}
+    for x in members:
+        if x:
+            kids[x[:-1]] = kids.get(x[:-1], 0) + 1
+    out = []
+    for node, of in members.items():
+        under = [x for x in members if x[: len(node)] == node]
+        leaves = [x for x in under if x not in kids]
+        ends = ",".join(str(c) for c in sorted(c for c in of if built[c] == node))
+        saved = sum((len(members[x]) - 1) * len(x[-1][1]) for x in under if x)
+        out.append((min(of), len(node), min(members[node[:-1]]) if node else None, len(of), kids.get(node, 0), len(leaves), saved, sha(ends)))
+    return sorted(out, key=repr)
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame([(*r, "x", 7, b"y") for r in rows], "conv_id long, turn int, role string, text string, path string, n int, above binary").repartition(3)
+
+
+def chat(seed, ids):
+    r = random.Random(seed)
+    rows = []
+    for c in ids:
+        rows += [(c, k, r.choice(("user", "bot", None)), r.choice(("a", "é日", "", None))) for k in range(r.randint(1, 9))]
+    return rows
+
+
+@pytest.mark.parametrize("limit", [1, 6, 40, 20_000])
+def test_trie_equals_plain_dictionaries(spark, limit):
+    same = [(c, k, "user", "hello" * k) for c in range(300, 340) for k in range(7)]  # one group of copies
+    preamble = [(c, k, "system", f"s{k}") for c in range(1001, 1009) for k in range(8)] + [(c, 8, "user", str(c % 3)) for c in range(1001, 1009)]
+    rows = chat(1, [*range(0, 40), *range(100, 130), -7, -100, -205, 250, 555]) + same + preamble
+    rows += [(2, None, "late", "first"), (None, 1, "user", "nobody"), (9, 0, None, None), (5001, 0, "user", "x")]
+    rows = [r for i, r in enumerate(rows) if r[:2] not in {x[:2] for x in rows[:i]}]
+    got = prefix_trie.trie(prefix_trie.with_shared_heads(conversations(spark, rows)), limit)
+    assert got.columns == prefix_trie.COLUMNS and sorted(map(tuple, got.collect()), key=repr) == plain_trie(rows)
+
+
+def test_trie_of_odd_tables(spark):
+    def built(rows):
+        return sorted(map(tuple, prefix_trie.trie(prefix_trie.with_shared_heads(conversations(spark, rows))).collect()), key=repr)
+
+    assert built([]) == [] and built([(None, 0, "user", "x")]) == []
+    alone = [(c, 0, "user", "x") for c in (101, 203, 307) if zlib.crc32(str(c).encode()) % 6]  # no base: nothing is left of them
+    assert alone and built(alone) == plain_trie(alone) and len(plain_trie(alone)) == 1
+    long = [(100, k, "user", "t" * 50_000 if k == 3 else str(k)) for k in range(600)]
+    assert built(long) == plain_trie(long)
+    twice = [(100, 0, "user", "x")] * 3
+    assert [r[1:4] for r in built(twice)] == [(0, None, 1), (1, 100, 1), (2, 100, 1), (3, 100, 1)]
+
+
+def test_ids_of_copies_are_hashed_in_order(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "IDS", 4)
+    rows = [(100 * c, 0, "user", "same") for c in range(-30, 90)]
+    got = prefix_trie.trie(prefix_trie.paths(conversations(spark, rows))).filter("depth = 1").first()
+    assert got.n_convs == 120 and got.conv_id == -3000 and got.saved_tokens == 119 * 4
+    assert got.ends_sha256 == sha(",".join(str(100 * c) for c in range(-30, 90)))
+
+
+def test_op13_on_a_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert sorted(map(tuple, queries.op13_prefix_trie(spark, SMALL).collect()), key=repr) == plain_trie(rows)
