@@ -1,11 +1,12 @@
 """Facts of source code: imports, exports, definitions, calls with the definition they stand in, routes; and the graph made of them.
 
-Python is read by its own parser. Other languages are read by patterns over the text with comments and strings blanked out,
-and by brackets, which tell where a definition's body ends. A Python file that doesn't parse is read by patterns too."""
+Python is read by its own parser, and line by line if that refuses a file; languages with brackets by `scanner`. What read a file is
+one of its facts; `engines` counts them."""
 
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -15,104 +16,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import tree
+from ..functions import paths
+from . import scanner, tree
 
 FACTS = "rel string, kind string, name string, line int, owner int, spec string, orig string"
 # Most routes of a file, most exports of a module, and the name of what stands outside of definitions.
 ROUTES, EXPORTS, TOP = 200, 30, "(module)"
-# Words before a bracket that are no calls.
-NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "typeof", "await", "async", "import", "export", "require", "console", "constructor", "super", "this", "throw", "delete", "void", "in", "of", "do", "else", "try"}
-# How routes are written.
-_VERBS = "get|post|put|patch|delete|head|options|all"
-_EXPRESS = re.compile(rf"\b(?:app|router|server|api|fastify)\s*\.\s*({_VERBS})\s*\(\s*[\"'`]([^\"'`]+)[\"'`]")
-_NEST = re.compile(r"@(Get|Post|Put|Patch|Delete|Head|Options)\s*\(\s*(?:[\"'`]([^\"'`]*)[\"'`])?\s*\)")
-_SPRING = re.compile(r"@(Get|Post|Put|Patch|Delete|Request)Mapping\s*\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"")
-_ATTRIBUTE = re.compile(r"\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*\"([^\"]*)\"")
+# Words before a bracket that the second tier takes for no calls, and how many calls it reads, plain and all.
+NOT_PYTHON_CALLS = {"if", "for", "while", "return", "print", "len", "range", "str", "int", "dict", "list", "set", "tuple", "type", "isinstance", "super", "open", "enumerate"}
+PLAIN_CALLS, CALLS = 800, 1000
 _PYTHON_VERBS = {"get", "post", "put", "patch", "delete"}
 
-_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-_BODY = r"\s*(?:<[^>]*>)?\s*\([^;{}]*\)[^;{}=]*\{"
-_SCRIPT = {
-    "import": re.compile(r"\bimport\s+(?:type\s+)?(?:(\w+)\s*,?\s*)?(?:\*\s+as\s+(\w+)\s*)?(?:\{([^}]*)\})?\s*from\s*[\"']([^\"']+)[\"']|\b(?:require|import)\s*\(\s*[\"']([^\"']+)[\"']\s*\)|\bimport\s+[\"']([^\"']+)[\"']|\bexport\s+(?:\*|\{[^}]*\})\s*from\s*[\"']([^\"']+)[\"']"),
-    "export": re.compile(r"\bexport\s+(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+(\w+)"),
-    "def": [re.compile(r"\bfunction\*?\s+(\w+)"), re.compile(r"\bconst\s+(\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::\s*[^=]+)?=>"), re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly)\s+)*(\w+)" + _BODY, re.M)],
-}
-_C_LIKE = [re.compile(r"[\w>\]]\s+(\w+)" + _BODY)]
-_OTHERS = {
-    ".java": {"import": re.compile(r"^\s*import\s+(?:static\s+)?([\w.*]+)", re.M), "export": re.compile(r"\bpublic\s+(?:[\w<>\[\], ]+\s+)?(\w+)\s*\("), "def": _C_LIKE},
-    ".cs": {"import": re.compile(r"^\s*using\s+([\w.]+)\s*;", re.M), "export": re.compile(r"\bpublic\s+(?:[\w<>\[\], ]+\s+)?(\w+)\s*\("), "def": _C_LIKE},
-    ".go": {"import": re.compile(r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$', re.M), "export": re.compile(r"^(?:func\s+(?:\([^)]*\)\s*)?|type\s+)([A-Z]\w*)", re.M), "def": [re.compile(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", re.M)]},
-    ".rs": {"import": re.compile(r"^\s*(?:pub\s+)?use\s+([\w:]+)", re.M), "export": re.compile(r"\bpub(?:\([^)]*\))?\s+(?:async\s+)?(?:fn|struct|enum|trait)\s+(\w+)"), "def": [re.compile(r"\bfn\s+(\w+)")]},
-}
-_CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*)(\.\w+)?\s*\(")
+_QUOTED = re.compile(r"\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|#[^\n]*", re.S)
+_PYTHON = re.compile(r"^(?P<indent>[ \t]*)(?:(?:async[ \t]+)?def[ \t]+(?P<def>\w+)|class[ \t]+(?P<class>\w+)|from[ \t]+(?P<dots>\.*)(?P<module>[\w.]*)[ \t]+import\b(?P<names>[^\n(]*(?:\([^)]*\)?)?)|import[ \t]+(?P<import>[^\n]+))", re.M)
+_CALL = re.compile(r"(?<![\w.])(?P<plain>[A-Za-z_]\w{2,})\s*\(|(?<![\w.])(?P<through>[A-Z]\w{2,})\.\w+\s*\(")
+_PYTHON_ROUTE = re.compile(r"@\s*[\w.]+\.(get|post|put|patch|delete|route)\s*\(\s*[\"']([^\"']+)[\"']")
 
 
 def _blanked(source: str) -> str:
-    """The source with comments and strings replaced by blanks of the same length."""
-    return _COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-
-
-class _Lines:
-    def __init__(self, source: str):
-        self.starts = [0, *(i + 1 for i, c in enumerate(source) if c == "\n")]
-
-    def __call__(self, place: int) -> int:
-        return bisect_right(self.starts, place)
-
-
-def _bodies(code: str, places: list[int]) -> list[int]:
-    """For each place the end of the first bracketed block after it, or of its statement if that ends before."""
-    ends, stack = {}, []
-    for m in re.finditer(r"[{}]", code):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            ends[stack.pop()] = m.start()
-    out = []
-    for place in places:
-        opening, closing = code.find("{", place), code.find(";", place)
-        out.append(ends.get(opening, len(code)) if opening >= 0 and not 0 <= closing < opening else closing if closing >= 0 else len(code))
-    return out
-
-
-def _by_patterns(rel: str, source: str, extension: str) -> Iterator[tuple]:
-    script = extension in (".ts", ".mts", ".cts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-    rules, code, line = _SCRIPT if script else _OTHERS.get(extension, _SCRIPT), _blanked(source), _Lines(source)
-    for m in rules["import"].finditer(source):
-        if code[m.start() : m.end()].strip() == "":
-            continue  # within a comment or a string
-        if not script:
-            yield rel, "import", None, line(m.start()), None, m[1], None
-            continue
-        default, whole, some, *specs = m.groups()
-        spec = next(s for s in specs if s)
-        yield rel, "import", None, line(m.start()), None, spec, None
-        for name in (default, whole):
-            if name:
-                yield rel, "named", name, line(m.start()), None, spec, name
-        for part in (some or "").split(","):
-            words = re.findall(r"\w+", re.sub(r"^\s*type\s+", "", part))
-            if words:
-                yield rel, "named", words[-1], line(m.start()), None, spec, words[0]
-    for m in rules["export"].finditer(code):
-        yield rel, "export", m[1], line(m.start()), None, None, None
-    found = sorted({(m.start(1), m[1]) for p in rules["def"] for m in p.finditer(code) if m[1] not in NOT_CALLS})
-    ends, seen = _bodies(code, [p for p, _ in found]), set()
-    for place, name in found:
-        if name not in seen:
-            seen.add(name)
-            yield rel, "def", name, line(place), None, None, None
-    names = {p for p, _ in found}
+    """Python with comments and strings replaced by blanks of the same length."""
+    return _QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+
+
+def _relative(dots: str, module: str) -> str:
+    """The specification of a Python module: a path if it begins with dots."""
+    return ("./" if len(dots) == 1 else "../" * (len(dots) - 1)) + module.replace(".", "/") if dots else module
+
+
+def _by_lines(rel: str, source: str) -> Iterator[tuple]:
+    """Python that its parser refuses, line by line: what a line begins with, and by its indentation whose line it is."""
+    code, starts = _blanked(source), [0, *(m.end() for m in re.finditer("\n", source))]
+    line = lambda place: bisect_right(starts, place)
+    blocks, seen, taken = [], set(), set()  # (line, indentation, definition's line)
+    for m in _PYTHON.finditer(code):
+        at, wide = line(m.start()), len(m["indent"].expandtabs())
+        if m["def"]:
+            blocks.append((at, wide))
+            taken.add(m.start("def"))
+            if m["def"] not in seen:
+                seen.add(m["def"])
+                yield rel, "def", m["def"], at, None, None, None
+        if m["def"] or m["class"]:
+            taken.add(m.start("class"))
+            yield rel, "export", m["def"] or m["class"], at, None, None, None
+        elif m["import"]:
+            for part in m["import"].split(","):
+                if name := re.match(r"\s*([\w.]+)", part):
+                    yield rel, "import", None, at, None, name[1], None
+        elif m["dots"] or m["module"]:
+            names = re.findall(r"(\w+)(?:\s+as\s+(\w+))?", m["names"])
+            for name, alias in names:
+                spec = _relative(m["dots"], m["module"] or name)
+                yield rel, "import", None, at, None, spec, None
+                yield rel, "named", alias or name, at, None, spec, name
+    lines, owner, open_, k = code.split("\n"), [0], [], 0
+    for n, text in enumerate(lines, 1):
+        if text.strip():
+            wide = len(text.expandtabs()) - len(text.expandtabs().lstrip())
+            while open_ and open_[-1][1] >= wide:
+                open_.pop()
+            if k < len(blocks) and blocks[k][0] == n:
+                open_.append(blocks[k])
+                k += 1
+        owner.append(open_[-1][0] if open_ else 0)
+    plain = every = 0
     for m in _CALL.finditer(code):
-        if m[1] in NOT_CALLS or m.start(1) in names:
+        name = m["plain"] or m["through"]
+        if name in NOT_PYTHON_CALLS or keyword.iskeyword(name) or m.start() in taken or every >= CALLS or (m["plain"] and plain >= PLAIN_CALLS):
             continue
-        around = [k for k, (p, _) in enumerate(found) if p <= m.start() <= ends[k]]
-        owner = line(found[around[-1]][0]) if around else 0
-        yield rel, "call", m[1] + ("." if m[2] else ""), line(m.start()), owner, None, None
-    for pattern, framework in ((_EXPRESS, "express-like"), (_NEST, "nest")) if script else ((_SPRING, "spring"),) if extension == ".java" else ((_ATTRIBUTE, "aspnet"),) if extension == ".cs" else ():
-        for m in list(pattern.finditer(source))[:ROUTES]:
-            if code[m.start()] != " ":
-                yield rel, "route", "*" if m[1] == "Request" else m[1].upper(), line(m.start()), None, m[2] or "", framework
+        plain, every = plain + bool(m["plain"]), every + 1
+        yield rel, "call", name + ("." if m["through"] else ""), line(m.start()), owner[line(m.start())], None, None
+    for m in _PYTHON_ROUTE.finditer(source):
+        if code[m.start()] == "@":
+            yield rel, "route", "*" if m[1] == "route" else m[1].upper(), line(m.start()), None, m[2], "python"
 
 
 def _by_parser(rel: str, parsed: ast.Module) -> Iterator[tuple]:
@@ -135,6 +111,9 @@ def _by_parser(rel: str, parsed: ast.Module) -> Iterator[tuple]:
                 for d in child.decorator_list:
                     if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in (*_PYTHON_VERBS, "route") and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
                         yield rel, "route", "*" if d.func.attr == "route" else d.func.attr.upper(), d.lineno, None, d.args[0].value, "python"
+                for d in child.decorator_list:  # they stand outside
+                    yield from walk(ast.Expression(d), owner)
+                child.decorator_list = []
                 inner = child.lineno
             elif isinstance(child, ast.ClassDef):
                 yield rel, "export", child.name, child.lineno, None, None, None
@@ -152,14 +131,17 @@ def _by_parser(rel: str, parsed: ast.Module) -> Iterator[tuple]:
 
 
 def facts_of(rel: str, source: str) -> list[tuple]:
-    """Facts of one file, as in FACTS."""
-    extension = re.search(r"\.[^./]*$", rel)
-    if extension and extension[0] == ".py":
+    """Facts of one file, as in FACTS, among them one of kind "engine": what read it."""
+    extension = (re.search(r"\.[^./]*$", rel) or [""])[0]
+    engine, found = "none", []
+    if extension == ".py":
         try:
-            return list(_by_parser(rel, ast.parse(source)))
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-    return list(_by_patterns(rel, source, extension[0] if extension else ""))
+            engine, found = "parser", list(_by_parser(rel, ast.parse(source)))
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            engine, found = "lines", list(_by_lines(rel, source))
+    elif extension in scanner.LANGUAGES:
+        engine, found = "scanner", [(rel, *f) for f in scanner.facts(source, extension)]
+    return [(rel, "engine", engine, 0, None, None, None), *found]
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +154,11 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["rel", "kind", "name", "line", "owner", "spec", "orig"])
 
 
+def engines(found: DataFrame) -> DataFrame:
+    """engine, files: how many files each engine has read."""
+    return found.filter("kind = 'engine'").groupBy(F.col("name").alias("engine")).agg(F.count("*").alias("files"))
+
+
 def facts(files: DataFrame) -> DataFrame:
     """files(rel, content) -> FACTS, one row for each fact."""
     return files.select("rel", "content").mapInArrow(_facts, FACTS)
@@ -225,6 +212,8 @@ def modules(files: DataFrame, found: DataFrame, imports: DataFrame, calls: DataF
 
 
 def routes(found: DataFrame) -> DataFrame:
-    """method, path, file, line, framework; at most ROUTES of a file."""
+    """method, path, file, line, framework; at most ROUTES that a file says, and the one that its place makes."""
     rows = found.filter("kind = 'route'").withColumn("k", F.row_number().over(W.partitionBy("rel").orderBy("line", "name", "spec"))).filter(F.col("k") <= ROUTES)
-    return rows.select(F.col("name").alias("method"), F.col("spec").alias("path"), F.col("rel").alias("file"), "line", F.col("orig").alias("framework"))
+    rows = rows.select(F.col("name").alias("method"), F.col("spec").alias("path"), F.col("rel").alias("file"), "line", F.col("orig").alias("framework"))
+    places = found.filter("kind = 'engine'").select(F.lit("*").alias("method"), paths.file_route(F.col("rel")).alias("path"), F.col("rel").alias("file"), F.lit(1).alias("line"), F.lit("next").alias("framework"))
+    return rows.unionByName(places.filter("path is not null"))
