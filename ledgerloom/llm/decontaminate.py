@@ -1,20 +1,21 @@
 """Documents that hold benchmark items, also in another order of passages, by greedy string tiling.
 
 Words are runs without white space, A-Z lower-cased, without punctuation at either end. Documents that share a seed (`least` words
-in a row) with an item are tiled against it: the longest common runs that are still free on both sides are marked first
-(running Karp-Rabin hashes over the free words), then shorter ones down to `least` words. An item is contained if the
-marked words are at least `coverage` of it.
+in a row) with an item are tiled against it: the longest common run that is still free on both sides is marked first
+(lengths come from Karp-Rabin hashes), then shorter ones down to `least` words. An item is contained if the
+marked words are at least `coverage` of it. Work grows with the number of common runs, also where texts repeat one word.
 
 The benchmark is a fixed query set. Its size is checked; it is sent to the tasks in blocks of at most BLOCK_CHARS
 characters, each run over all documents, so a large one takes more passes and never more memory.
 
-Null, empty and shorter documents than `least` words hold nothing. Items with fewer than `least` words (null and empty
+Null, empty and shorter documents than `least` words hold nothing; texts of any length are tiled whole. Nothing is found with an empty benchmark, and no row of an empty table. Items with fewer than `least` words (null and empty
 ones as well) are never found. Items with equal texts are reported each. Rows with a null doc_id are reported with it.
 Repeated doc_ids are reported row by row. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, discard, gram_hashes, hold_caches, small_slices, written
+from .periodic_runs import Prefixes, farthest
 
 LEAST, COVERAGE, BLOCK_CHARS = 5, 0.5, 16_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOW = np.uint64((1 << 20) - 1)
-_BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
 
 class _PlainHashes(dict):
@@ -50,72 +51,63 @@ def plain_hashes(text: str | None) -> np.ndarray:
     return hashes[hashes != 0]
 
 
-def _runs(free: list[bool]) -> Iterator[tuple[int, int]]:
-    """Stretches of free places."""
-    start = None
-    for i, x in enumerate([*free, False]):
-        if x and start is None:
-            start = i
-        elif not x and start is not None:
-            yield start, i
-            start = None
-
-
-def _rolling(words: list, free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-    """(hash, place) of every run of `size` free words, by a running Karp-Rabin hash."""
-    power = pow(_BASE, size - 1, _PRIME)
-    for a, b in _runs(free):
-        if b - a < size:
+def _products(item: np.ndarray, text: np.ndarray, least: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the item, in the text) where a common run of `least` words or more begins: seeds that are equal, with unequal words
+    before them. Seeds with the same word before them are met as a group, so repeats make no more pairs than there are such runs."""
+    own = gram_hashes(item, least)
+    places = np.flatnonzero(np.isin(grams, own))
+    before_item = np.concatenate([[np.uint64(2**64 - 1)], item])[: len(own)]
+    before_text = np.concatenate([[np.uint64(2**64 - 2)], text])[places]
+    order = np.lexsort((before_item, own))
+    cuts = np.flatnonzero((own[order][1:] != own[order][:-1]) | (before_item[order][1:] != before_item[order][:-1])) + 1
+    by_gram = places[np.argsort(grams[places], kind="stable")]
+    before_text = before_text[np.argsort(grams[places], kind="stable")]
+    sorted_grams = grams[by_gram]
+    first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for group in np.split(order, cuts):
+        low, high = np.searchsorted(sorted_grams, own[group[0]]), np.searchsorted(sorted_grams, own[group[0]], "right")
+        begin = by_gram[low:high][before_text[low:high] != before_item[group[0]]]
+        if len(begin):
+            first.append(np.repeat(group, len(begin)))
+            second.append(np.tile(begin, len(group)))
+    return np.concatenate(first), np.concatenate(second)
+
+
+def tiles(item: list | np.ndarray, text: list | np.ndarray, least: int = LEAST, grams: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Tiles (place in item, place in text, words) in the order of their marking: longest first, then by place in the item, then in the
+    text. item and text are word numbers; grams: the seeds of the text, if known. Each common run is found once with its whole length, by binary search over
+    Karp-Rabin hashes. One that is partly taken when its turn comes goes back with what is left of it, so the longest free run is always next."""
+    item, text = np.asarray(item, np.uint64), np.asarray(text, np.uint64)
+    grams = gram_hashes(text, least) if grams is None else grams
+    if len(item) < least or len(text) < least:
+        return []
+    i, j = _products(item, text, least, grams)
+    if not len(i):
+        return []
+    hashes = Prefixes(np.concatenate([item, text]))
+    n = farthest(lambda m: hashes.same(i, len(item) + j - i, m), np.minimum(len(item) - i, len(text) - j))
+    heap = list(zip((-n).tolist(), i.tolist(), j.tolist(), strict=True))
+    heapq.heapify(heap)
+    free_item, free_text, left, out = np.ones(len(item), bool), np.ones(len(text), bool), len(item), []
+    while heap and left >= least:
+        n, i, j = heapq.heappop(heap)
+        n = -n
+        good = free_item[i : i + n] & free_text[j : j + n] & (item[i : i + n] == text[j : j + n])
+        if good.all():
+            free_item[i : i + n] = free_text[j : j + n] = False
+            left -= n
+            out.append((i, j, n))
             continue
-        value = 0
-        for w in words[a : a + size]:
-            value = (value * _BASE + w) % _PRIME
-        yield value, a
-        for i in range(a + 1, b - size + 1):
-            value = ((value - words[i - 1] * power) * _BASE + words[i + size - 1]) % _PRIME
-            yield value, i
-
-
-def tiles(item: list, text: list, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in text, words), longest first; ties by place in the item, then in the text.
-    item and text are lists of word numbers."""
-    free_item, free_text, out = [True] * len(item), [True] * len(text), []
-    size = min(len(item), len(text))
-    while size >= least:
-        at: dict[int, list[int]] = {}
-        for h, i in _rolling(text, free_text, size):
-            at.setdefault(h, []).append(i)
-        found = []
-        for h, i in _rolling(item, free_item, size):
-            for j in at.get(h, ()):
-                n = 0
-                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and free_item[i + n] and free_text[j + n]:
-                    n += 1
-                if n >= size:
-                    found.append((-n, i, j))
-        for n, i, j in sorted(found):
-            n = -n
-            if all(free_item[i : i + n]) and all(free_text[j : j + n]):
-                free_item[i : i + n] = free_text[j : j + n] = [False] * n
-                out.append((i, j, n))
-        size = size - 1 if size <= 2 * least else max(least, min(size - 1, size * 3 // 4))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, i + a, j + a))
     return out
 
 
-def covered(item: np.ndarray, text: np.ndarray, least: int) -> int:
-    """Words of the item in tiles. Only stretches of the text around shared seeds take part: a tile is a common run of
-    at least `least` words, so it lies wholly within them."""
-    seeds = np.flatnonzero(np.isin(gram_hashes(text, least), gram_hashes(item, least)))
-    if not len(seeds):
-        return 0
-    near = np.zeros(len(text) + 1, np.int32)
-    np.add.at(near, seeds, 1)
-    np.add.at(near, seeds + least, -1)
-    inside = np.flatnonzero(np.cumsum(near[:-1]))
-    gaps = np.flatnonzero(np.diff(inside) > 1) + 1
-    # A separator that equals no word keeps stretches apart.
-    parts = np.insert(text[inside].astype(object), gaps, -1)
-    return sum(n for _, _, n in tiles([int(x) for x in item], [int(x) for x in parts], least))
+def covered(item: np.ndarray, text: np.ndarray, least: int, grams: np.ndarray) -> int:
+    """Words of the item in tiles."""
+    return sum(n for _, _, n in tiles(item, text, least, grams))
 
 
 class Items:
@@ -137,8 +129,8 @@ class Items:
     def held(self, text: str | None) -> list[tuple[int, float]]:
         """(item_id, coverage) of the items that a text holds."""
         words = plain_hashes(text)
-        own = gram_hashes(words, self.least)
-        own = np.unique(own[self.likely[own & _LOW]])
+        grams = gram_hashes(words, self.least)
+        own = np.unique(grams[self.likely[grams & _LOW]])
         if not len(own) or not len(self.seed):
             return []
         low, high = np.searchsorted(self.seed, own), np.searchsorted(self.seed, own, "right")
@@ -151,7 +143,7 @@ class Items:
             item, hashes = self.items[k]
             # s shared seeds can mark s * least words at most
             if int(shared[k]) * self.least >= self.coverage * len(hashes) or self.repeat[k]:
-                share = covered(hashes, words, self.least) / len(hashes)
+                share = covered(hashes, words, self.least, grams) / len(hashes)
                 if share >= self.coverage:
                     out.append((item, round(share, 6)))
         return out

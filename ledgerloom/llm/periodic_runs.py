@@ -66,7 +66,7 @@ class Prefixes:
         return out
 
 
-def _farthest(test, most: np.ndarray) -> np.ndarray:
+def farthest(test, most: np.ndarray) -> np.ndarray:
     """The largest number up to most for which test(number) holds, element by element; it holds for 1."""
     low, high = np.ones(len(most), np.int64), most.copy()
     while (open_ := low < high).any():
@@ -105,8 +105,8 @@ def _reach(ids: np.ndarray, shortest: int, times: int) -> np.ndarray:
             near[inside] |= hashes.same(first[inside], q[inside], half[inside])
         i, q = i[near], q[near]
         if len(i):
-            right = _farthest(lambda m, i=i, q=q: hashes.same(i, q, m), n - i - q)
-            left = _farthest(lambda m, i=i, q=q: hashes.same(i - m + 1, q, m), i + 1)
+            right = farthest(lambda m, i=i, q=q: hashes.same(i, q, m), n - i - q)
+            left = farthest(lambda m, i=i, q=q: hashes.same(i - m + 1, q, m), i + 1)
             found.append(np.stack([i - left + 1, i + q + right, q], 1))
     return np.concatenate(found) if found else NONE
 
