@@ -31,31 +31,42 @@ from .common import hold_caches, small_slices
 # Fixed values of the tokenizer format: the pattern that cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT, CACHED, CACHED_WORDS = 96, 200_000, 100_000
+#: Characters of a stretch that is no word and yet remembered.
+KEPT = 24
 _NONE = 1 << 60
 #: Whether the machine's own unsigned integers are little-endian 32-bit numbers.
 _NATIVE = sys.byteorder == "little" and array.array("I").itemsize == 4
-#: Where a single space or line break stands between other characters, or a comma or full stop after a letter or digit,
-#: no word reaches over the place before it. Texts with anything else of that kind are cut by the pattern alone.
-_OTHERWISE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[^\\w\\s][.,]|_[.,]")
-
-
-#: The same for ASCII in a few searches: letters and digits become a, other marks and odd white space x.
-_SHAPE = bytes(c if c in b" \n" else 46 if c in b".," else 97 if chr(c).isalnum() else 120 for c in range(128)).ljust(256, b"x")
-_BREAKS = (b"  ", b"\n\n", b" \n", b"\n ", b" .", b"\n.", b"x.", b"..")
+#: Texts as bytes, letters and digits made a, blanks and line breaks a blank, commas and full stops a full stop, bytes over 127 h and
+#: all else x, so that few searches tell whether a text is plain.
+_SHAPE = bytes(32 if c in b" \n" else 46 if c in b".," else 97 if chr(c).isalnum() else 120 for c in range(128)).ljust(256, b"h")
+_BREAKS = (b"  ", b" .", b"x.", b"..")
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: White space over 127 in UTF-8, and the bytes that it begins with.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_LEADS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 
 
 def stretches(text: str) -> list[str] | None:
-    """A text cut where no word reaches over, None where that can't be told simply. The first stretch is as it is;
+    """A text cut where no word reaches over: before a single space or line break between other characters, and before a comma
+    or full stop after a letter or digit. None if it holds anything else of that kind. The first stretch is as it is;
     others follow a space, but for those that begin with a line break, comma or full stop."""
     if text[0] in " \n.," or text[-1] in " \n":
         return None
-    if text.isascii():
-        shape = text.encode().translate(_SHAPE)
-        if any(x in shape for x in _BREAKS) or any(x in text for x in _ODD):
-            return None
-    elif any(x in text for x in ("  ", "\n\n", " \n", "\n ", " ,", " .", "\n,", "\n.")) or text[-1].isspace() or text[0].isspace() or _OTHERWISE.search(text):
+    data = text.encode()
+    shape = data.translate(_SHAPE)
+    if any(x in shape for x in _BREAKS) or any(x in text for x in _ODD):
         return None
+    if len(data) > len(text):
+        if any(x in data for x in _LEADS) and _WIDE.search(data):
+            return None
+        at = shape.find(b"h.")
+        while at >= 0:
+            begin = at
+            while data[begin] & 0xC0 == 0x80:
+                begin -= 1
+            if not data[begin : at + 1].decode().isalnum():
+                return None
+            at = shape.find(b"h.", at + 1)
     return text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
 
 
@@ -155,7 +166,7 @@ class Codec:
 
     def _stretch(self, text: str) -> bytes:
         """Ids of a stretch as stretches() gives them, as little-endian 32-bit numbers. Only words of letters are
-        remembered; two generations of them, so that frequent ones outlive a full table."""
+        remembered, and short other ones; two generations of them, so that frequent ones outlive a full table."""
         if text.isalpha():
             if (found := self.older.get(text)) is None:
                 found = self.ids_of(" " + text)
@@ -167,8 +178,9 @@ class Codec:
         if text[0] == "\n" and text[1:].isalpha():  # a line break and a word by itself
             get = self.words.get
             return b"".join([x if (x := get(w)) is not None else self._word(w) for w in ("\n", text[1:])])
-        found = self._words(text if text[0] in "\n,." else " " + text)
-        if len(text) <= 4:
+        if (found := self.older.get(text)) is None:
+            found = self._words(text if text[0] in "\n,." else " " + text)
+        if len(text) <= KEPT:
             self.known[text] = found
         return found
 

@@ -32,8 +32,8 @@ SEQUENCE, FILE_TOKENS, PIECE_ROWS, RANGES = 2048, 1_000_000, 2_000, 20_000
 
 
 class LibraryCodec(Codec):
-    """Words are encoded by the tokenizers library and remembered. Its model takes a word in the file's letters for bytes;
-    this leaves out what the library does around each call on a text, over half of the time for a short word."""
+    """Words are encoded by the tokenizers library and remembered. A shortcut, equal to its encode() of whole texts: texts are cut into words here, and the
+    library's model takes a word in the file's letters for bytes, which leaves out what encode() does around that."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
