@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import session
-from ..streaming import turns
+from ..streaming import turns, verdicts
 from ..workload import query
 
 _E = "event_type"
@@ -89,3 +89,24 @@ def session_gaps(events: DataFrame) -> DataFrame:
 def stream_turns(events: DataFrame) -> DataFrame:
     """The settled turns that a stream of the same events gives."""
     return turns.drained(turns.settled_turns(events), "turns")
+
+
+#: What events stand for in a session of their user: signups open turns, purchases judge them, errors end the session.
+_KINDS = "CASE event_type WHEN 'signup' THEN 'prompt' WHEN 'purchase' THEN 'verdict' WHEN 'error' THEN 'end' ELSE 'other' END"
+WAIT_DAYS = 2
+
+
+@query(
+    "events",
+    stream=True,
+    sql=f"WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session, CAST(event_id AS VARCHAR) AS id, ts, {_KINDS} AS kind, value > 50 AS correction FROM events), m AS (SELECT max(ts) - INTERVAL 10 SECOND AS mark FROM e), "
+    "d AS (SELECT *, lead(struct_pack(id := id, ts := ts, kind := kind, correction := correction)) OVER (PARTITION BY session ORDER BY ts, id) AS judge FROM e WHERE kind <> 'other'), "
+    "t AS (SELECT *, first_value(CASE WHEN kind IN ('prompt', 'end') THEN struct_pack(ts := ts, kind := kind, judge := judge) END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM d QUALIFY kind = 'prompt'), "
+    f"l AS (SELECT session, max(ts) AS last FROM e GROUP BY 1), v AS (SELECT t.session, id AS turn, CASE WHEN next.kind = 'end' THEN 'session_end' WHEN next.judge IS NULL THEN CASE WHEN greatest(last, mark) >= next.ts + INTERVAL {WAIT_DAYS} DAY THEN 'withheld' END WHEN next.judge.ts >= next.ts + INTERVAL {WAIT_DAYS} DAY OR next.judge.kind = 'prompt' THEN 'withheld' WHEN next.judge.kind = 'end' THEN 'session_end' WHEN next.judge.correction THEN 'correction' ELSE 'no_correction' END AS verdict FROM t JOIN l USING (session), m WHERE next IS NOT NULL) "
+    "SELECT 'verdict:' || sha256(session || chr(10) || turn) AS id, session, turn, verdict FROM v WHERE verdict IS NOT NULL",
+)
+def stream_verdicts(events: DataFrame) -> DataFrame:
+    """The verdicts that a stream of the same events gives."""
+    kind = F.when(F.col(_E) == "signup", "prompt").when(F.col(_E) == "purchase", "verdict").when(F.col(_E) == "error", "end").otherwise("other")
+    rows = events.select(F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("string").alias("id"), kind.alias("kind"), (F.col("value") > 50).alias("correction"))
+    return turns.drained(verdicts.verdicts(rows, wait=WAIT_DAYS * 24 * 3600, idle=400 * 24 * 3600), "verdicts")

@@ -156,30 +156,6 @@ def test_lessons_traces_and_quotes(spark):
     assert [r.key for r in validation.remembered(quotes, source, stored).collect()] == ["q1"]
 
 
-def test_verdicts_step_by_step():
-    state, out = (0, 0, 0), []
-    for at, kind, correction in ((0, "verdict", True), (1, "prompt", None), (2, "edit", None), (3, "prompt", None), (4, "verdict", False), (5, "verdict", True), (6, "prompt", None), (7, "prompt", None), (8, "verdict", True), (9, "prompt", None), (80, "edit", None), (81, "verdict", False), (82, "end", None)):
-        state, settled = verdicts.step(state, at * 1000, kind, correction)
-        out += settled
-    assert out == [(1, "no_correction"), (2, "withheld"), (3, "correction"), (4, "withheld"), (5, "session_end")]
-
-
-def test_verdicts_of_a_stream_come_once(spark, tmp_path):
-    def put(name, rows):
-        df = spark.createDataFrame(rows, "session string, second long, id string, kind string, correction boolean")
-        df.withColumn("at", F.timestamp_seconds("second")).drop("second").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
-
-    put("a", [("s", 1, "1", "prompt", None), ("s", 3, "3", "prompt", None), ("s", 4, "4", "verdict", True)])
-    put("b", [("s", 5, "5", "prompt", None), ("t", 500, "6", "prompt", None)])
-    put("c", [("t", 501, "7", "end", None), ("s", 2, "8", "verdict", True)])  # the last row is late
-    stream = spark.readStream.schema("session string, id string, kind string, correction boolean, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    for _ in range(2):
-        q = verdicts.verdicts(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
-        q.awaitTermination()
-    got = sorted((r.session, r.turn, r.verdict) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [("s", 1, "correction"), ("s", 2, "withheld"), ("t", 1, "session_end")]
-
-
 def test_windows_of_a_table(spark):
     rows = spark.createDataFrame([(60 * m, "a") for m in (0, 5, 40, 70)], "s long, kind string").select(F.timestamp_seconds("s").alias("at"), "kind")
     got = {k: sorted(r.n for r in df.collect()) for k, df in verdicts.windows(rows).items()}
