@@ -96,6 +96,11 @@ def history_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(fold(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def search_words(text: Column) -> Column:
+    """Folded words of letters and digits in any script, as full-text search has them; repeats are kept."""
+    return F.regexp_extract_all(F.lower(fold(text)), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+
+
 def question_words(text: Column) -> Column:
     """Distinct history words without those of questions."""
     return F.array_distinct(_without(history_words(text), HISTORY_STOP, 1))

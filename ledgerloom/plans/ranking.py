@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval
+from ..operators import fulltext, retrieval
 from ..workload import query
-from .retrieval import _TOKENS
+from .retrieval import _TOKENS, indexed
 
 # Fixed values of the selection: lines, crowd, floor, weight.
 LINE, LOW, CROWD, SHARE, FEW, FLOOR, WEIGHT = 0.56, 0.45, 16, 0.75, 4, 0.30, 8
@@ -72,11 +72,31 @@ def reuse_targets(part: DataFrame, lineitem: DataFrame) -> DataFrame:
 @query("documents", sql=f"WITH h AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) WHERE term IN ('tion', 'was', 'elle') GROUP BY ALL) SELECT doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS hits FROM h GROUP BY 1 ORDER BY terms DESC, hits DESC, doc_id LIMIT 200")
 def fulltext_set(documents: DataFrame) -> DataFrame:
     """Documents with any of the words, those with more of them first; 200 at most, as the search gives."""
-    found = documents.select("doc_id", F.filter(text.tokens(F.col("text")), lambda w: w.isin("tion", "was", "elle")).alias("w")).filter(F.size("w") > 0)
-    rows = found.select("doc_id", F.size(F.array_distinct("w")).cast("long").alias("terms"), F.size("w").cast("long").alias("hits"))
+    rows = fulltext.matches(documents.sparkSession, indexed(documents, "terms", text.tokens), ["tion", "was", "elle"]).withColumnRenamed("id", "doc_id")
     return rows.orderBy(F.desc("terms"), F.desc("hits"), "doc_id").limit(200)
 
 
+#: Words of a search in the order asked.
+ASKED = ["shan", "the", "tion", "was", "elle", "und"]
+_SEARCHED = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')"
+
+
+def searchable(documents: DataFrame) -> str:
+    """The folder of an inverted index over all words of the documents."""
+    return indexed(documents, "fulltext", text.search_words)
+
+
+@query("documents", sql=f"WITH t AS (SELECT doc_id AS id, {_SEARCHED} AS tokens FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, sum(len(tokens)) / count(*) AS avg FROM t), tf AS (SELECT id, len(tokens) AS len, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM t) WHERE list_contains({ASKED}, term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 0.000001 END AS w FROM df, s) SELECT id, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN w USING (term), s GROUP BY id ORDER BY score DESC, id LIMIT 200")
+def fulltext_rank(documents: DataFrame) -> DataFrame:
+    """The 200 best documents for any of the words, from the inverted index."""
+    return fulltext.search(documents.sparkSession, searchable(documents), ASKED)
+
+
+@query("documents", sql=f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_SEARCHED}) AS term FROM documents) GROUP BY 1")
+def fulltext_terms(documents: DataFrame) -> DataFrame:
+    return fulltext.term_counts(documents.sparkSession, searchable(documents))
+
+
 @query("part", sql=f"WITH t AS (SELECT p_partkey, p_type, unnest(list_distinct({_NAME})) AS term FROM part), n AS (SELECT count(*) AS n FROM part), d AS (SELECT term, count(*) AS df FROM t WHERE term IN ('red', 'bolt', 'ring') GROUP BY 1) SELECT p_partkey, round(sum(ln(1 + n / df)) + CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END, 6) AS score FROM t JOIN d USING (term), n GROUP BY p_partkey, p_type ORDER BY score DESC, p_partkey LIMIT 20")
 def navigation_rank(part: DataFrame) -> DataFrame:
     """Rare words of the question weigh more; a place in the path adds one."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval
+from ..operators import fulltext, retrieval
+from ..sources.store import kept_path
 from ..workload import query
 
 WORDS = ["tion", "was", "ther", "elle", "una"]
@@ -30,10 +33,19 @@ def parts_sql(name: str) -> str:
 _TOKENS = tokens_sql("text")
 
 
+def indexed(documents: DataFrame, name: str, words: Callable[[Column], Column]) -> str:
+    """The folder of an inverted index over the documents' words. It is made in two segments when it is asked for first, and
+    read from then on, as long as the table's files are the same."""
+    path = kept_path(documents, name)
+    rows = documents.filter("text is not null").select(F.col("doc_id").alias("id"), words(F.col("text")).alias("tokens"))
+    for part in (0, 1):
+        fulltext.add_documents(rows.filter(F.pmod("id", F.lit(2)) == part), path, f"s{part}")
+    return path
+
+
 @query("documents", sql=f"WITH t AS (SELECT doc_id AS id, {_TOKENS} AS tokens FROM documents WHERE text IS NOT NULL), s AS (SELECT count(*) AS n, sum(len(tokens)) / greatest(1, count(*)) AS avg FROM t), tf AS (SELECT id, len(tokens) AS len, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM t) WHERE list_contains({listed(WORDS)}, term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))), 6) AS score FROM tf JOIN df USING (term), s GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def bm25_topk(documents: DataFrame) -> DataFrame:
-    docs = documents.filter("text is not null").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
-    return retrieval.bm25(docs, WORDS).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    return fulltext.search(documents.sparkSession, indexed(documents, "terms", text.tokens), WORDS, 10, fulltext.smooth_idf)
 
 
 @query("documents", sql=f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n, {_TOKENS}[1] AS first FROM documents WHERE text IS NOT NULL")
@@ -81,8 +93,7 @@ def question_words(benchmark: DataFrame) -> DataFrame:
 
 @query("documents", sql=f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1) SELECT term, df, df <= greatest(2, ceil(0.02 * (SELECT count(*) FROM documents))) AS rare FROM d")
 def doc_frequency_rarity(documents: DataFrame) -> DataFrame:
-    terms = documents.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    df = fulltext.term_counts(documents.sparkSession, indexed(documents, "terms", text.tokens))
     total = documents.agg(F.greatest(F.lit(2), F.ceil(F.lit(0.02) * F.count("*"))).alias("most"))
     return df.crossJoin(F.broadcast(total)).select("term", "df", (F.col("df") <= F.col("most")).alias("rare"))
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -21,6 +22,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept_path(table: DataFrame, name: str) -> str:
+    """A folder under spark.checkpoint.dir for what is derived from a table of files: the same as long as its files are (names, sizes, times)."""
+    files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = files.agg(F.coalesce(F.sum(F.xxhash64("*").cast("decimal(38,0)")), F.lit(0)).alias("h")).first().h
+    base = shared_path(table.sparkSession, "").rsplit("/", 1)[0]
+    return f"{base}/{name}-{int(key) % 2**64:016x}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: worked out once, however often it is read, and safe from lost executors."""
     path = shared_path(df.sparkSession, name)
