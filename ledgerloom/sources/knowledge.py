@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import validation
+from ..operators.order import numbered
+from . import commits
 
 MODULES = "id string, exports array<string>, imports array<string>, loc int, degree long, symbols array<struct<line:int,name:string,calls:array<string>>>"
 ROUTES = "method string, path string, file string, line int, framework string"
@@ -53,21 +54,22 @@ def revision(*tables: DataFrame) -> str:
     return "-".join(f"{r.n:x}.{int(r.h) % 2**64:x}" for r in sums) if any(r.n for r in sums) else "unsaved"
 
 
-def load_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Records of a store by kind, typed, from rows (seq, json)."""
-    out = {}
-    for name, schema in STORE.items():
-        rows = read_or_empty(spark, f"{path}/{name}", "seq long, json string")
-        out[name] = rows.select("seq", F.from_json("json", schema).alias("r")).select("seq", "r.*")
-    return out
+RECORDS = "seq long, json string"
 
 
-def append_records(spark: SparkSession, path: str, records: dict[str, DataFrame]) -> dict[str, int]:
-    """Adds records that the store doesn't hold; an id that comes again with other contents is an error and nothing is
-    written. Numbers go on from the last one."""
+def load_store(spark: SparkSession, path: str, at: int | None = None) -> dict[str, DataFrame]:
+    """Records of a store by kind, typed, at one revision of all of them: the newest, or an older one."""
+    at = commits.revision(spark, path) if at is None else at
+    return {name: commits.table(spark, path, name, RECORDS, at).select("seq", F.from_json("json", schema).alias("r")).select("seq", "r.*") for name, schema in STORE.items()}
+
+
+def append_records(spark: SparkSession, path: str, records: dict[str, DataFrame], base: int | None = None) -> dict[str, int]:
+    """Adds records that the store doesn't hold, all kinds in one revision; an id that comes again with other contents is an error and nothing is
+    written. Numbers go on from the last one. Raises Conflict if the store has gone on from `base`, the newest revision if none is said."""
+    base = commits.revision(spark, path) if base is None else base
     new, added = {}, {}
     for name, rows in records.items():
-        store = read_or_empty(spark, f"{path}/{name}", "seq long, json string")
+        store = commits.table(spark, path, name, RECORDS, base)
         own = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "seq"])).alias("json"), "id")
         known = store.select(F.get_json_object("json", "$.id").alias("id"), F.col("json").alias("old"))
         both = own.join(known, "id", "left")
@@ -75,15 +77,10 @@ def append_records(spark: SparkSession, path: str, records: dict[str, DataFrame]
         if conflict:
             raise ValueError(f"{name}: {conflict[0].id} is stored with other contents")
         last = store.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        fresh = both.filter("old is null").dropDuplicates(["id"])
-        # Numbers need one order; a batch is small beside its store.
-        new[name] = fresh.select((F.row_number().over(W.orderBy("id")) + last).cast("long").alias("seq"), "json")
-    for name, rows in new.items():
-        rows = rows.persist()
-        added[name] = rows.count()
-        if added[name]:
-            rows.write.mode("append").parquet(f"{path}/{name}")
-        rows.unpersist()
+        new[name] = numbered(both.filter("old is null").dropDuplicates(["id"]).select("id", "json"), "id", name="seq", start=last + 1).select("seq", "json")
+        added[name] = new[name].count()
+    if any(added.values()):
+        commits.commit(spark, path, base, {n: rows for n, rows in new.items() if added[n]})
     return added
 
 
@@ -109,17 +106,19 @@ def store_status(spark: SparkSession, path: str) -> dict[str, int]:
     return {n: t.count() for n, t in tables.items()} | {"knowledge": tables["versions"].agg(F.countDistinct("knowledge_id")).first()[0]}
 
 
-def erase_contents(spark: SparkSession, path: str, ids: DataFrame, staged: str) -> int:
-    """The one change in place: the contents of captured events are erased, nothing else of them, and only of known ids. Rows are
-    written to a staging folder; the store's owner swaps it in."""
-    rows = read_or_empty(spark, f"{path}/events", "seq long, json string").withColumn("id", F.get_json_object("json", "$.id"))
+def erase_contents(spark: SparkSession, path: str, ids: DataFrame) -> int:
+    """The one change in place: the contents of captured events are erased, nothing else of them, and only of known ids. The events so
+    changed are the next revision's, and older ones go, as they hold the contents."""
+    base = commits.revision(spark, path)
+    rows = commits.table(spark, path, "events", RECORDS, base).withColumn("id", F.get_json_object("json", "$.id"))
     unknown = ids.join(rows, "id", "left_anti").limit(1).collect()
     if unknown:
         raise ValueError(f"unknown event {unknown[0].id}")
     erased = F.to_json(F.from_json("json", EVENTS).withField("content", F.lit("")))
     both = rows.join(ids.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
-    both.select("seq", F.when(F.col("hit"), erased).otherwise(F.col("json")).alias("json")).write.mode("errorifexists").parquet(staged)
-    return both.filter("hit").count()
+    count = both.filter("hit").count()
+    commits.forget(spark, path, commits.commit(spark, path, base, {}, {"events": both.select("seq", F.when(F.col("hit"), erased).otherwise(F.col("json")).alias("json"))}))
+    return count
 
 
 def upsert_vectors(spark: SparkSession, path: str, vectors: DataFrame, to: str) -> DataFrame:

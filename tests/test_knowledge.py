@@ -63,8 +63,9 @@ def test_a_store_is_imported_exported_and_never_rewritten(spark, tmp_path):
         knowledge.import_store(spark, f"{tmp_path}/bad.json", f"{tmp_path}/none")
     knowledge.export_store(spark, path, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out/versions").count() == 5
-    assert knowledge.erase_contents(spark, path, spark.createDataFrame([("e1",)], "id string"), f"{tmp_path}/staged") == 1
-    assert json.loads(spark.read.parquet(f"{tmp_path}/staged").first().json)["content"] == ""
+    assert knowledge.erase_contents(spark, path, spark.createDataFrame([("e1",)], "id string")) == 1
+    assert [r.content for r in knowledge.load_store(spark, path)["events"].collect()] == [""] and knowledge.store_status(spark, path)["versions"] == 5
+    assert not any(b"gateway" in p.read_bytes() for p in (tmp_path / "store" / "data").glob("events-*/*.parquet"))
 
 
 def test_index_revision_follows_contents(spark, tmp_path):
