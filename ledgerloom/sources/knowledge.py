@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -176,15 +177,31 @@ def read_vector_table(spark: SparkSession, table: str, vocabulary: str) -> DataF
     return first.join(vectors, "row").select("word", "row", "vec")
 
 
-def backup(spark: SparkSession, root: str, to: str) -> int:
-    """path, sha256, content of all files under a root; written once, never over another one."""
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """path under the root, sha256, content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    rel = F.regexp_replace("path", "^.*?" + r"\Q" + root.rstrip("/") + r"\E" + "/", "")
+    return files.select(rel.alias("path"), "length", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def backup(spark: SparkSession, root: str, to: str, scope: str = "") -> int:
+    """path, sha256, content, scope of all files under a root; written once, never over another one, and outside the root. Files are read, copied and read again: a backup
+    during which any of them came, went or changed is deleted and fails."""
+    if f"{to.rstrip('/')}/".startswith(f"{root.rstrip('/')}/"):
+        raise ValueError("a backup lies outside of what it holds")
+    size = _files(spark, root).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     if size > BACKUP_BYTES:
         raise ValueError(f"{size} bytes are more than a backup holds")
-    rel = F.regexp_replace("path", "^.*?" + r"\Q" + root.rstrip("/") + r"\E" + "/", "")
-    files.select(rel.alias("path"), F.sha2("content", 256).alias("sha256"), "content").write.mode("errorifexists").parquet(to)
-    return spark.read.parquet(to).count()
+    _files(spark, root).select("path", "sha256", "content", F.lit(scope).alias("scope")).write.mode("errorifexists").parquet(to)
+    copied = spark.read.parquet(to)
+    now = _files(spark, root).select("path", "sha256")
+    wrong = copied.filter(F.sha2("content", 256) != F.col("sha256")).select("path", "sha256")
+    changed = now.exceptAll(copied.select("path", "sha256")).unionAll(copied.select("path", "sha256").exceptAll(now)).unionAll(wrong).select("path").limit(1).collect()
+    if changed:
+        fs, at = commits._place(spark, to)
+        fs.delete(at, True)
+        raise ValueError(f"{changed[0].path} changed during the backup")
+    return copied.count()
 
 
 def restored(spark: SparkSession, path: str) -> DataFrame:
@@ -196,6 +213,28 @@ def restored(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "content")
 
 
+def restore(spark: SparkSession, path: str, to: str, scope: str = "", relocate: bool = False) -> int:
+    """Writes the files of a backup, which is bounded, to a folder that is not there yet: beside it first, then all of them under its name."""
+    rows = restored(spark, path)
+    other = spark.read.parquet(path).filter(F.col("scope") != scope).select("scope").limit(1).collect()
+    if other and not relocate:
+        raise ValueError(f"the backup is of {other[0].scope}")
+    fs, target = commits._place(spark, to)
+    if fs.exists(target):
+        raise ValueError(f"{to} is there already")
+    aside, count = f"{to.rstrip('/')}.restore-{uuid.uuid4().hex[:12]}", 0
+    for r in rows.toLocalIterator():
+        if r.path.startswith("/") or ".." in r.path.split("/"):
+            raise ValueError(f"{r.path} leads out of the folder")
+        out = fs.create(commits._place(spark, f"{aside}/{r.path}")[1], False)
+        out.write(bytearray(r.content))
+        out.close()
+        count += 1
+    if fs.exists(target) or not fs.rename(commits._place(spark, aside)[1], target):
+        raise ValueError(f"{to} came into being meanwhile")
+    return count
+
+
 def new_page_records(pages: DataFrame, known: DataFrame, repository: str) -> DataFrame:
     """pages(record string JSON, url) -> id, url, content: records of one repository that are not known; an id is the hash of the
     record with its keys in order."""
