@@ -34,7 +34,7 @@ def query(*tables: str, sql: str | None = None, stream: bool = False) -> Callabl
 
 
 def _load() -> None:
-    from .plans import code, delivery, graph, history, judgement, paths, ranking, records, relational, retrieval, selection, session  # noqa: F401
+    from .plans import code, delivery, graph, history, judgement, paths, ranking, records, relational, retrieval, selection, session, store  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
