@@ -12,7 +12,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -164,17 +164,30 @@ def facts(files: DataFrame) -> DataFrame:
     return files.select("rel", "content").mapInArrow(_facts, FACTS)
 
 
-def resolved_imports(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Facts, files(rel) -> rel, spec, target. aliases: prefix of a specification -> folder it stands for; the longest one decides."""
+def _meant(aliases: dict[str, str | list[str]]) -> Column:
+    """Places under the root that a specification may mean by the first alias that fits, longest prefix first; null if none fits. A name with *
+    fits what begins and ends as it does, and what stands for * goes into its targets; a prefix with one folder fits all that begin with it."""
+    meant = F.lit(None).cast("array<string>")
+    for name, targets in sorted(((k if isinstance(v, list) else k + "*", v if isinstance(v, list) else [v + "*"]) for k, v in aliases.items()), key=lambda x: len(x[0].split("*")[0])):
+        before, star, after = name.partition("*")
+        fits = F.startswith("spec", F.lit(before)) & F.endswith("spec", F.lit(after)) if star else F.col("spec") == name
+        middle = F.substring(F.col("spec"), F.lit(len(before) + 1), F.length("spec") - len(before) - len(after))
+        places = [F.concat(F.lit(t.partition("*")[0]), middle, F.lit(t.partition("*")[2])) if star and "*" in t else F.lit(t) for t in targets]
+        meant = F.when(fits, F.array(*places) if places else F.array().cast("array<string>")).otherwise(meant)
+    return meant
+
+
+def resolved_imports(found: DataFrame, files: DataFrame, aliases: dict[str, str | list[str]] | None = None) -> DataFrame:
+    """Facts, files(rel) -> rel, spec, target. aliases: as _meant() has them; the one with the longest prefix decides, its targets are tried in order, and
+    what none of them leads to stays unresolved."""
     specs = found.filter("kind in ('import', 'named') and spec is not null").select("rel", "spec").distinct()
-    out = F.col("spec")
-    for prefix in sorted(aliases or {}, key=len):
-        out = F.when(F.startswith("spec", F.lit(prefix)), F.concat(F.lit("\0" + aliases[prefix]), F.substring("spec", len(prefix) + 1, 1 << 30))).otherwise(out)
     # An alias stands for a place under the root, wherever the file is.
-    specs = specs.withColumn("at", out).withColumn("from", F.when(F.startswith("at", F.lit("\0")), F.lit("")).otherwise(F.col("rel")))
-    moved = specs.select(F.col("from").alias("rel"), F.when(F.startswith("at", F.lit("\0")), F.concat(F.lit("./"), F.substring("at", 2, 1 << 30))).otherwise(F.col("at")).alias("spec"), F.col("rel").alias("file"), F.col("spec").alias("said"))
+    tried = specs.withColumn("meant", _meant(aliases or {})).withColumn("own", F.col("meant").isNull())
+    tried = tried.select("rel", "spec", "own", F.posexplode(F.coalesce("meant", F.array("spec"))).alias("place", "at"))
+    moved = tried.select(F.when(F.col("own"), F.col("rel")).otherwise(F.lit("")).alias("rel"), F.when(F.col("own"), F.col("at")).otherwise(F.concat(F.lit("./"), "at")).alias("spec"), F.col("rel").alias("file"), F.col("spec").alias("said"), "place")
     targets = tree.resolved(moved.select("rel", "spec").distinct(), files.select("rel"))
-    return moved.join(targets, ["rel", "spec"]).select(F.col("file").alias("rel"), F.col("said").alias("spec"), "target").filter("rel <> target")
+    first = moved.join(targets, ["rel", "spec"]).groupBy("file", "said").agg(F.min_by("target", "place").alias("target"))
+    return first.select(F.col("file").alias("rel"), F.col("said").alias("spec"), "target").filter("rel <> target")
 
 
 def call_edges(found: DataFrame, imports: DataFrame) -> DataFrame:

@@ -36,9 +36,9 @@ def observations(uses: DataFrame, root: str) -> DataFrame:
     return uses.select("id", "tool", F.slice(F.array_distinct(inside), 1, TARGETS).alias("targets"), outside.alias("outside"), F.when((F.col("tool") != "apply_patch") & (F.length(command) <= COMMAND), command).alias("command"), code.alias("exit_code"), bad.alias("failed"))
 
 
-def aliases_of(read: Callable[[str], str | None], file: str = "tsconfig.json") -> dict[str, str]:
-    """Prefixes of module names and the folders they stand for, from a configuration and those it extends; a later one overrides an earlier one, a
-    file that extends itself counts once, one that can't be read not at all. Few small files, read by the driver."""
+def alias_targets(read: Callable[[str], str | None], file: str = "tsconfig.json") -> dict[str, list[str]]:
+    """Names of modules, with * for a part of them, and the places that they may mean, in order, from a configuration and those it extends; a later one
+    overrides an earlier one, a file that extends itself counts once, one that can't be read not at all. Few small files, read by the driver."""
 
     def one(path: str, seen: set[str]) -> tuple[str | None, dict]:
         text = None if path in seen else read(path)
@@ -60,10 +60,16 @@ def aliases_of(read: Callable[[str], str | None], file: str = "tsconfig.json") -
         if isinstance(options.get("baseUrl"), str):
             base = posixpath.normpath(posixpath.join(folder, options["baseUrl"]))
         if isinstance(options.get("paths"), dict):
-            found = {k.split("*")[0]: posixpath.normpath(posixpath.join(base if base is not None else folder, v[0].split("*")[0] or ".")) + ("/" if "*" in v[0] else "") for k, v in options["paths"].items() if v}
+            at = base if base is not None else folder
+            found = {k: [posixpath.normpath(posixpath.join(at, x)).removeprefix("./") for x in v if isinstance(x, str)] for k, v in options["paths"].items() if isinstance(v, list)}
         return base, found
 
-    return {k: v.removeprefix("./") for k, v in one(file, set())[1].items()}
+    return one(file, set())[1]
+
+
+def aliases_of(read: Callable[[str], str | None], file: str = "tsconfig.json") -> dict[str, str]:
+    """Prefixes of module names and the first folder that each stands for."""
+    return {k.split("*")[0]: v[0].split("*")[0] for k, v in alias_targets(read, file).items() if v}
 
 
 def neighbours(words: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -76,6 +76,14 @@ def test_aliases_and_packages(spark):
     assert modules["pkg/deep/x.py"].symbols[0].calls == ["top.py::f"]
 
 
+def test_targets_of_an_alias_are_tried_in_order(spark):
+    files = [("src/new/a.ts", ""), ("src/old/a.ts", ""), ("src/old/b.ts", ""), ("gen/c.view.ts", ""), ("one.ts", ""), ("x.ts", "import '@/a'; import '@/b'; import '@/gone'; import '#c.tpl'; import 'only'; import 'onlyx'; import '@/deep/z';"), ("src/z.ts", "")]
+    df = spark.createDataFrame(files, "rel string, content string")
+    aliases = {"@/*": ["src/new/*", "src/old/*"], "#*.tpl": ["gen/*.view.ts"], "only": ["one.ts"], "@/deep/*": ["nowhere/*"]}
+    got = {r.spec: r.target for r in code.resolved_imports(code.facts(df), df, aliases).collect()}
+    assert got == {"@/a": "src/new/a.ts", "@/b": "src/old/b.ts", "#c.tpl": "gen/c.view.ts", "only": "one.ts"}
+
+
 def test_listing_is_sorted(spark, tmp_path):
     for name in ("b.ts", "a.py", "x.min.js"):
         (tmp_path / name).write_text("x")

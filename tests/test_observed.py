@@ -27,6 +27,8 @@ def test_aliases_follow_what_a_configuration_extends():
     files["tsconfig.json"] = '{"extends": "./base", "compilerOptions": {"baseUrl": "src", "paths": {"~/*": ["app/*"]}}}'
     assert observed.aliases_of(files.get) == {"~/": "src/app/"}
     assert observed.aliases_of({"tsconfig.json": "{ broken"}.get) == {}
+    files["tsconfig.json"] = '{"compilerOptions": {"paths": {"@/*.x": ["a/*", "./b/*"]}}}'
+    assert observed.alias_targets(files.get) == {"@/*.x": ["a/*", "b/*"]}
 
 
 def test_neighbours_of_words(spark):
