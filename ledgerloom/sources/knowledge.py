@@ -23,8 +23,8 @@ EVENTS = "id string, kind string, source_ids array<string>, actor string, sessio
 VERSIONS = "id string, knowledge_id string, version long, previous_version_id string, kind string, state string, content string, zones array<string>, source_ids array<string>, event_ids array<string>, recorded_at string, valid_from string, valid_until string"
 RELATIONS = "id string, kind string, from struct<type:string,id:string>, to struct<type:string,id:string>, source_ids array<string>, recorded_at string, valid_from string, valid_until string"
 STORE = {"sources": SOURCES, "events": EVENTS, "versions": VERSIONS, "relations": RELATIONS}
-# Largest hook input, longest vector table, records of a page, what is uploaded of a module, largest backup.
-HOOK_BYTES, VECTORS, PAGE, BACKUP_BYTES = 2 * 1024 * 1024, 40_000, 30, 64 * 1024 * 1024
+# Largest hook input, records of a page, what is uploaded of a module, largest backup.
+HOOK_BYTES, PAGE, BACKUP_BYTES = 2 * 1024 * 1024, 30, 64 * 1024 * 1024
 UPLOADED = {"modules": 3000, "exports": 10, "symbols": 25, "calls": 15}
 #: The first bytes of a table of word vectors, and its header: mark, version, kind of numbers, dimensions, rows.
 MAGIC, HEADER = b"KVEC", "<4sBBHI"
@@ -237,9 +237,14 @@ def restore(spark: SparkSession, path: str, to: str, scope: str = "", relocate:
 
 def new_page_records(pages: DataFrame, known: DataFrame, repository: str) -> DataFrame:
     """pages(record string JSON, url) -> id, url, content: records of one repository that are not known; an id is the hash of the
-    record with its keys in order."""
+    record with its keys in order. If a column `page` tells pages apart, one of more than PAGE records is refused."""
     from ..functions import paths, text
 
+    if "page" in pages.columns:
+        long = pages.groupBy("page").count().filter(F.col("count") > PAGE).limit(1).collect()
+        if long:
+            raise ValueError(f"page {long[0].page} has {long[0]['count']} records, more than {PAGE}")
+
     canonical = text.canonical_json(F.col("record"))
     own = pages.filter(F.startswith(paths.remote_name(F.col("url")), F.lit(repository + "/"))).select(F.sha2(canonical.cast("binary"), 256).alias("id"), "url", canonical.alias("content"))
     return own.dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti")
