@@ -6,7 +6,7 @@ without copying. The schema's metadata hold the documents of the file: their ids
 
 Documents are cut into files by ranges of doc_id that hold about PIECE_ROWS rows, or more where RANGES ranges (quantiles
 that the driver holds) are not enough for that; the ranges come from quantiles of doc_id alone; a range that grows beyond `file_tokens` ids (long texts, repeated ids) becomes several files. Files are rows of a Parquet table in the shared
-folder (name, bytes), as only Spark reaches every store.
+folder (name, bytes), as only Spark reaches every store; `save_files` puts them into a folder that machines mount, where `TokenFile.mapped` maps them.
 
 Null and empty texts have the end id only. Rows with one doc_id follow each other ordered by their ids; null doc_ids come
 first. An empty table gives no file. Further columns are ignored.
@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -97,8 +100,8 @@ def write_stream(ids: np.ndarray, doc_ids: list, starts: np.ndarray, length: int
 class TokenFile:
     """Views into a stream file: no ids are copied."""
 
-    def __init__(self, data: bytes):
-        with pa.ipc.open_stream(pa.py_buffer(data)) as reader:
+    def __init__(self, data: bytes | pa.NativeFile):
+        with pa.ipc.open_stream(pa.py_buffer(data) if isinstance(data, bytes) else data) as reader:
             batch, meta = reader.read_next_batch(), reader.schema.metadata
         self.length = batch.schema.field("ids").type.list_size
         self.flat = batch.column("ids").values.to_numpy(zero_copy_only=True)
@@ -108,6 +111,11 @@ class TokenFile:
         known = np.frombuffer(meta[b"known"], np.uint8)
         self.doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(meta[b"doc_ids"], "<i8"), known, strict=True)]
 
+    @classmethod
+    def mapped(cls, path: str) -> TokenFile:
+        """A file of save_files() in memory that the system pages in as it is read: views lie in the file itself."""
+        return cls(pa.memory_map(path))
+
     def __len__(self) -> int:
         return len(self.flat) // self.length
 
@@ -169,8 +177,31 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """The table of files -> doc_id, start, n_tokens, ids_crc32, read from the files' bytes."""
-    before = W.orderBy("part", "piece").rowsBetween(W.unboundedPreceding, -1)
-    bases = files.select("part", "piece", "tokens").withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    """The table of files -> doc_id, start, n_tokens, ids_crc32, read from the files' bytes. Where a part begins is known from the sums of the
+    parts, of which there are RANGES at most; where its files begin, within it."""
+    sums = sorted(map(tuple, files.groupBy("part").agg(F.sum("tokens")).collect()))
+    ends = list(itertools.accumulate(n for _, n in sums))
+    parts = files.sparkSession.createDataFrame([(part, end - n) for (part, n), end in zip(sums, ends, strict=True)], "part long, first long")
+    before = W.partitionBy("part").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    bases = files.select("part", "piece", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before")).join(parts, "part")
+    bases = bases.select("part", "piece", (F.col("first") + F.col("before")).alias("base"))
     rows = files.select("part", "piece", "data").mapInArrow(_read, "part long, piece int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.join(bases.drop("tokens"), ["part", "piece"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(bases, ["part", "piece"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def save_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each row of the table as a stream file of its own to a folder that all machines mount, whole or not at all: path, tokens. A task
+    that runs again writes the same bytes under the same name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in small_slices(batches, 1, column="data"):
+            part, piece, tokens, data = (batch.column(c)[0].as_py() for c in ("part", "piece", "tokens", "data"))
+            path = f"{folder}/{part:08}-{piece:06}.arrows"
+            aside = f"{folder}/.{uuid.uuid4().hex}"
+            with open(aside, "wb") as f:
+                f.write(data)
+            os.replace(aside, path)
+            yield pa.RecordBatch.from_pydict({"path": [path], "tokens": [tokens]})
+
+    return files.select("part", "piece", "tokens", "data").mapInArrow(run, "path string, tokens long")
