@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -198,6 +201,8 @@ _SECRETS = [
     (rf"\b{_any_case('bearer')}[{_GAP}]+[A-Za-z0-9._~+/-]+=*", "Bearer [REDACTED]"),
     (rf"""\b({_NAMES})\b["']?[{_GAP}]*[:=][{_GAP}]*["']?[^{_GAP},"'}}]+""", r"\1=[REDACTED]"),
 ]
+#: What a text holds in lower case if the pattern in the same place finds anything in it.
+_MARKS = [["-----begin "], ["sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["bearer"], ["password", "apikey", "api_key", "api-key", "accesstoken", "access_token", "access-token", "authorization"]]
 _KEPT = 12_000
 
 
@@ -214,8 +219,8 @@ def redact_secrets(documents: DataFrame, conversations: DataFrame) -> DataFrame:
     are code points; of a null text, text and flags are null."""
     rows = documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("turn"), "text")
     rows = rows.unionByName(conversations.select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))
-    out = F.col("text")
-    for pattern, put in _SECRETS:
-        out = F.regexp_replace(out, pattern.replace(r"\b", _WORD_EDGE), put.replace(r"\1", "$1"))
-    rows = rows.withColumn("cleaned", out)
+    rows = rows.withColumn("low", F.lower("text")).withColumn("cleaned", F.col("text"))
+    for (pattern, put), marks in zip(_SECRETS, _MARKS, strict=True):  # few texts hold a mark, so few meet a pattern
+        held = reduce(or_, (F.contains("low", F.lit(m)) for m in marks))
+        rows = rows.withColumn("cleaned", F.when(held, F.regexp_replace("cleaned", pattern.replace(r"\b", _WORD_EDGE), put.replace(r"\1", "$1"))).otherwise(F.col("cleaned")))
     return rows.select("kind", "id", "turn", F.substring("cleaned", 1, _KEPT).alias("text"), (F.length("cleaned") > _KEPT).alias("truncated"), (F.col("cleaned") != F.col("text")).alias("redacted"))
