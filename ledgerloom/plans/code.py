@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import impact
 from ..sources import code
+from ..sources.store import written
 from ..workload import query
 
 #: What a file of each kind says; # is the part's key, ~ the key four further on.
@@ -68,3 +70,53 @@ def code_modules(part: DataFrame) -> DataFrame:
     rows = code.modules(sources, found, imports, code.call_edges(found, imports)).withColumn("s", F.explode("symbols"))
     line = lambda c: F.array_join(c, " ")
     return rows.select("id", line("exports").alias("exports"), line("imports").alias("imports"), "loc", "degree", F.col("s.name").alias("symbol"), F.col("s.line").alias("line"), line(F.array_sort("s.calls")).alias("calls"))
+
+
+def _index(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Modules and routes of files."""
+    found = written(code.facts(sources), "facts")
+    imports = code.resolved_imports(found, sources)
+    return written(code.modules(sources, found, imports, code.call_edges(found, imports)), "modules"), code.routes(found)
+
+
+#: The part whose file changes. Each file is imported by the one four keys before it.
+CHANGED = 40
+
+
+@query("part", sql=f"SELECT CAST(d AS INT) AS depth, 'src/p' || p_partkey || '.ts' AS file FROM part, range(1, 5) t(d) WHERE p_partkey = {CHANGED} - 4 * d AND {CHANGED} IN (SELECT p_partkey FROM part)")
+def code_impact_files(part: DataFrame) -> DataFrame:
+    """Files that a change of one file reaches in four steps."""
+    modules, routes = _index(files(part))
+    return impact.impact(modules, routes, *impact.resolve_target(modules, f"p{CHANGED}.ts"))["files"].select("depth", "file")
+
+
+@query("part", sql=f"SELECT 'src/p' || p_partkey || '.ts::' || replace(name, '#', CAST(p_partkey AS VARCHAR)) AS symbol, CAST(depth AS INT) AS depth, 'src/p{CHANGED}.ts::' || via AS via FROM part JOIN (VALUES (0, 'make#', 1, 'lower'), (0, 'size', 1, 'lower'), (4, 'size', 2, 'make{CHANGED}')) v(step, name, depth, via) ON p_partkey = {CHANGED} - step")
+def code_impact_symbols(part: DataFrame) -> DataFrame:
+    """Symbols that call one, or call what calls it."""
+    modules, routes = _index(files(part))
+    return impact.impact(modules, routes, *impact.resolve_target(modules, f"p{CHANGED}.ts::lower"))["symbols"].select("symbol", "depth", "via")
+
+
+@query("part", sql="SELECT 'spring' AS framework, 'GET' AS method, '/part/' || p_partkey AS path, 'src/P' || p_partkey || '.java' AS file, CAST(4 AS INT) AS line, greatest(count(*) OVER () - 80, 0) AS more FROM part WHERE p_partkey % 4 = 3 QUALIFY row_number() OVER (ORDER BY path, method, file) <= 80")
+def code_routes(part: DataFrame) -> DataFrame:
+    """Routes by framework, the first 80 of each and how many more there are."""
+    return impact.routes_by_framework(code.routes(code.facts(files(part))))
+
+
+@query(
+    "part",
+    sql="WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS f, p_size % 10 AS s, p_partkey % 4 IN (0, 2) AND p_partkey + 4 IN (SELECT p_partkey FROM part WHERE p_size % 10 <> 0) AS stays, p_partkey % 4 IN (0, 2) AND p_partkey + 4 IN (SELECT p_partkey FROM part) AS had FROM part), n AS (SELECT *, CAST(had AS INT) AS i, CAST(stays AS INT) AS j, "
+    "CASE f WHEN 0 THEN 6 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 4 END AS own, CASE f WHEN 0 THEN 10 WHEN 1 THEN 14 WHEN 2 THEN 9 ELSE 10 END AS loc, CASE WHEN s = 1 AND f = 0 THEN 2 ELSE 0 END AS more FROM p), "
+    "r AS (SELECT *, least((own + j) / (own + i + more), loc / (loc + more / 2)) AS \"like\" FROM n) "
+    "SELECT ['src/p', 'src/p', 'src/p', 'src/P'][f + 1] || k || ['.ts', '.go', '.py', '.java'][f + 1] AS key, CASE WHEN s = 0 THEN 'missing' WHEN \"like\" = 1 THEN 'unchanged' ELSE 'changed' END AS state, round(CASE WHEN s = 0 THEN 0 ELSE \"like\" END, 6) AS similarity FROM r",
+)
+def code_drift(part: DataFrame) -> DataFrame:
+    """Each file before and after a change: some are gone, and with them imports of others; some scripts have a function more."""
+    size = part.select("p_partkey", (F.col("p_size") % 10).alias("s"))
+    before = files(part)
+    keyed = before.withColumn("p_partkey", F.regexp_extract("rel", r"(\d+)", 1).cast("long")).join(size, "p_partkey").filter("s <> 0")
+    extra = F.when((F.col("s") == 1) & F.endswith("rel", F.lit(".ts")), F.concat("content", F.lit("export function extra() {}\n"))).otherwise(F.col("content"))
+    after = keyed.select("rel", extra.alias("content"))
+    then, now = (impact.shapes(_index(x)[0]) for x in (before, after))
+    rows = impact.drift(then.withColumn("key", F.col("file")), now, after.select(F.col("rel").alias("file")))
+    return rows.select("key", "state", F.round("similarity", 6).alias("similarity"))
