@@ -5,7 +5,7 @@ next one. The array is scanned for the lowest rank (the leftmost of equals), tha
 neighbours are looked up anew, until no rank is left. Words over SHORT bytes keep the same array in a linked list with a
 heap, which gives the same merges in n log n. Words repeat, so each is encoded once per worker.
 
-Null texts count as empty. Special tokens of the file that occur in a text become their own ids. Rows are handled one by
+Null texts count as empty; texts of any length are encoded whole; an empty table gives an empty result. Special tokens of the file that occur in a text become their own ids. Rows are handled one by
 one, so repeated or null doc_ids and further columns don't matter.
 """
 

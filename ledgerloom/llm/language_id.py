@@ -10,7 +10,7 @@ Training: numpy, backpropagation through time, Adam, fixed seed, on a bounded sa
 language, those with the smallest hashes, rows that repeat counted once, and of their whole texts `words_per_language` sequences, drawn at random (both
 are parameters). So a rare language is learnt as well as a frequent one.
 
-Null texts and texts without a letter are `und` with score 0, as is everything if nothing could be learnt (an empty
+Texts of any length are read whole, one at a time. Null texts and texts without a letter are `und` with score 0, as is everything if nothing could be learnt (an empty
 table, no language). Rows are handled one by one, so repeated or null doc_ids and further columns don't matter.
 """
 

@@ -4,7 +4,8 @@ write_png/read_png handle 8-bit grey images of any size. The writer filters each
 length of the samples, and undoes all five filters with numpy. `perceptual_hash` takes the low frequencies of a cosine
 transform of the image, averaged to 32 x 32, each axis by itself; rows are repeated where there are fewer than 32.
 
-Null texts count as empty; an empty payload becomes one row of 64 zero samples. Equal texts give equal values. Rows are
+Null texts count as empty; an empty payload becomes one row of 64 zero samples. A text of any length is one image, held whole by its
+task; an empty table gives an empty result. Equal texts give equal values. Rows are
 handled one by one, so repeated or null doc_ids and further columns don't matter.
 """
 

@@ -21,7 +21,8 @@ Jaccard similarity of at least `similarity` percent.
 Nulls, empty texts: an empty set, linked with nothing. Fewer words than a shingle has: the whole sequence is one shingle.
 Rows are judged by themselves: rows that repeat a doc_id are linked if their own texts are, so one of them may be in a
 component and another not. component_id is the smallest doc_id of a component. A null doc_id is returned with its own set
-size and linked with nothing. Further columns are ignored, apart from those named in `key`.
+size and linked with nothing. Texts of any length count whole: a task holds the words of one text at a time. An empty table gives an
+empty result. Further columns are ignored, apart from those named in `key`.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ line's marginal; a document's score is their mean, weighted by length.
 Training: a document's label holds for all its lines; likelihood is climbed with Adam on whole texts of a bounded sample
 (`sample_rows` labelled documents, a parameter). Scoring reads whole texts.
 
-Null and empty texts are one empty line. Without labels in the sample (an empty table) every score is the share 0.5.
+Null and empty texts are one empty line. A text of any length is scored whole, one at a time; so is a very long line. Without labels in the sample (an empty table) every score is the share 0.5.
 Documents with several labels teach each of them. Repeated or null doc_ids are scored row by row; further columns don't
 matter.
 """

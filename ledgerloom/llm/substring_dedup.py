@@ -16,7 +16,8 @@ A window is `window` consecutive words. Every word covered by a window that also
    are leaves themselves.
 
 Null or empty texts have no words and stay. Rows that repeat a doc_id are each judged by their own text, against smaller
-doc_ids only. A row with a null doc_id is compared with nothing and keeps its words. Further columns are ignored.
+doc_ids only. A row with a null doc_id is compared with nothing and keeps its words. Texts of any length are read whole, one at a
+time. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
