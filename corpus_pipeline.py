@@ -44,12 +44,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no benchmark item."""
+    """Rows whose text holds no benchmark item. Null and empty texts hold none and stay, as do all rows with an empty benchmark; rows that repeat an id are judged by
+    their own texts; columns of any name are kept."""
     return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of them and of the text decoded from them."""
+    """Token ids of each document, and digests of them and of the text decoded from them. A row for each row; null texts count as empty, null ids stay null, other
+    columns go."""
     return bpe.round_trip(docs, tokenizer_path(spark))
 
 
