@@ -202,7 +202,7 @@ def _predict(network: Network | None, label: str, score: str):
         if network and key not in _LABELLERS:
             _LABELLERS.clear()
             _LABELLERS[key] = Labeller(network)
-        for batch in small_slices(batches, 128):
+        for batch in small_slices(batches, 128, 1_000_000):
             langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if network:
                 sums = _LABELLERS[key].documents(batch.column("text").to_pylist())

@@ -54,7 +54,7 @@ def _sketches(width: int, k: int):
     """doc_id, text, further columns -> doc_id, those columns, set size, fingerprint, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, size=1_000_000):
             sets = [shingle_set(x, width) for x in batch.column("text").to_pylist()]
             one, two = zip(*map(fingerprint, sets), strict=True)
             names = [x for x in batch.schema.names if x != "text"]
@@ -231,7 +231,7 @@ def _sets(width: int):
     """Rows of a class's doc_id -> its whole set, from those whose text has the class's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, size=1_000_000):
             nodes, sets = [], []
             for node, text, one, two in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "fp1", "fp2")), strict=True):
                 values = shingle_set(text, width)
