@@ -19,6 +19,7 @@ further columns don't matter; an empty table gives an empty result, also when th
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import os
 import re
@@ -228,7 +229,8 @@ def _sample_counts(path: str, most: int):
                     seen.update(x for x in cutter.pieces(block) if len(x) <= 64)
                     if len(seen) > COUNTED:
                         seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        yield pa.RecordBatch.from_pydict({"pieces": [json.dumps(seen.most_common(most))]})
+        first = heapq.nsmallest(most, seen.items(), key=lambda x: (-x[1], x[0]))
+        yield pa.RecordBatch.from_pydict({"pieces": [json.dumps(first)]})
 
     return run
 
