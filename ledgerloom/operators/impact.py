@@ -71,8 +71,10 @@ def layers(files: DataFrame) -> DataFrame:
 
 def routes_by_framework(routes: DataFrame, shown: int = 80) -> DataFrame:
     """framework, method, path, file, line, more: the first ones of each framework and how many more there are."""
-    by = W.partitionBy("framework")
-    rows = routes.withColumns({"k": F.row_number().over(by.orderBy("path", "method", "file", "line")), "all": F.count("*").over(by)}).filter(F.col("k") <= shown)
+    every = routes.groupBy(F.col("framework").alias("of")).agg(F.count("*").alias("all"))
+    # The first ones alone, so that tasks drop the others before they are dealt by framework.
+    rows = routes.withColumn("k", F.row_number().over(W.partitionBy("framework").orderBy("path", "method", "file", "line"))).filter(F.col("k") <= shown)
+    rows = rows.join(F.broadcast(every), F.col("framework").eqNullSafe(F.col("of")))
     return rows.select("framework", "method", "path", "file", "line", F.greatest(F.col("all") - shown, F.lit(0)).alias("more"))
 
 
