@@ -1,7 +1,10 @@
 """Facts of source code and the graph made of them."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerloom.operators import impact
+from ledgerloom.plans import code as code_plans
 from ledgerloom.sources import code, tree
 
 SAMPLES = [
@@ -166,3 +169,18 @@ def test_large_files_take_time_in_proportion():
     assert [f[1] for f in code.facts_of("a.ts", "{(" * 20_000)] == ["engine"]
     assert sum(f[1] == "call" for f in code.facts_of("a.ts", "function f() { g(); }\n" * 20_000)) == 20_000
     assert sum(f[1] == "def" for f in code.facts_of("A.java", "class A {" + "".join(f" void m{i}() {{ n(); }}\n" for i in range(5000)) + "}")) == 5000
+
+
+def test_one_piece_of_a_table_is_read_by_many_tasks(spark):
+    """A table of one small piece makes files for as many tasks as shuffles have; facts are worked out once for a query."""
+    part = spark.range(1, 41).select(F.col("id").alias("p_partkey")).coalesce(1)
+    assert code_plans.files(part).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for query in (code_plans.code_modules, code_plans.code_routes):
+        assert "MapInArrow" not in query(part)._jdf.queryExecution().toString()
+
+
+def test_routes_are_cut_before_they_are_dealt(spark):
+    rows = spark.range(0, 500).select(F.lit("GET").alias("method"), F.format_string("/%04d", "id").alias("path"), F.lit("f").alias("file"), F.lit(1).alias("line"), F.when(F.col("id") % 5 > 0, "a").alias("framework"))
+    found = impact.routes_by_framework(rows, 3)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+    assert sorted((r.framework or "", r.path, r.more) for r in found.collect()) == [("", "/0000", 97), ("", "/0005", 97), ("", "/0010", 97), ("a", "/0001", 397), ("a", "/0002", 397), ("a", "/0003", 397)]
