@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import written
 
+#: Members of a place that one row deals out.
+BLOCK = 256
+
 
 def inverted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -73,3 +80,46 @@ def reach_within(edges: DataFrame, starts: DataFrame, depth: int, nodes: int) ->
             break
         frontier = [r.node for r in rows]
     return spark.createDataFrame([(n, *x) for n, x in seen.items()], f"node {kind}, depth int, via {kind}, cut boolean")
+
+
+def _summed(held: list[np.ndarray]) -> list[np.ndarray]:
+    """a, b, x, y, c: one of each a and b, in their order, with the sum of c."""
+    a, b, x, y, c = held
+    if not len(a):
+        return held
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return [a[first], b[first], x[order][first], y[order][first], np.add.reduceat(c[order], first)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows a, x, bs, ys sorted by a -> a, b, x, y, c. Only sums of the last a are kept from batch to batch."""
+    held, schema = [np.empty(0, np.int64)] * 5, None
+    out = lambda part: pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(part, schema, strict=True)], names=["a", "b", "x", "y", "c"])
+    for batch in batches:
+        bs, ys = batch.column("bs"), batch.column("ys")
+        kind = batch.schema.field("a").type
+        schema = [kind, kind, pa.int64(), pa.int64(), pa.int64()]
+        times = np.diff(bs.offsets.to_numpy())
+        a, x = (np.repeat(batch.column(n).to_numpy(), times).astype(np.int64) for n in ("a", "x"))
+        new = [a, bs.flatten().to_numpy().astype(np.int64), x, ys.flatten().to_numpy(), np.ones(len(a), np.int64)]
+        held = _summed([np.concatenate(v) for v in zip(held, new, strict=True)])
+        done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if done:
+            yield out([v[:done] for v in held])
+            held = [v[done:] for v in held]
+    if len(held[0]):
+        yield out(held)
+
+
+def met(rows: DataFrame, kind: str) -> DataFrame:
+    """rows(k integer, p, n), each k and p once -> a, b, x, y, c: in how many p two k meet (a < b), with their n. A place's list goes to each of its members as one row with those
+    after it, so no row is shuffled for a pair in a place, and each a is summed up where its rows are; blocks of a long list go to many tasks. What is held is
+    a list, or the sums of one a: no more than there are k."""
+    lists = rows.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("m")).filter("size(m) > 1")
+    blocks = lists.select("p", F.col("m.k").alias("ks"), F.col("m.n").alias("ns"), F.explode(F.expr(f"sequence(0, (size(m) - 1) div {BLOCK})")).alias("block")).repartition("p", "block")
+    each = blocks.select("ks", "ns", "block", F.posexplode(F.slice("ks", F.col("block") * BLOCK + 1, BLOCK)).alias("i", "a"))
+    at = (F.col("block") * BLOCK + F.col("i")).cast("int")
+    later = each.select("a", F.get("ns", at).alias("x"), F.slice("ks", at + 2, F.size("ks")).alias("bs"), F.slice("ns", at + 2, F.size("ns")).alias("ys")).filter("size(bs) > 0")
+    return later.repartition("a").sortWithinPartitions("a").mapInArrow(_counted, f"a {kind}, b {kind}, x long, y long, c long")

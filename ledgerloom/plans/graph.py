@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -57,9 +58,7 @@ def shape_jaccard_all(lineitem: DataFrame) -> DataFrame:
 
 def _jaccard(lineitem: DataFrame) -> DataFrame:
     """Suppliers meet through shared parts, not in all pairs."""
-    rows = lineitem.select(F.col("l_suppkey").alias("k"), "l_partkey").distinct()
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
-    a, b = (rows.select(F.col("k").alias(x), "l_partkey") for x in ("a", "b"))
-    shared = a.join(b, "l_partkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    out = shared.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("x")), "a").join(sizes.select(F.col("k").alias("b"), F.col("n").alias("y")), "b")
-    return out.select("a", "b", F.round(F.col("c") / (F.col("x") + F.col("y") - F.col("c")), 6).alias("jaccard"))
+    rows = lineitem.select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("p")).repartition("k").distinct()
+    sized = rows.withColumn("n", F.count("*").over(W.partitionBy("k")).cast("int")).filter("k is not null and p is not null")
+    shared = graph.met(sized, lineitem.schema["l_suppkey"].dataType.simpleString())
+    return shared.select("a", "b", F.round(F.col("c") / (F.col("x") + F.col("y") - F.col("c")), 6).alias("jaccard"))

@@ -1,8 +1,13 @@
 """Queries that look at the whole table where an older one of the same kind takes a part of it."""
 
+import random
+import re
+
 import duckdb
 
 from ledgerloom import workload
+from ledgerloom.operators import graph
+from ledgerloom.plans import graph as plan
 from ledgerloom.plans import history
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +60,23 @@ def test_secrets_go_from_both_tables(spark, tmp_path):
     for t in ("documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(map(repr, got)) == sorted(map(repr, con.execute(workload.oracle_sql()["redact_secrets"]).fetchall()))
+
+
+def test_pairs_of_suppliers_are_not_shuffled_one_by_one(spark, monkeypatch):
+    """Long lists of makers in blocks, sums of one supplier over several batches, nulls; no row is shuffled for a pair that meets in a part."""
+    monkeypatch.setattr(graph, "BLOCK", 3, raising=False)
+    r = random.Random(5)
+    rows = [(r.randrange(-3, 12), r.randrange(40)) for _ in range(250)] + [(None, 1), (4, None), (5, None), (5, None)]
+    made = {}
+    for k, p in rows:
+        made.setdefault(k, set()).add(p)
+    shared = {(a, b): made[a] & made[b] - {None} for a in made for b in made if None not in (a, b) and a < b}
+    want = {(a, b): round(len(c) / (len(made[a]) + len(made[b]) - len(c)), 6) for (a, b), c in shared.items() if c}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = plan._jaccard(spark.createDataFrame(rows, "l_suppkey long, l_partkey long"))
+        assert {(x.a, x.b): x.jaccard for x in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    dealt = [x for x in out._jdf.queryExecution().toString().splitlines() if "Exchange" in x]
+    assert dealt and not any(re.search(r"\(a#\d+L?, b#", x) for x in dealt)
