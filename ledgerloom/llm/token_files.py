@@ -28,10 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Codec, byte_letters
+from .bpe import SHORT, Codec, byte_letters, stretches
 from .common import hold_caches, small_slices, written
 
 SEQUENCE, FILE_TOKENS, PIECE_ROWS, RANGES = 2048, 1_000_000, 2_000, 20_000
+#: Stretches of a text that each of two generations remembers, as the library takes long for a new one.
+REMEMBERED = 300_000
+
+
+class _Stretches(dict):
+    """Stretch of a text -> ids, asked of the codec where it isn't remembered."""
+
+    def __init__(self, codec: LibraryCodec):
+        self.codec = codec
+
+    def __missing__(self, text: str) -> bytes:
+        return self.codec.remember(self, text)
 
 
 class LibraryCodec(Codec):
@@ -45,6 +57,7 @@ class LibraryCodec(Codec):
         self.model = Tokenizer.from_file(path).model
         self.letters = dict(enumerate(byte_letters()))
         self.space = self.letters[32]
+        self.known, self.older = _Stretches(self), {}
 
     def load(self, model: dict) -> None:
         """The library has them."""
@@ -56,6 +69,29 @@ class LibraryCodec(Codec):
             letters = word.encode().decode("latin-1").translate(self.letters)
         return self.pack([t.id for t in self.model.tokenize(letters)])
 
+    def remember(self, known: _Stretches, text: str) -> bytes:
+        """Ids of a stretch that the table in use lacks. A full table becomes the older one, whose stretches move to the new one as they occur."""
+        found = self.older.get(text)
+        if found is None:
+            if not text.isalpha():
+                found = self._stretch(text)
+            elif text.isascii():
+                found = self.pack([t.id for t in self.model.tokenize(self.space + text)])
+            else:
+                found = self.ids_of(" " + text)
+        if len(text) <= SHORT:
+            if len(known) >= REMEMBERED and known is self.known:
+                self.older, self.known = known, _Stretches(self)
+            self.known[text] = found
+        return found
+
+    def _plain(self, text: str) -> bytes:
+        if (pieces := stretches(text)) is None:
+            return self._words(text)
+        first = self._words(pieces[0])
+        del pieces[0]
+        return first + b"".join(map(self.known.__getitem__, pieces))
+
 
 @functools.cache
 def library_codec(path: str) -> LibraryCodec:
