@@ -215,8 +215,8 @@ def codec(path: str) -> Codec:
 
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_caches("bpe", codec.cache_clear)
         bpe = codec(path)
-        hold_caches("bpe", bpe.forget)
         for batch in small_slices(batches, 64):
             ids = [bpe.encode(x) for x in batch.column("text").to_pylist()]
             texts = [bpe.decode(x) for x in ids]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, discard, gram_hashes, hold_caches, small_slices, written
+from .common import discard, gram_hashes, hold_caches, small_slices, written
 from .periodic_runs import Prefixes, farthest
 
 LEAST, COVERAGE, BLOCK_CHARS = 5, 0.5, 16_000_000
@@ -32,23 +33,10 @@ _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOW = np.uint64((1 << 20) - 1)
 
 
-class _PlainHashes(dict):
-    """A word -> hash of what is left without punctuation at its ends, 0 if nothing is; remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        plain = word.strip(_EDGES)
-        value = self[word] = (xxhash.xxh3_64_intdigest(plain) or 1) if plain else 0
-        return value
-
-
-_PLAIN = _PlainHashes()
-
-
 def plain_hashes(text: str | None) -> np.ndarray:
-    hashes = np.array(list(map(_PLAIN.__getitem__, text.encode().lower().split())) if text else [], np.uint64)
-    return hashes[hashes != 0]
+    """Hashes, never 0, of a text's words without punctuation at their ends; words that are nothing else go."""
+    plain = filter(None, map(bytes.strip, text.encode().lower().split(), repeat(_EDGES))) if text else ()
+    return np.maximum(np.array(list(map(xxhash.xxh3_64_intdigest, plain)), np.uint64), np.uint64(1))
 
 
 def _products(item: np.ndarray, text: np.ndarray, least: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +139,7 @@ class Items:
 
 def _contained(items: list[tuple[int, str]], least: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold_caches("plain words", _PLAIN.clear)
+        hold_caches("plain words", None)
         known = Items(items, least, coverage)
         for batch in small_slices(batches):
             rows = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in known.held(text)]
@@ -163,7 +151,7 @@ def _contained(items: list[tuple[int, str]], least: int, coverage: float):
 
 def _without(items: list[tuple[int, str]], least: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold_caches("plain words", _PLAIN.clear)
+        hold_caches("plain words", None)
         known = Items(items, least, coverage)
         for batch in small_slices(batches):
             yield batch.filter(pa.array([not known.held(x) for x in batch.column("text").to_pylist()], pa.bool_()))
