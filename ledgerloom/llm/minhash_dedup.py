@@ -261,7 +261,7 @@ class Links:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, similarity: int):
         self.docs, self.classes, self.width, self.similarity = docs, classes, width, similarity
-        self.comps = written(nodes.select("node", F.col("node").alias("comp")), "comps")
+        self.comps = written(nodes.select("node", F.col("node").alias("comp")), "comps", narrow=True)
         self.sets: DataFrame | None = None
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ class Links:
 
     def test(self, pairs: DataFrame) -> None:
         """Tests pairs whose ends are apart and merges what is linked."""
-        pairs = written(self.apart(pairs), "apart")
+        pairs = written(self.apart(pairs), "apart", narrow=True)
         if not pairs.limit(1).count():
             discard(pairs)
             return
@@ -293,10 +293,10 @@ class Links:
             two = unsure.join(whole.select(F.col("node").alias("b"), F.col("values").alias("two")), "b")
             both = two.join(whole.select(F.col("node").alias("a"), F.col("values").alias("one")), "a").select("a", "b", "one", "two")
             links = links.union(both.mapInArrow(_confirm(self.similarity), "a long, b long"))
-        edges = written(pairs.join(links, ["a", "b"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        edges = written(pairs.join(links, ["a", "b"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges", narrow=True)
         if edges.limit(1).count():
             labels = connected(edges)
-            before, self.comps = self.comps, written(self.comps.join(labels.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "comps")
+            before, self.comps = self.comps, written(self.comps.join(labels.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), "comps", narrow=True)
             discard(before, labels)
         discard(pairs, edges)
 
@@ -305,13 +305,13 @@ def _listed(classes: DataFrame) -> DataFrame:
     """classes(node, sketch) -> value, node: the inverted lists."""
     values = classes.select("node", "sketch").mapInArrow(_values, "node long, size int, value long")
     # Written first, as a hot value's side of a join can be split only where the other side is not still being added up.
-    often = written(values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    often = written(values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1"), "often", narrow=True)
     shared = values.join(often, "value").groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("often", "value"))).alias("held"))
     # The rarest half of the sketch and one more; values that only one class holds are the rarest of all.
     room = F.greatest(F.lit(0), F.floor(F.col("size") / 2).cast("int") + 1 - (F.col("size") - F.size("held")))
-    listed = written(shared.select("node", F.explode(F.slice("held", F.lit(1), room)).alias("x")).select("node", F.col("x.value").alias("value")), "listed")
+    listed = written(shared.select("node", F.explode(F.slice("held", F.lit(1), room)).alias("x")).select("node", F.col("x.value").alias("value")), "listed", narrow=True)
     members = listed.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).filter("c > 1")
-    one_each = written(members.groupBy("c", "h").agg(F.min("value").alias("value")).select("value"), "values")
+    one_each = written(members.groupBy("c", "h").agg(F.min("value").alias("value")).select("value"), "values", narrow=True)
     lists = written(listed.join(one_each, "value").select("value", "node"), "lists")
     discard(often, listed, one_each)
     return lists
@@ -351,12 +351,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: in
     sketch = classes.select("node", "n", "sketch")
     # Stars.
     sized = lists.join(sketch.select("node", "n"), "node")
-    centre = written(sized.groupBy("value").agg(F.min(F.struct("node", "n")).alias("c")), "centres")
+    centre = written(sized.groupBy("value").agg(F.min(F.struct("node", "n")).alias("c")), "centres", narrow=True)
     star = sized.join(centre, "value").filter("node <> c.node").filter(f"100 * least(n, c.n) >= {similarity} * greatest(n, c.n)").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(sketch.toDF("b", "m", "two"), "b").join(sketch.toDF("a", "n", "one"), "a").select("a", "b", "n", "m", "one", "two")
-    tested = [written(star.mapInArrow(_judged(k, similarity), PAIRS), "stars")]
+    tested = [written(star.mapInArrow(_judged(k, similarity), PAIRS), "stars", narrow=True)]
     best = tested[0].groupBy("b").agg(F.max_by(F.struct("a", "estimate", "sure"), F.struct("estimate", -F.col("a"))).alias("best"))
-    best = written(best.select("best.a", "b", "best.estimate", "best.sure"), "best")
+    best = written(best.select("best.a", "b", "best.estimate", "best.sure"), "best", narrow=True)
     links.test(best)
     links.test(tested[0].join(best, ["a", "b"], "left_anti"))
     discard(best, centre)
@@ -366,22 +366,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 85, k: in
         return rows.select("value", "part", "other", "asks", "node", "n", "comp", "held", "sketch").repartition("value", "part", "other").sortWithinPartitions("value", "part", "other")
 
     held = lambda lists: lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("held"))
-    marked = written(asked(lists, held(lists), sketch).mapInArrow(_mark(k, similarity), "value long, node long").distinct(), "marked")
+    marked = written(asked(lists, held(lists), sketch).mapInArrow(_mark(k, similarity), "value long, node long").distinct(), "marked", narrow=True)
     discard(lists)
     if marked.limit(1).count():
         broad = links.whole(marked).select("node", F.substring("values", 1, 8 * wide).alias("sketch")).join(sketch.select("node", "n"), "node")
         todo = marked
         while True:
-            found = written(asked(todo, held(marked), broad).mapInArrow(_round(wide, similarity, top), PAIRS), "found")
+            found = written(asked(todo, held(marked), broad).mapInArrow(_round(wide, similarity, top), PAIRS), "found", narrow=True)
             pairs = found.filter("b is not null").dropDuplicates(["a", "b"])
             for before in tested:
                 pairs = pairs.join(before.filter("not sure").select("a", "b"), ["a", "b"], "left_anti")
-            tested.append(written(pairs, "pairs"))
+            tested.append(written(pairs, "pairs", narrow=True))
             links.test(tested[-1])
-            more = written(found.filter("b is null").select(F.col("a").alias("value")).distinct(), "more")
+            more = written(found.filter("b is null").select(F.col("a").alias("value")).distinct(), "more", narrow=True)
             if not more.limit(1).count():
                 break
-            before, todo = todo, written(marked.join(more, "value", "left_semi"), "todo")
+            before, todo = todo, written(marked.join(more, "value", "left_semi"), "todo", narrow=True)
             discard(found, more, *([] if before is marked else [before]))
             top *= 8
         discard(found, more, todo)

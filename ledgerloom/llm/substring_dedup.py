@@ -285,24 +285,24 @@ def _level(docs: DataFrame, found: DataFrame, window: int, group_words: int, tre
     # Runs of one document alone are of no use.
     shared = found.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("run")
     # Written first, as a hot run's side of a join can be split only where the other side is not still being added up.
-    shared = written(shared, "runs")
+    shared = written(shared, "runs", narrow=True)
     found = written(found.join(shared, "run"), "shared")
     discard(shared)
     first = found.groupBy("run", "h").agg(F.min(F.struct("doc_id", "th", "first")).alias("rep"), F.max("doc_id").alias("high"), F.first("windows").alias("windows"))
-    first = written(first, "first")
+    first = written(first, "first", narrow=True)
     copies = found.join(first.filter("rep.doc_id < high").select("run", "h", F.col("rep.doc_id").alias("low")), ["run", "h"]).filter("low < doc_id")
-    whole = written(copies.select("doc_id", "th", "first", "windows").distinct(), "whole")
+    whole = written(copies.select("doc_id", "th", "first", "windows").distinct(), "whole", narrow=True)
     sizes = first.groupBy("run").agg(F.min("rep.doc_id").alias("low"), F.max("rep.doc_id").alias("high"), F.sum(F.col("windows") + window - 1).alias("words")).filter("low < high")
-    sizes = written(sizes.select("run", (F.col("words") > group_words).alias("large")), "sizes")
+    sizes = written(sizes.select("run", (F.col("words") > group_words).alias("large")), "sizes", narrow=True)
     one_tree = first.join(sizes.filter("not large").select("run"), "run")
-    wanted = written(one_tree.groupBy("rep.doc_id", "rep.th").agg(F.collect_list(F.struct("run", "h", F.col("rep.first").alias("first"), "windows")).alias("items")), "wanted")
+    wanted = written(one_tree.groupBy("rep.doc_id", "rep.th").agg(F.collect_list(F.struct("run", "h", F.col("rep.first").alias("first"), "windows")).alias("items")), "wanted", narrow=True)
     sent = _texts(docs, wanted, "items", longer).mapInArrow(_send(window), "run long, h long, doc_id long, windows int, words binary")
-    trees = written(sent.repartition("run").sortWithinPartitions("run").mapInArrow(_trees(window, tree_words), "run long, h long, doc_id long, offset int, covered int"), "trees")
+    trees = written(sent.repartition("run").sortWithinPartitions("run").mapInArrow(_trees(window, tree_words), "run long, h long, doc_id long, offset int, covered int"), "trees", narrow=True)
     # A document may hold its stretch more than once.
     inner = trees.join(found, ["run", "h", "doc_id"]).select("doc_id", "th", (F.col("first") + F.col("offset")).alias("first"), F.col("covered").alias("windows"))
-    inner = written(inner.distinct(), "inner")
+    inner = written(inner.distinct(), "inner", narrow=True)
     large = first.join(sizes.filter("large").select("run"), "run").select("run", "h", F.col("rep.doc_id").alias("doc_id"))
-    large = written(large.join(found, ["run", "h", "doc_id"]).select("doc_id", "th", "first", "windows"), "large")
+    large = written(large.join(found, ["run", "h", "doc_id"]).select("doc_id", "th", "first", "windows"), "large", narrow=True)
     discard(found, first, sizes, trees, wanted)
     return [whole, inner], large
 
@@ -327,7 +327,7 @@ def _repeats(docs: DataFrame, window: int, group_words: int, tree_words: int) ->
         if not large.limit(1).count():
             break
         longer = True
-        wanted = written(large.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "windows")).alias("ranges")), "wanted")
+        wanted = written(large.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "windows")).alias("ranges")), "wanted", narrow=True)
         found = written(_texts(docs, wanted, "ranges", longer).mapInArrow(_longer(window, length), f"doc_id long, th long, {STRETCH}"), "stretches")
         discard(large, wanted)
     else:

@@ -49,3 +49,16 @@ def test_tables_are_written_in_small_batches(spark):
     found = common.written(rows.mapInArrow(sizes, "size long, n long"), "sizes").collect()
     assert sum(r.n for r in found) == 400 and max(r.size for r in found) < 6_000_000
     assert {k: spark.conf.get(k) for k in common.WRITING} == before
+
+
+def test_narrow_rows_share_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = common.written(spark.range(5000).groupBy("id").count(), "counts", narrow=True)
+        assert table.count() == 5000 and len(table.inputFiles()) == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
