@@ -40,33 +40,39 @@ _NATIVE = sys.byteorder == "little" and array.array("I").itemsize == 4
 #: all else x, so that few searches tell whether a text is plain.
 _SHAPE = bytes(32 if c in b" \n" else 46 if c in b".," else 97 if chr(c).isalnum() else 120 for c in range(128)).ljust(256, b"h")
 _BREAKS = (b"  ", b" .", b"x.", b"..")
-_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: White space over 127 in UTF-8, and the bytes that it begins with.
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _LEADS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 
 
-def stretches(text: str) -> list[str] | None:
-    """A text cut where no word reaches over: before a single space or line break between other characters, and before a comma
-    or full stop after a letter or digit. None if it holds anything else of that kind. The first stretch is as it is;
-    others follow a space, but for those that begin with a line break, comma or full stop."""
-    if text[0] in " \n.," or text[-1] in " \n":
-        return None
-    data = text.encode()
+def plain(data: bytes) -> bool:
+    """Whether a text in UTF-8 can be cut by single bytes: before a single space or line break between other characters, and before a
+    comma or full stop after a letter or digit. It holds nothing else of that kind, and no word reaches over these places."""
+    if data[0] in b" \n.," or data[-1] in b" \n":
+        return False
     shape = data.translate(_SHAPE)
-    if any(x in shape for x in _BREAKS) or any(x in text for x in _ODD):
-        return None
-    if len(data) > len(text):
+    if any(x in shape for x in _BREAKS) or any(x in data for x in _ODD):
+        return False
+    if not data.isascii():
         if any(x in data for x in _LEADS) and _WIDE.search(data):
-            return None
+            return False
         at = shape.find(b"h.")
         while at >= 0:
             begin = at
             while data[begin] & 0xC0 == 0x80:
                 begin -= 1
             if not data[begin : at + 1].decode().isalnum():
-                return None
+                return False
             at = shape.find(b"h.", at + 1)
+    return True
+
+
+def stretches(text: str) -> list[str] | None:
+    """A text cut where no word reaches over, or None if it isn't plain. The first stretch is as it is; others follow a space, but for
+    those that begin with a line break, comma or full stop."""
+    if not plain(text.encode()):
+        return None
     return text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")
 
 

@@ -14,83 +14,139 @@ first. An empty table gives no file. Further columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import io
 import itertools
 import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import SHORT, Codec, byte_letters, stretches
+from .bpe import SHORT, Codec, byte_letters, plain
 from .common import hold_caches, small_slices, written
 
 SEQUENCE, FILE_TOKENS, PIECE_ROWS, RANGES = 2048, 1_000_000, 2_000, 20_000
-#: Stretches of a text that each of two generations remembers, as the library takes long for a new one.
+#: Pieces of texts that each of two generations remembers, as the library takes long for a new one.
 REMEMBERED = 300_000
-
-
-class _Stretches(dict):
-    """Stretch of a text -> ids, asked of the codec where it isn't remembered."""
-
-    def __init__(self, codec: LibraryCodec):
-        self.codec = codec
-
-    def __missing__(self, text: str) -> bytes:
-        return self.codec.remember(self, text)
+#: Pieces that are looked up at once.
+PIECES = 16_384
+#: Bytes before which a plain text is cut.
+_CUTS = np.isin(np.arange(256), list(b" \n,."))
 
 
 class LibraryCodec(Codec):
-    """Words are encoded by the tokenizers library and remembered. A shortcut, equal to its encode() of whole texts: texts are cut into words here, and the
-    library's model takes a word in the file's letters for bytes, which leaves out what encode() does around that."""
+    """Words are encoded by the tokenizers library and remembered. A shortcut, equal to its encode() of whole texts: texts are cut into pieces here, and the
+    library's model takes a word in the file's letters for bytes, which leaves out what encode() does around that. The pieces of a batch of texts are numbered
+    by Arrow, so that each distinct one is looked up once, and their ids are put together by Arrow."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
-        self.letters = dict(enumerate(byte_letters()))
-        self.space = self.letters[32]
-        self.known, self.older = _Stretches(self), {}
+        self.letters = "".join(byte_letters())
+        self.model._resize_cache(0)  # words are remembered here
+        #: Ids take two bytes if all of the file do.
+        self.kind, self.form = ("<u2", "H") if max([self.largest, *self.special.values()]) < 65536 else ("<u4", "I")
+        self.special_bytes = {x.encode(): self.pack([i]) for x, i in self.special.items()}
+        self.has_special = re.compile(b"|".join(map(re.escape, self.special_bytes))) if self.special else None
 
     def load(self, model: dict) -> None:
-        """The library has them."""
-
-    def ids_of(self, word: str) -> bytes:
-        if word[0] == " " and word.isascii() and word[1:].isalpha():
-            letters = self.space + word[1:]  # letters of ASCII stand for themselves
-        else:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-        return self.pack([t.id for t in self.model.tokenize(letters)])
-
-    def remember(self, known: _Stretches, text: str) -> bytes:
-        """Ids of a stretch that the table in use lacks. A full table becomes the older one, whose stretches move to the new one as they occur."""
-        found = self.older.get(text)
-        if found is None:
-            if not text.isalpha():
-                found = self._stretch(text)
-            elif text.isascii():
-                found = self.pack([t.id for t in self.model.tokenize(self.space + text)])
+        """The library has the parts."""
+        self.largest = max(model["vocab"].values(), default=0)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.form}", *ids)
+
+    def words_in(self, piece: bytes) -> list[bytes]:
+        """The words of a piece as the pattern cuts them; letters after a space or none are one."""
+        text = piece.decode()
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return [piece]
+        return [x.encode() for x in self.pattern.findall(text)]
+
+    def asked(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces by the library's model. No text holds the byte that stands between words while they are put in the file's letters. Lists don't
+        pile up here, as Python's collector would go through them again and again."""
+        words, ends = [], []
+        for x in pieces:
+            if x[0] == 32 and x[1:].isalpha():  # letters of ASCII after a space
+                words.append(x)
             else:
-                found = self.ids_of(" " + text)
-        if len(text) <= SHORT:
-            if len(known) >= REMEMBERED and known is self.known:
-                self.older, self.known = known, _Stretches(self)
-            self.known[text] = found
-        return found
-
-    def _plain(self, text: str) -> bytes:
-        if (pieces := stretches(text)) is None:
-            return self._words(text)
-        first = self._words(pieces[0])
-        del pieces[0]
-        return first + b"".join(map(self.known.__getitem__, pieces))
+                words += self.words_in(x)
+            ends.append(len(words))
+        ids, marks, tokenize = [], [0], self.model.tokenize
+        for x in codecs.charmap_decode(b"\xff".join(words), "strict", self.letters)[0].split(self.letters[255]):
+            ids += [t.id for t in tokenize(x)]
+            marks.append(len(ids))
+        packed, size = self.pack(ids), int(self.kind[-1])
+        return [packed[a:b] for a, b in itertools.pairwise([0, *(size * marks[x] for x in ends)])]
+
+    def remembered(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces. A full table becomes the older one, whose pieces move to the new one as they occur."""
+        out = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        unknown = []
+        for i in missing:
+            x = pieces[i]
+            if (found := self.older.get(x)) is None and (found := self.special_bytes.get(x)) is None:
+                unknown.append(i)
+            out[i] = found
+        for i, x in zip(unknown, self.asked([pieces[i] for i in unknown]), strict=True):
+            out[i] = x
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known.update((x, out[i]) for i in missing if len(x := pieces[i]) <= SHORT)
+        return out
+
+    def simple(self, data: bytes) -> bool:
+        """Whether texts, one after another, are cut right at their begins and by single bytes."""
+        return plain(data) and not (self.has_special and self.has_special.search(data))
+
+    def places(self, text: str) -> np.ndarray:
+        """Where the words and special tokens of a text begin, in bytes."""
+        parts = self.find_special.split(text) if self.find_special else [text]
+        words = [w for x in parts for w in ([x] if x in self.special else self.pattern.findall(x))]
+        return np.cumsum([0, *(len(w.encode()) for w in words[:-1])])
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts, as little-endian numbers of the codec's kind."""
+        texts = pc.fill_null(texts, "")
+        ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+        if ends[0] == ends[-1]:
+            return [b""] * len(texts)
+        data = texts.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes()
+        ends = ends - ends[0]
+        codes = np.frombuffer(data, np.uint8)
+        cut = _CUTS[codes]
+        cut[1:] |= codes[:-1] == 10
+        cut[ends[:-1][ends[:-1] < len(data)]] = True
+        if not self.simple(data):
+            for a, b in itertools.pairwise(ends.tolist()):
+                if a < b and not self.simple(text := data[a:b]):
+                    cut[a:b] = False
+                    cut[a + self.places(text.decode())] = True
+        at = np.flatnonzero(cut)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [x for i in range(0, len(distinct), PIECES) for x in self.remembered(distinct[i : i + PIECES])]
+        ids = pa.array(known, pa.binary()).take(pieces.indices)
+        flat = ids.buffers()[2].to_pybytes()
+        marks = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)[np.searchsorted(at, ends)]
+        return [flat[a:b] for a, b in itertools.pairwise(marks.tolist())]
+
+    def encode(self, text: str | None) -> bytes:
+        return np.frombuffer(self.encode_all(pa.array([text], pa.string()))[0], self.kind).astype("<u4").tobytes()
 
 
 @functools.cache
@@ -98,17 +154,24 @@ def library_codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Two bytes an id where all fit, for the shuffle; four after a zero byte else."""
+    return ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\0" + ids.astype("<u4").tobytes()
+
+
 def _encode(path: str, end: int, cuts: np.ndarray):
     """doc_id, text -> doc_id, the range it lies in, ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, tail = library_codec(path), np.array([end], "<u4").tobytes()
+        codec = library_codec(path)
         hold_caches("token files", codec.forget)
-        for batch in small_slices(batches, 64):
-            ids = [codec.encode(x) + tail for x in batch.column("text").to_pylist()]
-            part = [0 if x is None else int(np.searchsorted(cuts, x, "right")) for x in batch.column("doc_id").to_pylist()]
-            # Two bytes an id where all fit, for the shuffle.
-            small = [y.astype("<u2").tobytes() if (y := np.frombuffer(x, "<u4")).max() < 65536 else b"\0" + x for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(part, pa.int64()), pa.array(small, pa.binary())], names=["doc_id", "part", "ids"])
+        two, tail = codec.kind == "<u2" and end < 65536, np.array([end], "<u4")
+        short = tail.astype("<u2").tobytes()
+        for batch in small_slices(batches, 10_000):
+            ids = codec.encode_all(batch.column("text"))
+            ids = [x + short for x in ids] if two else [_packed(np.append(np.frombuffer(x, codec.kind).astype("<u4"), tail)) for x in ids]
+            doc_ids = batch.column("doc_id")
+            part = np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, doc_ids.fill_null(0).to_numpy(), "right"))
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(part, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "ids"])
 
     return run
 
