@@ -41,7 +41,7 @@ REMEMBERED = 300_000
 #: Pieces that are looked up at once.
 PIECES = 16_384
 #: Bytes before which a plain text is cut.
-_CUTS = np.isin(np.arange(256), list(b" \n,."))
+_CUTS = bytes(c in b" \n,." for c in range(256))
 
 
 class LibraryCodec(Codec):
@@ -59,7 +59,7 @@ class LibraryCodec(Codec):
         #: Ids take two bytes if all of the file do.
         self.kind, self.form = ("<u2", "H") if max([self.largest, *self.special.values()]) < 65536 else ("<u4", "I")
         self.special_bytes = {x.encode(): self.pack([i]) for x, i in self.special.items()}
-        self.has_special = re.compile(b"|".join(map(re.escape, self.special_bytes))) if self.special else None
+        self.has_special = re.compile(self.find_special.pattern.encode()) if self.special else None
 
     def load(self, model: dict) -> None:
         """The library has the parts."""
@@ -113,11 +113,10 @@ class LibraryCodec(Codec):
         """Whether texts, one after another, are cut right at their begins and by single bytes."""
         return plain(data) and not (self.has_special and self.has_special.search(data))
 
-    def places(self, text: str) -> np.ndarray:
-        """Where the words and special tokens of a text begin, in bytes."""
-        parts = self.find_special.split(text) if self.find_special else [text]
-        words = [w for x in parts for w in ([x] if x in self.special else self.pattern.findall(x))]
-        return np.cumsum([0, *(len(w.encode()) for w in words[:-1])])
+    def places(self, part: bytes) -> np.ndarray:
+        """Where the words of a text begin, or a special token."""
+        words = [part] if part in self.special_bytes else [x.encode() for x in self.pattern.findall(part.decode())]
+        return np.cumsum([0, *map(len, words[:-1])])
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """Ids of texts, as little-endian numbers of the codec's kind."""
@@ -128,14 +127,17 @@ class LibraryCodec(Codec):
         data = texts.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes()
         ends = ends - ends[0]
         codes = np.frombuffer(data, np.uint8)
-        cut = _CUTS[codes]
+        cut = np.frombuffer(bytearray(data.translate(_CUTS)), bool)
         cut[1:] |= codes[:-1] == 10
         cut[ends[:-1][ends[:-1] < len(data)]] = True
         if not self.simple(data):
             for a, b in itertools.pairwise(ends.tolist()):
-                if a < b and not self.simple(text := data[a:b]):
-                    cut[a:b] = False
-                    cut[a + self.places(text.decode())] = True
+                for part in filter(None, self.has_special.split(data[a:b]) if self.has_special else [data[a:b]]):
+                    cut[a] = True
+                    if part in self.special_bytes or not plain(part):
+                        cut[a + 1 : a + len(part)] = False
+                        cut[a + self.places(part)] = True
+                    a += len(part)
         at = np.flatnonzero(cut)
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
