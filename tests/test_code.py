@@ -184,3 +184,21 @@ def test_routes_are_cut_before_they_are_dealt(spark):
     found = impact.routes_by_framework(rows, 3)
     assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
     assert sorted((r.framework or "", r.path, r.more) for r in found.collect()) == [("", "/0000", 97), ("", "/0005", 97), ("", "/0010", 97), ("a", "/0001", 397), ("a", "/0002", 397), ("a", "/0003", 397)]
+
+
+def test_all_calls_of_python_that_does_not_parse():
+    """However many calls a file makes, plain and through a name, each is a fact, the last one as the first."""
+    source = "".join(f"def f{i}():\n    plain{i}()\n    Through{i}.run()\n" for i in range(1500)) + "print 'old'\n"
+    rows = code.facts_of("a.py", source)
+    assert rows[0][1:3] == ("engine", "lines")
+    calls = [f for f in rows if f[1] == "call"]
+    assert [(f[2], f[3], f[4]) for f in calls] == [x for i in range(1500) for x in ((f"plain{i}", 3 * i + 2, 3 * i + 1), (f"Through{i}.", 3 * i + 3, 3 * i + 1))]
+
+
+def test_types_in_generics_of_any_length():
+    """A call's types may be many tokens long; < and > of comparisons in different brackets make no types, and many < are paired once."""
+    types = ", ".join(f"T{i}" for i in range(200))
+    assert [f[2:5] for f in by_kind("a.ts", f"function f() {{ return make<{types}>(1); }}", "call")] == [("make", 1, 1)]
+    assert [f[2] for f in by_kind("A.java", f"class A {{ <{types}> void m() {{ n(); }} }}", "def")] == ["m"]
+    assert [f[2] for f in by_kind("a.ts", "if (i < n) { go() }\nif (j > (m)) { on() }", "call")] == ["go", "on"]
+    assert [f[1] for f in code.facts_of("a.ts", "a < " * 40_000)] == ["engine"]
