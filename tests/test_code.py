@@ -202,3 +202,11 @@ def test_types_in_generics_of_any_length():
     assert [f[2] for f in by_kind("A.java", f"class A {{ <{types}> void m() {{ n(); }} }}", "def")] == ["m"]
     assert [f[2] for f in by_kind("a.ts", "if (i < n) { go() }\nif (j > (m)) { on() }", "call")] == ["go", "on"]
     assert [f[1] for f in code.facts_of("a.ts", "a < " * 40_000)] == ["engine"]
+
+
+def test_modules_keep_all_exports(spark):
+    """Exports by line, then name, each once, however many."""
+    source = "".join(f"export function f{i}() {{}}\n" for i in range(100)) + "export { z, a, f3 };\n"
+    modules, _ = graph_of(spark, [("a.ts", source), ("b.ts", "import { f99 } from './a';\nexport function go() { return f99(); }")])
+    assert modules["a.ts"].exports == [*(f"f{i}" for i in range(100)), "a", "z"]
+    assert modules["b.ts"].symbols[0].calls == ["a.ts::f99"]
